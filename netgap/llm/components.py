@@ -1,0 +1,29 @@
+"""Connected components of a table of links, by rounds of smallest labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from . import storage
+
+
+def connected(links: DataFrame, limit: int = 60) -> DataFrame:
+    """node, label (smallest node of its component) of every node of ``links`` (a, b).
+
+    Each round takes the smallest label among a node's neighbours and then the label of that label, so chains shorten
+    by halves; every round is written to the shared folder.  Sums of labels tell when nothing changes.
+    """
+    both = storage.written(links.filter("a <> b").select(F.col("a").alias("x"), F.col("b").alias("node")).union(links.filter("a <> b").select(F.col("b"), F.col("a"))), "edges")
+    labels = storage.written(both.groupBy("node").agg(F.min("x").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    before = None
+    for _ in range(limit):
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()[0]
+        if total == before:
+            return labels
+        before = total
+        near = both.join(labels.select(F.col("node").alias("x"), F.col("label").alias("l")), "x").groupBy("node").agg(F.min("l").alias("l"))
+        own = labels.join(near, "node").select("node", F.least("label", "l").alias("label"))
+        own = storage.written(own, "labels")
+        jump = own.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        labels = storage.written(own.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+    raise RuntimeError(f"components did not settle in {limit} rounds")
