@@ -47,3 +47,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and {_rules_sql()} as kept
 from b
 """
+
+OP4 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+x as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(encode(h)) as payload_digest from p),
+y as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as m from x)
+select page_id, payload_bytes, payload_digest, case when page_id < m then 'revisit' else 'response' end as record_type,
+       case when page_id < m then m end as refers_to
+from y
+"""
