@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, near_dedup, oracles, quality_rules, storage, substring_dedup, toxicity, warc
+from . import bpe, decontaminate, language, near_dedup, oracles, quality_rules, storage, substring_dedup, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +75,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
     found = warc.resolved(storage.written(warc.transactions(warc.read(spark, path, payloads=False)), "transactions"))
     return found.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, vocab_path())
+    return token_files.read(spark, path, ids=False)
