@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language, near_dedup, oracles, quality_rules, storage, substring_dedup, token_files, toxicity, warc
+from . import bpe, decontaminate, language, near_dedup, oracles, quality_rules, storage, substring_dedup, token_files, toxicity, warc, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +81,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), path, vocab_path())
     return token_files.read(spark, path, ids=False)
+
+
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, weights = weak_labels.fit(docs)
+    found = weak_labels.score(docs, model, weights)
+    return found.select("doc_id", "score", "posterior", (F.col("score") >= 0.25).alias("kept"))
