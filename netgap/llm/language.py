@@ -11,15 +11,12 @@ that sorts first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import flat
-
 UND = "und"
 
 
@@ -101,22 +98,29 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (best cosine, 0 to 1), rejected; one row per row of ``docs``."""
+    found = identified(docs, model, text_col)
+    return found.select(F.col(id_col).cast("long").alias(id_col), *[F.col(f"_language.{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
+
+
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct ``_language`` (lang_pred, score, rejected)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        groups = [np.flatnonzero(m.owner == j) for j in range(len(m.languages))]
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            names, scores, out = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            todo = [i for i, t in enumerate(texts) if t and (t.isalpha() or any(map(str.isalpha, t)))] if groups else []
-            for a in range(0, len(todo), 256):
-                part = todo[a : a + 256]
-                sims = vectors([texts[i] for i in part], m.idf) @ m.centroids.T
-                best = np.stack([sims[:, g].max(1) for g in groups], 1)
-                for i, j, s in zip(part, best.argmax(1).tolist(), best.max(1).tolist(), strict=True):
-                    names[i], scores[i], out[i] = m.languages[j], min(1.0, max(0.0, s)), s < m.least[j]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(out)], ["id", "lang_pred", "score", "rejected"])
-
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "id long, lang_pred string, score double, rejected boolean")
-    return out.withColumnRenamed("id", id_col)
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def named(texts: pd.Series) -> pd.DataFrame:
+        return label(texts.tolist(), held.value)
+
+    return docs.withColumn("_language", named(F.col(text_col).cast("string")))
+
+
+def label(texts: list[str | None], m: Model) -> pd.DataFrame:
+    groups = [np.flatnonzero(m.owner == j) for j in range(len(m.languages))]
+    names, scores, out = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    todo = [i for i, t in enumerate(texts) if t and (t.isalpha() or any(map(str.isalpha, t)))] if groups else []
+    for a in range(0, len(todo), 256):
+        part = todo[a : a + 256]
+        sims = vectors([texts[i] for i in part], m.idf) @ m.centroids.T
+        best = np.stack([sims[:, g].max(1) for g in groups], 1)
+        for i, j, s in zip(part, best.argmax(1).tolist(), best.max(1).tolist(), strict=True):
+            names[i], scores[i], out[i] = m.languages[j], min(1.0, max(0.0, s)), s < m.least[j]
+    return pd.DataFrame({"lang_pred": names, "score": scores, "rejected": out})
