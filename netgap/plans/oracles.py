@@ -156,9 +156,9 @@ select gr."row", gr.col, x, y, coalesce(round_even(v,0),65535e0) "value" from gr
 ho as (select st.*, round_even(len,0)::int l from st join e on e.s=st.s and e.t=st.t), mx as (select max(id) m from nodes),
 mk as (select s, t, o, m + row_number() over (order by s,t,o) id from ho, mx where o > 0 and o < l),
 nm as (select s,t,o,id from mk union all select s,t,o,s from ho where o<=0 union all select s,t,o,t from ho where o>=l and o>0),
-sp as (select s, t, o::double at, id from mk union all select e.s, e.t, 0e0, e.s from e where exists (select 1 from mk where mk.s=e.s and mk.t=e.t)
+sp as (select s, t, o::double pos, id from mk union all select e.s, e.t, 0e0, e.s from e where exists (select 1 from mk where mk.s=e.s and mk.t=e.t)
   union all select e.s, e.t, e.len, e.t from e where exists (select 1 from mk where mk.s=e.s and mk.t=e.t)),
-sq as (select s, t, id a, lead(id) over w b, lead(at) over w - at len from sp window w as (partition by s, t order by at)),
+sq as (select s, t, id a, lead(id) over w b, lead(pos) over w - pos len from sp window w as (partition by s, t order by pos)),
 ed as (select least(a,b) src, greatest(a,b) dst, len length_m, lt link_type from sq join (select s s0, t t0, lt from e) k on k.s0=s and k.t0=t where b is not null
   union all select s, t, len, lt from e where not exists (select 1 from mk where mk.s=e.s and mk.t=e.t)),
 ne as (select least(a.id,b.id) src, greatest(a.id,b.id) dst, arg_min(geo, (fs,ft,f0,ts,tt,t0))::double length_m from lk join nm a on a.s=fs and a.t=ft and a.o=f0 join nm b on b.s=ts and b.t=tt and b.o=t0 where a.id<>b.id group by 1,2)
