@@ -27,9 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.written_to)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,8 +58,14 @@ def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now rather than when the driver happens to collect garbage."""
+    """Lets Spark drop the shuffle files of finished steps now rather than when the driver happens to collect garbage.
+
+    Python's references go first, then the JVM's; what only the first collection made unreachable goes with the second.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -7,8 +7,8 @@ it whose word sequence also starts in a document with a smaller id.
    further part.
 2. Seeds: anchors of ``SEED`` words are winnowed so that every window holds one, chosen by the window's words alone.
    Equal windows therefore share an anchor.  Only anchors that occur in two documents go on.
-3. Extension: each shared anchor is extended both ways to the windows around it.  Windows are keyed by two 64-bit
-   hashes; the smallest id of each is found, and windows under a larger id are repeats.
+3. Extension: each shared anchor is extended both ways to the windows around it.  Windows are keyed by 96 bits of
+   hash; the smallest id of each is found, and windows under a larger id are repeats.
 4. The repeated windows of a document merge into maximal spans, which are cut out.
 
 Every large group (a passage in a third of all documents) is only ever counted or joined with one row a key, both of
@@ -85,8 +85,8 @@ def _tag(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
 
 
-def extended(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """Windows around the anchors at ``at``: two hashes, id, and the tag of the text with the window's first word."""
+def extended(docs: DataFrame, window: int, seed: int, tagged: bool) -> DataFrame:
+    """Windows around the anchors at ``at``: two hashes, id, and the window's first word (with the tag of the text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,14 +102,15 @@ def extended(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     hit[w.first[k] + starts] = True
                 at = np.flatnonzero(hit)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                tags = np.array([_tag(t) for t in texts], np.int64)
+                tags = np.array([_tag(t) if tagged else 0 for t in texts], np.int64)
                 keys = [flat.windows(w.hashes(k), window, k)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for k in (0, 1)]
+                keys[1] = keys[1].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(ids[i:j][doc]), pa.array(tags[doc] << 32 | (at - w.first[doc]))], ["w1", "w2", "id", "place"])
 
-    return docs.mapInArrow(work, "w1 long, w2 long, id long, place long")
+    return docs.mapInArrow(work, "w1 long, w2 int, id long, place long")
 
 
-def kept_texts(docs: DataFrame, window: int) -> DataFrame:
+def kept_texts(docs: DataFrame, window: int, tagged: bool) -> DataFrame:
     """Cuts the windows at ``places`` (all windows where ``copy``) out of ``text``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def kept_texts(docs: DataFrame, window: int) -> DataFrame:
                     kept = words
                 else:
                     p = places[k].values.to_numpy()
-                    starts = (p & 0xFFFFFFFF)[p >> 32 == _tag(t)]
+                    starts = (p & 0xFFFFFFFF)[p >> 32 == (_tag(t) if tagged else 0)]
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
@@ -147,6 +148,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     real = plain.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * window - 1))
 
+    tagged = not real.groupBy("id").count().filter("count > 1").isEmpty()  # texts that share an id are told apart by a tag
     digests = real.select("id", F.unhex(F.md5("text")).alias("digest"))
     first = storage.written(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first"), "copies-first")
     copies = storage.written(digests.join(first, "digest").filter("id > first").select("id", "digest").distinct(), "copies")
@@ -157,19 +159,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     storage.release(spark)
     places = seeds.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at"))
     places = storage.written(places, "seeds")
+    storage.drop(shared)
     storage.release(spark)
     hit = real.join(places, "id").join(copies.select("id").distinct(), "id", "left_anti")
-    found = storage.written(extended(hit, window, seed), "windows")
+    found = storage.written(extended(hit, window, seed, tagged), "windows")
+    storage.drop(places)
     storage.release(spark)
     least = found.groupBy("w1", "w2").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("w1", "w2", "a")
     least = storage.written(least, "repeats")
     spans = found.join(least, ["w1", "w2"]).filter("id > a").groupBy("id").agg(F.collect_set("place").alias("places"))
     spans = storage.written(spans.withColumnRenamed("id", "sid"), "spans")
+    storage.drop(found, least)
     storage.release(spark)
 
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("carry"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("md"))
     copied = copies.select(F.col("id").alias("cid"), F.col("digest").alias("cd")).withColumn("copy", F.lit(True))
     joined = every.join(spans, F.col("id") == F.col("sid"), "left").join(copied, (F.col("id") == F.col("cid")) & (F.col("md") == F.col("cd")), "left")
-    out = kept_texts(joined.select("id", "carry", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy")), window)
+    out = kept_texts(joined.select("id", "carry", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy")), window, tagged)
     extra = [F.col(f"carry.`{c}`").alias(c) for c in carry or []]
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *extra)
