@@ -42,7 +42,10 @@ LONG_WORD = 48
 @functools.cache
 def classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for c in range(0x40000):  # no letters or numbers beyond
+        if (k := kinds.get(unicodedata.category(chr(c))[0])) is not None:
+            table[c] = k
     table[list(WHITE_SPACE)] = SPACE
     return table
 
@@ -399,10 +402,15 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(spark: SparkSession, docs: DataFrame, vocab_path: str, text_col: str = "text", size: int = 65_536, longest: int = LONG_WORD) -> str:
-    """Compiles the ``size`` most frequent pretokens of ``docs``; returns the name of the file that workers map."""
-    counts = word_counts(docs, text_col).filter((F.length("word") <= longest) & (F.col("n") > 1))
-    rows = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+def build_lexicon(spark: SparkSession, docs: DataFrame, vocab_path: str, text_col: str = "text", share: int = 1 << 20, longest: int = LONG_WORD) -> str:
+    """Compiles the frequent pretokens of ``docs``: those that begin more often than once in ``share`` characters.
+
+    That bounds the lexicon by ``share`` words at any size of the corpus (frequencies add up to one), so what reaches the
+    driver does not grow with the input.  Returns the name of the file that workers map.
+    """
+    chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    least = max(2, 1 + chars // share)
+    rows = word_counts(docs, text_col).filter((F.length("word") <= longest) & (F.col("n") >= least)).collect()
     words = sorted(bytes(r.word) for r in rows)
     vocab = vocabulary(vocab_path)
     raw = np.frombuffer(b"".join(words), np.uint8)
@@ -413,15 +421,15 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, vocab_path: str, text_co
     return name
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = 65_536) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids array<int>, decoded string (the decoding of ids)."""
-    name = build_lexicon(spark, docs, vocab_path, text_col, lexicon_size)
+    name = build_lexicon(spark, docs, vocab_path, text_col)
     return _encoded(docs, vocab_path, name, id_col, text_col, False)
 
 
-def encode_digests(spark: SparkSession, docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = 65_536) -> DataFrame:
+def encode_digests(spark: SparkSession, docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode_documents``, with digests in place of the ids and the decoded text."""
-    name = build_lexicon(spark, docs, vocab_path, text_col, lexicon_size)
+    name = build_lexicon(spark, docs, vocab_path, text_col)
     return _encoded(docs, vocab_path, name, id_col, text_col, True)
 
 
