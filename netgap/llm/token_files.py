@@ -30,13 +30,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import bpe, flat
 
 MAGIC = b"NGTOK1\0\0"
-BLOCK, LANES, FRAME_IDS = 8192, 768, 6_000_000
+BLOCK, LANES, FRAME_IDS = 4096, 1536, 6_200_000
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-SLOTS = 4096
+SLOTS = 2048
 NULL_ID = -(1 << 63)
 U = np.uint64
 
 
+SHARE, LEVEL = 12, 14  # bits of the mixing weights and of order-0 frequencies
+SURE, RARE = (1 << SHARE) - 32, 32
+
+
 class Model:
     """The predictors of many blocks (lanes), advanced in step."""
 
@@ -45,54 +49,75 @@ class Model:
         self.k, self.lane = k, np.arange(n)
         self.counts = (np.arange(k)[None, :] < alphabet[:, None]).astype(np.int32)
         self.cum = np.zeros((n, k + 1), np.int32)
-        self.two = np.zeros(n * SLOTS, np.int32)  # id << 2 | confidence; 0: nothing yet
+        self.two = np.zeros(n * SLOTS, np.int32)  # id + 1 << 2 | confidence; 0: nothing yet
         self.one = np.zeros(n * (k + 1), np.int32)
-        self.mix = np.tile(np.array([6, 6, 12, 0], np.int32), (n * 16, 1))
+        self.hit2, self.hit1 = (np.full(n * 16, (1 << SHARE) // d, np.int32) for d in (2, 4))
         self.s1 = self.s2 = np.zeros(n, np.int64)
         self.step = 0
+        self.keep(n)
         self._rebuild()
 
     def _rebuild(self) -> None:
-        np.cumsum(self.counts, axis=1, out=self.cum[:, 1:])
+        """Order-0 frequencies: the counts so far, scaled to ``LEVEL`` bits, at least 1 each."""
+        sums = np.cumsum(self.counts, axis=1, dtype=np.int64)
+        scale = (((1 << LEVEL) - self.k) << 16) // sums[:, -1:]
+        self.cum[:, 1:] = (sums * scale >> 16) + np.arange(1, self.k + 1)
+        self.flat_cum = self.cum.reshape(-1)
 
     def keep(self, n: int) -> None:
         """Goes on with the first ``n`` lanes."""
         self.lane, self.s1, self.s2 = self.lane[:n], self.s1[:n], self.s2[:n]
         self.counts, self.cum = self.counts[:n], self.cum[:n]
+        self.flat_cum = self.cum.reshape(-1)
+        self.base2, self.base1, self.base0, self.base_c, self.base_m = (self.lane * m for m in (SLOTS, self.k + 1, self.k, self.k + 1, 16))
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids named by orders 2 and 1 (-1: none), and the weights of orders 2, 1 and 0."""
-        self.at2 = self.lane * SLOTS + ((self.s1 * 40503 + self.s2 * 10007) & (SLOTS - 1))
-        self.at1 = self.lane * (self.k + 1) + self.s1
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids named by orders 2 and 1 (-1: none), and the weights of orders 2 and 1; the rest is order 0's."""
+        self.at2 = self.base2 + ((self.s1 * 40503 + self.s2 * 10007) & (SLOTS - 1))
+        self.at1 = self.base1 + self.s1
         self.v2, self.v1 = self.two[self.at2], self.one[self.at1]
-        p2, p1, c2, c1 = (self.v2 >> 2) - 1, (self.v1 >> 2) - 1, self.v2 & 3, self.v1 & 3
-        self.context = (self.lane << 4) + (c2 << 2) + c1
-        w = self.mix[self.context]
-        w2 = np.where(c2 > 0, w[:, 0], 0)
-        w1 = np.where((c1 > 0) & (p1 != p2), w[:, 1], 0)
-        return p2, p1, w2.astype(U), w1.astype(U), w[:, 2].astype(U)
-
-    def update(self, x: np.ndarray, kind: np.ndarray) -> None:
-        """``kind``: 0, 1 or 2 for order 2, 1 or 0."""
-        flat_mix = self.mix.reshape(-1)
-        flat_mix[(self.context << 2) + kind] += 24
-        total = self.mix[self.context].sum(1)
-        big = self.context[total > 2000]
-        if len(big):
-            self.mix[big] = (self.mix[big] + 1) >> 1
-            self.mix[big, 3] = 0
-        name = (x + 1) << 2
-        for table, at, v in ((self.two, self.at2, self.v2), (self.one, self.at1, self.v1)):
-            c = v & 3
-            same = (v - c) == name
-            table[at] = np.where(same, name + np.minimum(c + 1, 3), np.where(c > 1, v - 1, name + 1))
-        self.counts.reshape(-1)[self.lane * self.k + x] += 1
+        p2, p1 = (self.v2 >> 2) - 1, (self.v1 >> 2) - 1
+        self.c2, self.c1 = self.v2 & 3, self.v1 & 3
+        self.context = self.base_m + ((self.c2 << 2) | self.c1)
+        self.m2, self.m1 = self.hit2[self.context], self.hit1[self.context]
+        w2 = self.m2 * (self.c2 > 0)
+        w1 = ((((1 << SHARE) - w2) * self.m1) >> SHARE) * ((self.c1 > 0) & (p1 != p2))
+        return p2, p1, w2, w1
+
+    def update(self, x: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
+        c = self.context
+        self.hit2[c] = self.m2 + ((np.where(is2, SURE, RARE) - self.m2) >> 5)
+        self.hit1[c] = np.where(is2, self.m1, self.m1 + ((np.where(is1, SURE, RARE) - self.m1) >> 5))
+        name = ((x + 1) << 2).astype(np.int32)
+        for table, at, v, c in ((self.two, self.at2, self.v2, self.c2), (self.one, self.at1, self.v1, self.c1)):
+            table[at] = np.where(v - c == name, name + np.minimum(c + 1, 3), np.where(c > 1, v - 1, name + 1))
+        self.counts.reshape(-1)[self.base0 + x] += 1
         self.s2, self.s1 = self.s1, x + 1
         self.step += 1
         if self.step % 512 == 0 or self.step in (32, 64, 128, 256):
             self._rebuild()
 
 
+def _shift(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
+    """Lanes whose range has become narrow: the caller moves one word, then low and span are shifted."""
+    among = None
+    while True:
+        a, b = (low, span) if among is None else (low[among], span[among])
+        agree = (a ^ (a + b)) < TOP
+        at = np.flatnonzero(agree | (b < BOTTOM))
+        if not len(at):
+            return
+        under = at[~agree[at]]
+        if among is not None:
+            at, under = among[at], among[under]
+        if len(under):
+            span[under] = (U(0) - low[under]) & (BOTTOM - U(1))
+        yield at
+        low[at] <<= U(16)
+        span[at] <<= U(16)
+        among = at
+
+
 def _alphabets(blocks: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     found = [np.unique(b, return_inverse=True) for b in blocks]
     return [f[0] for f in found], [f[1].astype(np.int64) for f in found]
@@ -107,50 +132,35 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     ids = np.zeros((size.max(), n), np.int64)
     for i, x in enumerate(local):
         ids[: len(x), i] = x
-    low, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
+    every_low, every_span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
     out, used = np.zeros((n, 2 * int(size.max()) + 16), np.uint16), np.zeros(n, np.int64)
-    live = n
+    low, span, live = every_low, every_span, n
     for t in range(size.max()):
         if size[live - 1] <= t:
             live = int(np.searchsorted(-size, -t, "left"))
             model.keep(live)
-            full = low, span
-            low, span = low[:live], span[:live]
+            low, span = every_low[:live], every_span[:live]
         x = ids[t, :live]
-        p2, p1, w2, w1, w0 = model.predict()
+        p2, p1, w2, w1 = model.predict()
         is2 = (p2 == x) & (w2 > 0)
         is1 = ~is2 & (p1 == x) & (w1 > 0)
-        r = span // (w2 + w1 + w0)
-        kind = np.where(is2, 0, np.where(is1, 1, 2))
-        low += r * np.where(is2, U(0), np.where(is1, w2, w2 + w1))
-        wide = r * np.where(is2, w2, np.where(is1, w1, w0))
-        rest = np.flatnonzero(kind == 2)
+        r = span >> U(SHARE)
+        below = np.where(is2, 0, np.where(is1, w2, w2 + w1))
+        low += r * below.astype(U)
+        span[:] = r * np.where(is2, w2, np.where(is1, w1, (1 << SHARE) - below)).astype(U)
+        rest = np.flatnonzero(~(is2 | is1))
         if len(rest):
-            y = x[rest]
-            c = model.cum[rest, y].astype(U)
-            r0 = wide[rest] // model.cum[rest, model.k].astype(U)
-            low[rest] += r0 * c
-            wide[rest] = r0 * (model.cum[rest, y + 1].astype(U) - c)
-        span[:] = wide
-        while True:
-            agree = (low ^ (low + span)) < TOP
-            under = ~agree & (span < BOTTOM)
-            at = np.flatnonzero(agree | under)
-            if not len(at):
-                break
-            under = np.flatnonzero(under)
-            span[under] = (U(0) - low[under]) & (BOTTOM - U(1))
+            at = model.base_c[rest] + x[rest]
+            c = model.flat_cum[at]
+            r0 = span[rest] >> U(LEVEL)
+            low[rest] += r0 * c.astype(U)
+            span[rest] = r0 * (model.flat_cum[at + 1] - c).astype(U)
+        for at in _shift(low, span):
             out[at, used[at]] = low[at] >> U(48)
             used[at] += 1
-            low[at] <<= U(16)
-            span[at] <<= U(16)
-        if live < n:
-            full[0][:live], full[1][:live] = low, span
-        model.update(x, kind)
-    low = full[0] if live < n else low
-    base = low.base if low.base is not None and len(low.base) == n else low
+        model.update(x, is2, is1)
     for k in range(4):
-        out[np.arange(n), used + k] = (base >> U(48 - 16 * k)) & U(0xFFFF)
+        out[np.arange(n), used + k] = (every_low >> U(48 - 16 * k)) & U(0xFFFF)
     return [(a, out[i, : used[i] + 4].copy()) for i, a in enumerate(names)]
 
 
@@ -158,7 +168,7 @@ def decode_blocks(parts: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray)
     """The blocks that ``encode_blocks`` coded."""
     n = len(parts)
     model = Model(np.array([len(a) for a, _ in parts]))
-    words = np.zeros((n, max(len(c) for _, c in parts) + 4), U)
+    words = np.zeros((n, max(len(c) for _, c in parts) + 4), np.uint16)
     for i, (_, c) in enumerate(parts):
         words[i, : len(c)] = c
     low, span, code = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U), np.zeros(n, U)
@@ -172,44 +182,35 @@ def decode_blocks(parts: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray)
             live = int(np.searchsorted(-size, -t, "left"))
             model.keep(live)
             low, span, code, used = low[:live], span[:live], code[:live], used[:live]
-        p2, p1, w2, w1, w0 = model.predict()
-        r = span // (w2 + w1 + w0)
-        v = (code - low) // r
-        is2 = v < w2
-        is1 = ~is2 & (v < w2 + w1)
-        kind = np.where(is2, 0, np.where(is1, 1, 2))
+        p2, p1, w2, w1 = model.predict()
+        r = span >> U(SHARE)
+        ahead, both = code - low, w2 + w1
+        is2 = ahead < r * w2.astype(U)
+        is1 = ~is2 & (ahead < r * both.astype(U))
         x = np.where(is2, p2, p1).astype(np.int64)
-        low += r * np.where(is2, U(0), np.where(is1, w2, w2 + w1))
-        wide = r * np.where(is2, w2, np.where(is1, w1, w0))
-        rest = np.flatnonzero(kind == 2)
+        below = np.where(is2, 0, np.where(is1, w2, both))
+        low += r * below.astype(U)
+        span[:] = r * np.where(is2, w2, np.where(is1, w1, (1 << SHARE) - below)).astype(U)
+        rest = np.flatnonzero(~(is2 | is1))
         if len(rest):
-            total = model.cum[rest, model.k].astype(U)
-            r0 = wide[rest] // total
-            want = np.minimum((code[rest] - low[rest]) // r0, total - U(1)).astype(np.int32)
-            y, top = np.zeros(len(rest), np.int64), np.full(len(rest), model.k)
-            for _ in range(bits):
-                middle = (y + top) >> 1
-                up = model.cum[rest, middle] <= want
-                y, top = np.where(up, middle, y), np.where(up, top, middle)
-            c = model.cum[rest, y].astype(U)
-            low[rest] += r0 * c
-            wide[rest] = r0 * (model.cum[rest, y + 1].astype(U) - c)
-            x[rest] = y
-        span = wide
-        while True:
-            agree = (low ^ (low + span)) < TOP
-            under = ~agree & (span < BOTTOM)
-            at = np.flatnonzero(agree | under)
-            if not len(at):
-                break
-            under = np.flatnonzero(under)
-            span[under] = (U(0) - low[under]) & (BOTTOM - U(1))
+            r0 = span[rest] >> U(LEVEL)
+            want = ((code[rest] - low[rest]) // r0).astype(np.int64)
+            first = model.base_c[rest]
+            y, step = first.copy(), 1 << (bits - 1)
+            last = first + model.k
+            while step:
+                middle = y + step
+                y = np.where((middle <= last) & (model.flat_cum[np.minimum(middle, last)] <= want), middle, y)
+                step >>= 1
+            c = model.flat_cum[y]
+            low[rest] += r0 * c.astype(U)
+            span[rest] = r0 * (model.flat_cum[y + 1] - c).astype(U)
+            x[rest] = y - first
+        for at in _shift(low, span):
             code[at] = (code[at] << U(16)) | words[at, used[at]]
             used[at] += 1
-            low[at] <<= U(16)
-            span[at] <<= U(16)
         ids[t, :live] = x
-        model.update(x, kind)
+        model.update(x, is2, is1)
     return [a[ids[: size[i], i]] for i, (a, _) in enumerate(parts)]
 
 
