@@ -7,8 +7,8 @@ similarity.  Texts that agree on a value are candidates; a pair is a link if the
 (1 - ``SIMILARITY``) of the longer one, found by alignment inside the band which that budget allows.  Classes are
 the connected components of links, and of exact copies.
 
-No group is expanded into all its pairs: each text of a bucket is compared with three leaders, drawn by hash for that
-bucket.  As long as that finds links, one member for each class in a bucket is drawn again and compared with new
+No group is expanded into all its pairs: each text of a bucket is compared with three leaders, drawn by a hash of their
+ids, so that buckets with the same members draw the same leaders and their pairs coincide.  As long as that finds links, one member for each class in a bucket is drawn again and compared with new
 leaders.  Exact copies are folded into one representative first.  Defined results: null texts and texts without words
 are alone in their class; rows that repeat an id are one document.
 """
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, k: int = K, picked: int = PICKED, n: int = SKETCHE
 
 def candidates(buckets: DataFrame, similarity: float, seed: int) -> DataFrame:
     """Pairs (a < b) of each row (key, id, n) with the leaders of its bucket, where lengths allow a link."""
-    order = [F.min(F.struct(F.xxhash64("id", "key", F.lit(seed * LEADERS + j)).alias("h"), F.col("id"), F.col("n"))).alias(f"l{j}") for j in range(LEADERS)]
+    order = [F.min(F.struct(F.xxhash64("id", F.lit(seed * LEADERS + j)).alias("h"), F.col("id"), F.col("n"))).alias(f"l{j}") for j in range(LEADERS)]
     leaders = buckets.groupBy("key").agg(*order, F.count("*").alias("size")).filter("size > 1")
     leaders = storage.written(leaders.select("key", F.array_distinct(F.array(*[F.struct(F.col(f"l{j}.id").alias("id"), F.col(f"l{j}.n").alias("n")) for j in range(LEADERS)])).alias("leaders")), "leaders")
     pairs = buckets.join(leaders, "key").select("id", "n", F.explode("leaders").alias("l")).filter("id <> l.id")
