@@ -7,10 +7,13 @@ similarity.  Texts that agree on a value are candidates; a pair is a link if the
 (1 - ``SIMILARITY``) of the longer one, found by alignment inside the band which that budget allows.  Classes are
 the connected components of links, and of exact copies.
 
-No group is expanded into all its pairs: each text of a bucket is compared with three leaders, drawn by a hash of their
-ids, so that buckets with the same members draw the same leaders and their pairs coincide.  As long as that finds links, one member for each class in a bucket is drawn again and compared with new
-leaders.  Exact copies are folded into one representative first.  Defined results: null texts and texts without words
-are alone in their class; rows that repeat an id are one document.
+Leaders are a first pass: each text of a bucket is compared with three of them, drawn by a hash of their ids, so that
+buckets with the same members draw the same leaders and their pairs coincide.  As long as that finds links, one member for
+each class in a bucket is drawn again and compared with new leaders.  A second pass is exact: every pair of a bucket that
+is then still in two classes is compared, block by block, and aligned unless lengths or word counts rule a link out.  So
+the classes are those of all links between texts that agree on a value, whichever leaders were drawn.  Only the members
+outside the largest class of a bucket are repeated for its blocks.  Exact copies are folded into one representative first.
+Defined results: null texts and texts without words are alone in their class; rows that repeat an id are one document.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from . import align, components, flat, storage
 
 K, PICKED, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
 LEADERS, ROUNDS = 3, 3
+#: Members of a block of the exact pass, and bins of its word counts.
+BLOCK, BINS = 512, 128
 LONG = 40_000
 
 
@@ -66,7 +71,7 @@ def sketch(words: np.ndarray, k: int = K, picked: int = PICKED, sketches: int =
 
 
 def sketches(docs: DataFrame, k: int = K, picked: int = PICKED, n: int = SKETCHES) -> DataFrame:
-    """id, digest of the text, number of words, order MinHash values; texts with a word only."""
+    """id, digest of the text, number of words, order MinHash values, word counts by bin; texts with a word only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,12 +81,13 @@ def sketches(docs: DataFrame, k: int = K, picked: int = PICKED, n: int = SKETCHE
                 h = w.hashes()
                 count = w.counts()
                 sig = [sketch(h[w.first[x] : w.first[x + 1]], k, picked, n).view(np.int64) for x in np.flatnonzero(count)]
+                bins = [np.minimum(np.bincount((h[w.first[x] : w.first[x + 1]] % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in np.flatnonzero(count)]
                 has = pa.array(np.flatnonzero(count))
                 part = b.slice(i, j - i).take(has)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * n), pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(count[count > 0]), values], ["id", "digest", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(count[count > 0]), values, pa.array(bins, pa.binary())], ["id", "digest", "n", "sig", "bins"])
 
-    return docs.select("id", "text", F.unhex(F.md5("text")).alias("digest")).mapInArrow(work, "id long, digest binary, n long, sig array<long>")
+    return docs.select("id", "text", F.unhex(F.md5("text")).alias("digest")).mapInArrow(work, "id long, digest binary, n long, sig array<long>, bins binary")
 
 
 def candidates(buckets: DataFrame, similarity: float, seed: int) -> DataFrame:
@@ -94,6 +100,61 @@ def candidates(buckets: DataFrame, similarity: float, seed: int) -> DataFrame:
     return near.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
 
 
+def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a < b) of each bucket of rows (key, id, n, c) whose classes c differ, where lengths and word counts
+    (``bins``: id, bins) allow a link.
+
+    The members outside the largest class are cut into blocks; each meets every block of that class, itself and the
+    later blocks.  A cell is one meeting of two blocks.
+    """
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("z")).filter("z > 1 and size > 2")
+    mixed = storage.written(mixed.select("key", F.col("top.c").alias("top"), F.expr(f"int((top.m + {BLOCK - 1}) div {BLOCK})").alias("nm"), F.expr(f"int((size - top.m + {BLOCK - 1}) div {BLOCK})").alias("nr")), "mixed")
+    placed = named.join(mixed, "key").withColumn("at", F.expr("int(pmod(xxhash64(id), if(c = top, nm, nr)))"))
+    cells = F.expr("""if(c = top, transform(sequence(0, nr - 1), i -> struct(i, at as x, 1 as side)), concat(
+        transform(sequence(0, nm - 1), x -> struct(at as i, x, 0 as side)), array(struct(at as i, nm + at as x, 2 as side)),
+        filter(transform(sequence(0, nr - 1), j -> struct(least(at, j) as i, nm + greatest(at, j) as x, if(j < at, 1, 0) as side)), y -> y.x <> nm + y.i)))""")
+    rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y")).select(F.xxhash64("key", "y.i", "y.x").alias("cell"), F.col("y.side").alias("side"), "id", "n", "c")
+    rows = storage.written(rows.join(bins, "id"), "cells")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            cut = np.append(0, np.flatnonzero(np.diff(t["cell"].to_numpy())) + 1)
+            yield from meetings(t.slice(0, int(cut[-1])), similarity)
+            rest = t.slice(int(cut[-1]))
+        if rest is not None:
+            yield from meetings(rest, similarity)
+
+    n = max(named.sparkSession.sparkContext.defaultParallelism, int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long").distinct()
+
+
+def meetings(t: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of ``crossing`` in whole cells: members of side 0 with those of side 1, those of side 2 with each other."""
+    if not len(t):
+        return
+    cell, side, ids, n, c = (t[x].to_numpy() for x in ("cell", "side", "id", "n", "c"))
+    bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+    begin = np.append(np.append(0, np.flatnonzero(np.diff(cell)) + 1), len(cell))
+    for u, v in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        at = [u + np.flatnonzero(side[u:v] == k) for k in range(3)]
+        for left, right in ((at[0], at[1]), (at[2], at[2])):
+            if not len(left) or not len(right):
+                continue
+            limit = np.floor((1 - similarity) * np.maximum(n[left][:, None], n[right]) + 1e-9)
+            good = (c[left][:, None] != c[right]) & (abs(n[left][:, None] - n[right]) <= limit)
+            i, j = np.nonzero(np.triu(good) if left is right else good)
+            for k in range(0, len(i), 1 << 14):
+                x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                d = bins[left[x]].astype(np.int16) - bins[right[y]]
+                over = np.maximum(d, 0).sum(1)  # an edit changes one count up and one down at most
+                near = np.maximum(over, over - d.sum(1)) <= limit[x, y]
+                p, q = ids[left[x[near]]], ids[right[y[near]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose words align within the budget: a, b, distance."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -109,6 +170,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long, distance long")
 
 
+def aligned(pairs: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
+    """The links among ``pairs``, written."""
+    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = storage.written(full.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    found = storage.written(verified(pairs, texts, similarity), "links")
+    storage.release(pairs.sparkSession)
+    return found
+
+
 def linked(s: str, t: str, similarity: float) -> int | None:
     from collections import Counter
 
@@ -128,7 +198,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     full = plain.filter(F.col("text").isNotNull())
     sk = storage.written(sketches(full, k, picked, n_sketches), "sketches")
-    reps = storage.written(sk.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "representatives")
+    reps = storage.written(sk.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bins").alias("bins"), F.count("*").alias("copies")), "representatives")
     member = sk.select("id", "digest").join(reps.filter("copies > 1").select("digest", "rep"), "digest").select("id", "rep")
     buckets = reps.select(F.col("rep").alias("id"), "n", F.explode("sig").alias("key")).select("key", "id", "n")
     first = candidates(buckets, similarity, 0)
@@ -137,17 +207,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     copies = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     links, tried_all = None, tried
     for round_ in range(1, ROUNDS + 1):
-        involved = tried.select(F.col("a").alias("id")).union(tried.select(F.col("b").alias("id"))).distinct()
-        texts = storage.written(full.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        new = storage.written(verified(tried, texts, similarity), "links")
-        storage.release(docs.sparkSession)
+        new = aligned(tried, full, similarity)
         links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
         labels = components.connected(links.select("a", "b"))
-        if round_ == ROUNDS:
-            break
         named = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("label", "id"))
+        if round_ == ROUNDS or new.isEmpty():
+            break
         drawn = named.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(round_)).alias("h"), "id", "n")).alias("m"))
         mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("z")).filter("x < y and z > 2").select("key")
         again = candidates(storage.written(drawn.join(mixed, "key", "left_semi").select("key", "m.id", "m.n"), "drawn"), similarity, round_)
@@ -155,7 +220,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         if tried.isEmpty():
             break
         tried_all = tried_all.unionByName(tried)
-    edges = copies if links is None else copies.unionByName(links.select("a", "b"))
+    left = crossing(named, reps.select(F.col("rep").alias("id"), "bins"), similarity)
+    left = storage.written(left.join(tried_all, ["a", "b"], "left_anti"), "pairs")
+    edges = copies.unionByName(links.select("a", "b")).unionByName(aligned(left, full, similarity).select("a", "b"))
     final = components.connected(edges)
     ids = plain.select("id").distinct()
     return ids.join(final.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"))

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from netgap.llm import bpe, decontaminate, language, near_dedup, quality_rules, queries, substring_dedup, token_files, toxicity, warc, weak_labels
+from netgap.llm import bpe, decontaminate, flat, language, near_dedup, quality_rules, queries, substring_dedup, token_files, toxicity, warc, weak_labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,6 +104,36 @@ def test_near_duplicates_hot_group(spark):
     assert got.filter("class_id <> 0").isEmpty() and got.count() == 150
 
 
+def test_near_duplicates_within_a_template(spark):
+    """Pairs of texts that agree with the whole group on the same values, and are linked only with each other."""
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        tail = [f"u{i}x{k}" if k % 3 == 0 else f"p{i // 2}x{k}" for k in range(45)]
+        rows.append((i, " ".join(template + tail)))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_near_duplicates_equal_all_pairs_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(100)]
+    texts = [" ".join(f"x{i}y{k}" if rng.random() < 0.11 else w for k, w in enumerate(base)) for i in range(60)]
+    values = [set(near_dedup.sketch(flat.Words([t]).hashes()).tolist()) for t in texts]
+    root = list(range(60))
+    links = 0
+    for b in range(60):
+        for a in range(b):
+            if values[a] & values[b] and near_dedup.linked(texts[a], texts[b], 0.8) is not None:
+                links += 1
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert 0 < links < 59 * 60 // 4 and len(set(root)) > 1
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_quality_rules(docs, corpus, spark):
     extra = docs.withColumn("n_words", F.lit("clash"))
     found = {r.doc_id: r for r in quality_rules.apply_rules(extra).collect()}
