@@ -17,8 +17,9 @@ DIST = "origin long, dest long, d int"
 KERNEL_ARCS = 4_000_000
 
 
-def shortest(adjacency: dict[int, list[tuple[int, float]]], origin: int, limit: float) -> dict[int, float]:
-    """Distances from one origin, up to ``limit``."""
+def shortest(adjacency: dict[int, list[tuple[int, float]]], origin: int, limit: float, goals: set[int] | None = None) -> dict[int, float]:
+    """Distances from one origin, up to ``limit``, or until all of ``goals`` are reached."""
+    left = set(goals) if goals is not None else None
     done: dict[int, float] = {}
     heap = [(0.0, origin)]
     best = {origin: 0.0}
@@ -27,6 +28,10 @@ def shortest(adjacency: dict[int, list[tuple[int, float]]], origin: int, limit:
         if u in done:
             continue
         done[u] = d
+        if left is not None:
+            left.discard(u)
+            if not left:
+                break
         for v, w in adjacency.get(u, ()):
             e = d + w
             if e <= limit and e < best.get(v, np.inf):
@@ -128,9 +133,53 @@ def net_distance_exact(net: Network, links: DataFrame, out: str = "net_exact") -
     """Unbounded network distance of each link, in metres (infinite if disconnected)."""
     if not links.filter((F.col("fr_src") == F.col("to_src")) & (F.col("fr_tgt") == F.col("to_tgt"))).isEmpty():
         raise ValueError("both ends of a link are on one edge")
-    starts = links.select(F.explode(F.array("fr_src", "fr_tgt")).alias("id")).distinct()
-    dist = distance_table(net, float("inf"), starts, exact=True)
     combos = F.array(*[F.struct(F.col(o).alias("origin"), F.col(t).alias("dest"), (F.col(a) + F.col(b)).alias("off")) for o, a in (("fr_src", "fr_from_start"), ("fr_tgt", "fr_to_end")) for t, b in (("to_src", "to_from_start"), ("to_tgt", "to_to_end"))])
     keyed = links.withColumn("_k", F.struct(*ENDS))
-    best = keyed.select("_k", F.explode(combos).alias("c")).distinct().select("_k", "c.*").join(dist, ["origin", "dest"]).groupBy("_k").agg(F.min(F.col("d") + F.col("off")).alias("_n"))
+    rows = written(keyed.select("_k", F.explode(combos).alias("c")).distinct().select("_k", "c.*"), "ends")
+    adjacency = adjacency_of(net.edges)
+    if adjacency is None:
+        dist = distance_table(net, float("inf"), rows.select(F.col("origin").alias("id")).distinct(), method="relax", exact=True)
+    else:
+        dist = _wanted(rows.select("origin", "dest").distinct(), adjacency)
+    best = rows.join(dist, ["origin", "dest"]).groupBy("_k").agg(F.min(F.col("d") + F.col("off")).alias("_n"))
     return keyed.join(best, "_k", "left").withColumn(out, F.coalesce("_n", F.lit(float("inf")))).drop("_k", "_n")
+
+
+def _wanted(pairs: DataFrame, adjacency: dict) -> DataFrame:
+    """Exact distances of the given pairs (origin, dest) that are connected: one search per origin, until its last
+    destination is reached."""
+    spark = pairs.sparkSession
+    held = spark.sparkContext.broadcast((adjacency, parts(adjacency)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arcs_of, part = held.value
+        for b in batches:
+            o, v, d = [], [], []
+            for origin, dests in zip(b.origin.tolist(), b.dests, strict=True):
+                goals = {x for x in dests.tolist() if x == origin or part.get(x, x) == part.get(origin, origin)}
+                found = shortest(arcs_of, origin, float("inf"), goals)
+                o += [origin] * len(goals)
+                v += goals
+                d += [found[x] for x in goals]
+            if o:
+                yield pd.DataFrame({"origin": o, "dest": v, "d": d})
+
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grouped = pairs.groupBy("origin").agg(F.collect_set("dest").alias("dests"))
+    return grouped.repartition(n, "origin").mapInPandas(work, "origin long, dest long, d double")
+
+
+def parts(adjacency: dict[int, list[tuple[int, float]]]) -> dict[int, int]:
+    """The component of each vertex with an arc."""
+    out: dict[int, int] = {}
+    for first in adjacency:
+        if first in out:
+            continue
+        out[first] = first
+        todo = [first]
+        while todo:
+            for v, _ in adjacency.get(todo.pop(), ()):
+                if v not in out:
+                    out[v] = first
+                    todo.append(v)
+    return out

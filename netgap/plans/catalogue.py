@@ -138,8 +138,7 @@ def net_distance(spark, d):
 @query
 def net_distance_exact(spark, d):
     n, _, found = _links(spark, d)
-    some = found.filter("fr_src < to_src and fr_src % 20 = 0")
-    return distance.net_distance_exact(n, some).select(*L.LINK, F.round("net_exact", 6).alias("net_exact"))
+    return distance.net_distance_exact(n, written(found, "links")).select(*L.LINK, F.round("net_exact", 6).alias("net_exact"))
 
 
 @query
