@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -38,6 +40,18 @@ def chunks(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def pieces(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows of about ``limit`` bytes of text (one row at least), with their texts; null is empty.
+
+    Only one range at a time is turned into Python strings.
+    """
+    if not len(column):
+        return
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, j in chunks(sizes, limit):
+        yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]
+
+
 class _Powers:
     """Powers of an odd base and of its inverse mod 2^64, extended on demand."""
 

@@ -1,36 +1,58 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-Texts are sequences of words ``[^\\x20\\x09-\\x0D]+``; their k-mers are runs of ``K`` words, labelled with their
-occurrence number.  Each of ``SKETCHES`` hash functions picks the ``PICKED`` smallest labelled k-mers and keeps them in
-text order: two texts agree on such a value only if they share those k-mers in the same order, which follows edit
-similarity.  Texts that agree on a value are candidates; a pair is a link if the edit distance of their words is at most
-(1 - ``SIMILARITY``) of the longer one, found by alignment inside the band which that budget allows.  Classes are
-the connected components of links, and of exact copies.
-
-Leaders are a first pass: each text of a bucket is compared with three of them, drawn by a hash of their ids, so that
-buckets with the same members draw the same leaders and their pairs coincide.  As long as that finds links, one member for
-each class in a bucket is drawn again and compared with new leaders.  A second pass is exact: every pair of a bucket that
-is then still in two classes is compared, block by block, and aligned unless lengths or word counts rule a link out.  So
-the classes are those of all links between texts that agree on a value, whichever leaders were drawn.  Only the members
-outside the largest class of a bucket are repeated for its blocks.  Exact copies are folded into one representative first.
-Defined results: null texts and texts without words are alone in their class; rows that repeat an id are one document.
+Texts are sequences of words ``[^\\x20\\x09-\\x0D]+``; their k-mers are labelled with their occurrence number.  Each hash
+function of a ``Scale`` picks the smallest labelled k-mers and keeps them in text order: two texts agree on such a value
+only if they share those k-mers in the same order, which follows edit similarity.  All texts are sketched by k-mers of
+five words; short texts, where a few edits touch most of these, also by shorter ones.  Texts that agree on a value (share
+a bucket) are candidates; a pair is a link if the edit distance of their words is at most (1 - ``SIMILARITY``) of the
+longer one, found by alignment inside the band which that budget allows.  Classes are the connected components of links,
+and of exact copies.
+
+1. Exact copies are folded into one representative for each text.
+2. Sketch values are sorted once, by range of (value, hash of the id), so a bucket of any size is dealt over as many
+   tasks as its size asks for.  Each task walks its rows and compares every member of a bucket with the first it has
+   met.  Ids are in the same order in every bucket, so buckets with the same members give the same pairs.
+3. The pass over buckets that still hold several classes is exact: every pair of different classes is compared, block
+   by block, and aligned unless lengths or word counts rule a link out.  So the classes are those of all links between
+   texts that agree on a value, whichever members came first.
+
+Defined results: null texts and texts without words are alone in their class; null ids have no row; rows that repeat an
+id are one document, whose class holds the links of all its texts; texts of any length are sketched and aligned whole;
+ties (equal texts, equal hashes) go to the smaller id; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import align, components, flat, storage
+from netgap.operators import components
 
-K, PICKED, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
-LEADERS, ROUNDS = 3, 3
+from . import align, flat, storage
+
+
+@dataclass(frozen=True)
+class Scale:
+    """``functions`` hashes, each of which picks ``picked`` k-mers of ``k`` words, for texts of up to ``words`` words."""
+
+    k: int
+    picked: int
+    functions: int
+    words: int | None = None
+
+
+SIMILARITY = 0.8
+#: Five words for all texts; the others make up for the few five-word runs that edits leave in short texts.
+SCALES = (Scale(5, 2, 80), Scale(2, 4, 32, 125), Scale(1, 3, 32, 50))
 #: Members of a block of the exact pass, and bins of its word counts.
-BLOCK, BINS = 512, 128
-LONG = 40_000
+BLOCK, BINS = 2048, 128
+LONG = 1 << 19
+_SEEDS = flat.mix64(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def labelled(keys: np.ndarray) -> np.ndarray:
@@ -44,60 +66,98 @@ def labelled(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-_SEEDS = flat.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def sketch(words: np.ndarray, scales: tuple[Scale, ...] = SCALES) -> np.ndarray:
+    """Order MinHash values of one text of at least one word, given the hashes of its words."""
+    out, at = [], 0
+    for scale in scales:
+        seeds = _SEEDS[at : at + scale.functions]
+        at += scale.functions
+        if scale.words is None or len(words) <= scale.words:
+            out.append(values(labelled(flat.windows(words, min(scale.k, len(words)))), seeds, scale.picked))
+    return np.concatenate(out)
 
 
-def sketch(words: np.ndarray, k: int = K, picked: int = PICKED, sketches: int = SKETCHES) -> np.ndarray:
-    """Order MinHash values of one text, given the hashes of its words."""
-    keys = flat.windows(words, min(k, len(words)))
-    keys = labelled(keys)
-    out = np.zeros(sketches, np.uint64)
+def values(keys: np.ndarray, seeds: np.ndarray, picked: int) -> np.ndarray:
+    """For each seed a hash of the ``picked`` keys that are smallest under it, in their order."""
     picked = min(picked, len(keys))
-    rows = max(1, min(sketches, LONG * 8 // len(keys)))
-    for a in range(0, sketches, rows):
-        seeds = _SEEDS[a : min(a + rows, sketches), None]
-        h = (keys[None, :] ^ seeds) * (seeds | np.uint64(1))
-        at = np.empty((len(seeds), picked), np.int64)
-        line = np.arange(len(seeds))
+    small = (keys >> np.uint64(32)).astype(np.uint32)
+    turn, odd = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
+    out = seeds.copy()
+    rows = max(1, LONG // len(keys))
+    for a in range(0, len(seeds), rows):
+        h = (small ^ turn[a : a + rows, None]) * odd[a : a + rows, None]
+        line = np.arange(len(h))
+        at = np.empty((len(h), picked), np.int64)
         for p in range(picked):
             at[:, p] = h.argmin(1)
-            h[line, at[:, p]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            h[line, at[:, p]] = np.uint32(0xFFFFFFFF)
         at.sort(1)
-        value = seeds[:, 0].copy()
         for p in range(picked):
-            value = flat.mix64(value * np.uint64(0xC2B2AE3D27D4EB4F) + keys[at[:, p]])
-        out[a : a + len(seeds)] = value
+            out[a : a + rows] = flat.mix64(out[a : a + rows] * np.uint64(0xC2B2AE3D27D4EB4F) + keys[at[:, p]])
     return out
 
 
-def sketches(docs: DataFrame, k: int = K, picked: int = PICKED, n: int = SKETCHES) -> DataFrame:
+def sketches(docs: DataFrame, scales: tuple[Scale, ...] = SCALES) -> DataFrame:
     """id, digest of the text, number of words, order MinHash values, word counts by bin; texts with a word only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in flat.chunks([len(t) for t in texts]):
-                w = flat.Words(texts[i:j])
-                h = w.hashes()
-                count = w.counts()
-                sig = [sketch(h[w.first[x] : w.first[x + 1]], k, picked, n).view(np.int64) for x in np.flatnonzero(count)]
-                bins = [np.minimum(np.bincount((h[w.first[x] : w.first[x + 1]] % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in np.flatnonzero(count)]
-                has = pa.array(np.flatnonzero(count))
-                part = b.slice(i, j - i).take(has)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * n), pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(count[count > 0]), values, pa.array(bins, pa.binary())], ["id", "digest", "n", "sig", "bins"])
-
-    return docs.select("id", "text", F.unhex(F.md5("text")).alias("digest")).mapInArrow(work, "id long, digest binary, n long, sig array<long>, bins binary")
-
-
-def candidates(buckets: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """Pairs (a < b) of each row (key, id, n) with the leaders of its bucket, where lengths allow a link."""
-    order = [F.min(F.struct(F.xxhash64("id", F.lit(seed * LEADERS + j)).alias("h"), F.col("id"), F.col("n"))).alias(f"l{j}") for j in range(LEADERS)]
-    leaders = buckets.groupBy("key").agg(*order, F.count("*").alias("size")).filter("size > 1")
-    leaders = storage.written(leaders.select("key", F.array_distinct(F.array(*[F.struct(F.col(f"l{j}.id").alias("id"), F.col(f"l{j}.n").alias("n")) for j in range(LEADERS)])).alias("leaders")), "leaders")
-    pairs = buckets.join(leaders, "key").select("id", "n", F.explode("leaders").alias("l")).filter("id <> l.id")
-    near = pairs.filter(F.least("n", "l.n") >= F.floor(F.lit(similarity) * F.greatest("n", "l.n")))
-    return near.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+            for i, j, texts in flat.pieces(b.column("text")):
+                w = flat.Words(texts)
+                h, count = w.hashes(), w.counts()
+                own = [h[w.first[x] : w.first[x + 1]] for x in np.flatnonzero(count)]
+                found = [sketch(x, scales).view(np.int64) for x in own]
+                bins = [np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in own]
+                part = b.slice(i, j - i).take(pa.array(np.flatnonzero(count)))
+                ends = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
+                sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(count[count > 0], pa.int32()), sig, pa.array(bins, pa.binary())], ["id", "digest", "n", "sig", "bins"])
+
+    return docs.select("id", "text", F.unhex(F.md5("text")).alias("digest")).mapInArrow(work, "id long, digest binary, n int, sig array<long>, bins binary")
+
+
+def members(buckets: DataFrame) -> DataFrame:
+    """key, id, n, and the leader (lead, lead_n) of each row (key, id, n) that shares its key with another.
+
+    The leader is the first row of the key in the task's range.  A row at either end of a range may share its key with
+    rows of the next range: it is returned, alone or not, and left to the exact pass.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "n", "lead", "lead_n"]
+        last = lead = None  # key and leader (id, n) of the rows before
+        waiting = None  # the row before, if it is the only one of its key so far
+        at_head = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n"))
+            new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            if waiting is not None and not new[0]:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, waiting), strict=True)), schema)
+                waiting = None
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            who, size = ids[begin], n[begin]
+            if not new[0]:
+                who, size = np.where(begin < 0, lead[0], who), np.where(begin < 0, lead[1], size)
+            out = ~new
+            out[:-1] |= ~new[1:]
+            out[0] |= at_head
+            at_head = False
+            waiting = None if out[-1] else ([key[-1]], [ids[-1]], [n[-1]], [who[-1]], [size[-1]])
+            last, lead = key[-1], (who[-1], size[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out], f.type) for x, f in zip((key, ids, n, who, size), schema, strict=True)], schema=schema)
+        if waiting is not None:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, waiting), strict=True)), schema)
+
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("lead", pa.int64()), ("lead_n", pa.int32())])
+    ranked = buckets.select("key", F.xxhash64("id").alias("h"), "id", "n")
+    return ranked.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "id").select("key", "id", "n").mapInArrow(work, "key long, id long, n int, lead long, lead_n int")
+
+
+def _close(n: str, m: str, similarity: float) -> F.Column:
+    """Whether the lengths allow a link."""
+    return F.least(n, m) >= F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9)
 
 
 def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
@@ -108,7 +168,7 @@ def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
     later blocks.  A cell is one meeting of two blocks.
     """
     sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("z")).filter("z > 1 and size > 2")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("z")).filter("z > 1")
     mixed = storage.written(mixed.select("key", F.col("top.c").alias("top"), F.expr(f"int((top.m + {BLOCK - 1}) div {BLOCK})").alias("nm"), F.expr(f"int((size - top.m + {BLOCK - 1}) div {BLOCK})").alias("nr")), "mixed")
     placed = named.join(mixed, "key").withColumn("at", F.expr("int(pmod(xxhash64(id), if(c = top, nm, nr)))"))
     cells = F.expr("""if(c = top, transform(sequence(0, nr - 1), i -> struct(i, at as x, 1 as side)), concat(
@@ -116,6 +176,7 @@ def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
         filter(transform(sequence(0, nr - 1), j -> struct(least(at, j) as i, nm + greatest(at, j) as x, if(j < at, 1, 0) as side)), y -> y.x <> nm + y.i)))""")
     rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y")).select(F.xxhash64("key", "y.i", "y.x").alias("cell"), F.col("y.side").alias("side"), "id", "n", "c")
     rows = storage.written(rows.join(bins, "id"), "cells")
+    storage.drop(mixed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -127,8 +188,9 @@ def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
         if rest is not None:
             yield from meetings(rest, similarity)
 
-    n = max(named.sparkSession.sparkContext.defaultParallelism, int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long").distinct()
+    found = storage.written(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long").distinct(), "met")
+    storage.drop(rows)
+    return found
 
 
 def meetings(t: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -140,48 +202,51 @@ def meetings(t: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
     begin = np.append(np.append(0, np.flatnonzero(np.diff(cell)) + 1), len(cell))
     for u, v in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         at = [u + np.flatnonzero(side[u:v] == k) for k in range(3)]
-        for left, right in ((at[0], at[1]), (at[2], at[2])):
+        for left, right, own in ((at[0], at[1], False), (at[2], at[2], True)):
             if not len(left) or not len(right):
                 continue
-            limit = np.floor((1 - similarity) * np.maximum(n[left][:, None], n[right]) + 1e-9)
-            good = (c[left][:, None] != c[right]) & (abs(n[left][:, None] - n[right]) <= limit)
-            i, j = np.nonzero(np.triu(good) if left is right else good)
-            for k in range(0, len(i), 1 << 14):
-                x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                d = bins[left[x]].astype(np.int16) - bins[right[y]]
-                over = np.maximum(d, 0).sum(1)  # an edit changes one count up and one down at most
-                near = np.maximum(over, over - d.sum(1)) <= limit[x, y]
-                p, q = ids[left[x[near]]], ids[right[y[near]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose words align within the budget: a, b, distance."""
+            for k in range(0, len(left), 256):
+                x = left[k : k + 256]
+                limit = np.floor((1 - similarity) * np.maximum(n[x][:, None], n[right]) + 1e-9)
+                good = (c[x][:, None] != c[right]) & (abs(n[x][:, None] - n[right]) <= limit)
+                if own:
+                    good &= x[:, None] < right
+                yield from counted(x, right, good, limit, ids, bins)
+
+
+def counted(left: np.ndarray, right: np.ndarray, good: np.ndarray, limit: np.ndarray, ids: np.ndarray, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The ``good`` pairs whose word counts by bin differ by no more than the limit allows."""
+    i, j = np.nonzero(good)
+    for k in range(0, len(i), 1 << 13):
+        x, y = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+        d = bins[left[x]].astype(np.int16) - bins[right[y]]
+        over = np.maximum(d, 0).sum(1)  # an edit changes one count up and one down at most
+        near = np.maximum(over, over - d.sum(1)) <= limit[x, y]
+        p, q = ids[left[x[near]]], ids[right[y[near]]]
+        if len(p):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+
+def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose words align within the budget, with their distance, written."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column("ta").to_pylist(), b.column("tb").to_pylist()
-            found = [linked(s, t, similarity) for s, t in zip(x, y, strict=True)]
-            at = pa.array([i for i, f in enumerate(found) if f is not None], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array([f for f in found if f is not None], pa.int64())], ["a", "b", "distance"])
+            hits, distances = [], []
+            x, y = b.column("ta"), b.column("tb")
+            for k in range(b.num_rows):
+                if (d := linked(x[k].as_py(), y[k].as_py(), similarity)) is not None:
+                    hits.append(k)
+                    distances.append(d)
+            at = pa.array(hits, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(distances, pa.int64())], ["a", "b", "distance"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long, distance long")
-
-
-def aligned(pairs: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
-    """The links among ``pairs``, written."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = storage.written(full.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    found = storage.written(verified(pairs, texts, similarity), "links")
-    storage.release(pairs.sparkSession)
-    return found
+    return storage.written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long, distance long"), "links")
 
 
 def linked(s: str, t: str, similarity: float) -> int | None:
-    from collections import Counter
-
     from .substring_dedup import WORD
 
     a, b = WORD.findall(s), WORD.findall(t)
@@ -193,36 +258,29 @@ def linked(s: str, t: str, similarity: float) -> int | None:
     return d if d <= limit else None
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, scales: tuple[Scale, ...] = SCALES) -> DataFrame:
     """id, class_id (smallest id of its class), one row per distinct non-null id."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     full = plain.filter(F.col("text").isNotNull())
-    sk = storage.written(sketches(full, k, picked, n_sketches), "sketches")
-    reps = storage.written(sk.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bins").alias("bins"), F.count("*").alias("copies")), "representatives")
-    member = sk.select("id", "digest").join(reps.filter("copies > 1").select("digest", "rep"), "digest").select("id", "rep")
-    buckets = reps.select(F.col("rep").alias("id"), "n", F.explode("sig").alias("key")).select("key", "id", "n")
-    first = candidates(buckets, similarity, 0)
-    tried = storage.written(first, "pairs")
-    storage.release(docs.sparkSession)
-    copies = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    links, tried_all = None, tried
-    for round_ in range(1, ROUNDS + 1):
-        new = aligned(tried, full, similarity)
-        links = new if links is None else links.unionByName(new)
-        labels = components.connected(links.select("a", "b"))
-        named = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("label", "id"))
-        if round_ == ROUNDS or new.isEmpty():
-            break
-        drawn = named.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(round_)).alias("h"), "id", "n")).alias("m"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("z")).filter("x < y and z > 2").select("key")
-        again = candidates(storage.written(drawn.join(mixed, "key", "left_semi").select("key", "m.id", "m.n"), "drawn"), similarity, round_)
-        tried = storage.written(again.join(tried_all, ["a", "b"], "left_anti"), "pairs")
-        if tried.isEmpty():
-            break
-        tried_all = tried_all.unionByName(tried)
-    left = crossing(named, reps.select(F.col("rep").alias("id"), "bins"), similarity)
-    left = storage.written(left.join(tried_all, ["a", "b"], "left_anti"), "pairs")
-    edges = copies.unionByName(links.select("a", "b")).unionByName(aligned(left, full, similarity).select("a", "b"))
-    final = components.connected(edges)
+    digests = full.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.unhex(F.md5("text")).alias("digest"))
+    many = storage.written(digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep"), "copied")
+    copies = storage.written(digests.join(many, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "copies")
+    storage.drop(many)
+
+    reps = storage.written(sketches(full, scales).groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bins").alias("bins")), "representatives")
+    shared = storage.written(members(reps.select("id", "n", F.explode("sig").alias("key"))), "members")
+    texts = full.join(shared.select("id").distinct(), "id", "left_semi").select("id", "text").distinct()
+    texts = storage.written(texts, "texts")
+    tried = shared.filter((F.col("id") != F.col("lead")) & _close("n", "lead_n", similarity))
+    tried = storage.written(tried.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
+    links = aligned(tried, texts, similarity)
+
+    labels = components.connected(links)
+    named = shared.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("c"))
+    met = crossing(named, reps.select("id", "bins"), similarity)
+    more = aligned(met.join(tried, ["a", "b"], "left_anti"), texts, similarity)
+    storage.drop(reps, shared, texts, tried, links, met)
+    final = components.connected(copies.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))).unionByName(more.select("a", "b")))
+    storage.drop(copies, labels, more)
     ids = plain.select("id").distinct()
     return ids.join(final.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"))

@@ -56,3 +56,16 @@ select page_id, payload_bytes, payload_digest, case when page_id < m then 'revis
        case when page_id < m then m end as refers_to
 from y
 """
+
+OP8 = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+x as (select doc_id, i, list_aggregate(ws[i:i+12], 'string_agg', ' ') as s
+      from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+f as (select s, min(doc_id) as a from x group by s),
+g as (select distinct doc_id, i + o as i from x join f using (s), range(13) as r(o) where doc_id > a),
+u as (select doc_id, unnest(ws) as v, unnest(range(1, len(ws) + 1)) as i from w),
+k as (select u.doc_id, count(g.i)::bigint as n_removed, string_agg(case when g.i is null then v end, ' ' order by u.i) as kept
+      from u left join g on u.doc_id = g.doc_id and u.i = g.i group by u.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (doc_id)
+"""

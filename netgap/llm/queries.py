@@ -51,7 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": oracles.OP4, "op10_quality_rules": oracles.OP10}
+    return {"op4_warc": oracles.OP4, "op8_substring_dedup": oracles.OP8, "op10_quality_rules": oracles.OP10}
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

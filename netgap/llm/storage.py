@@ -1,46 +1,12 @@
-"""The shared folder: where operators keep intermediate tables and files that all executors can read."""
+"""The shared folder: intermediate tables, and files that all executors can read."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from netgap.sources.shared import delete, drop, new_path, shared_folder, tidy, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests), a temporary folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='netgap-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made and nothing reads any more."""
-    for t in tables:
-        delete(t.sparkSession, t.written_to)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["delete", "drop", "new_path", "shared_folder", "tidy", "write_bytes", "written"]
 
 
 def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
@@ -55,17 +21,3 @@ def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     finally:
         out.close()
     return path
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now rather than when the driver happens to collect garbage.
-
-    Python's references go first, then the JVM's; what only the first collection made unreachable goes with the second.
-    """
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)

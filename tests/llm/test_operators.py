@@ -75,6 +75,41 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     assert got == Counter({(1, True, 0): 1, (1, False, 0): 1, (2, True, 20): 1, (None, True, 0): 1, (2, False, 27): 2})
 
 
+def test_substring_dedup_text_under_a_copied_id(spark):
+    """A row that shares its id with a copy is judged on its own text."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    table = spark.createDataFrame([(1, a, 1), (3, a, 2), (3, b, 3), (2, b + " tail", 4), (4, a + " " + b, 5)], "doc_id long, text string, tag int")
+    got = {r.tag: r.n_removed for r in substring_dedup.remove_repeats(table, carry=["tag"]).collect()}
+    assert got == {1: 0, 2: 30, 3: 30, 4: 0, 5: 60}
+
+
+def test_substring_dedup_over_many_ranges_and_batches(spark):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        w = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(5, 60))]
+        cut = rng.randrange(40)
+        rows.append((i, " ".join([*w, *passage[cut : cut + rng.randrange(10, 21)], *(["same"] * rng.randrange(0, 40))])))
+    words = {i: t.split() for i, t in rows}
+    first, want = {}, {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), i)
+    for i, w in words.items():
+        want[i] = len({k + o for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for o in range(13)})
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for batch, parts in ((1, 7), (13, 24)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(table).collect()}
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+        assert got == want
+
+
 def test_near_duplicates_equal_brute_force(docs, corpus):
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
     parent = {i: i for i, *_ in corpus}
@@ -119,7 +154,7 @@ def test_near_duplicates_equal_all_pairs_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
     rng = random.Random(5)
     base = [f"b{k}" for k in range(100)]
-    texts = [" ".join(f"x{i}y{k}" if rng.random() < 0.11 else w for k, w in enumerate(base)) for i in range(60)]
+    texts = [" ".join(f"x{i}y{k}" if rng.random() < 0.12 else w for k, w in enumerate(base)) for i in range(60)]
     values = [set(near_dedup.sketch(flat.Words([t]).hashes()).tolist()) for t in texts]
     root = list(range(60))
     links = 0
@@ -134,6 +169,38 @@ def test_near_duplicates_equal_all_pairs_of_a_bucket(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_near_duplicates_members_of_split_buckets(spark):
+    """Every member of a shared bucket is returned, whatever the ranges and batches."""
+    rng = random.Random(2)
+    rows = [(k, 10 * k + i, 5) for k in range(40) for i in range(rng.choice([1, 1, 2, 9]))] + [(99, i, 5) for i in range(1000, 1400)]
+    wide = spark.createDataFrame(rows, "key long, id long, n int")
+    size = Counter(k for k, *_ in rows)
+    for batch, parts in ((10000, 4), (1, 3), (7, 16)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = near_dedup.members(wide).collect()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+        assert len({(r.key, r.id) for r in found}) == len(found)
+        assert {(r.key, r.id) for r in found} >= {(k, i) for k, i, _ in rows if size[k] > 1}
+        assert sum(size[r.key] == 1 for r in found) <= 2 * parts
+        if parts == 16:
+            assert len({r.lead for r in found if r.key == 99}) > 1
+
+
+def test_near_duplicates_edge_cases(spark):
+    words = [f"w{i}" for i in range(10)]
+    near = " ".join([*words[:4], "other", *words[5:]])
+    long = " ".join(f"v{i % 977}" for i in range(30_000))
+    other = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, " ".join(words), "x"), (2, near, None), (None, near, "x"), (3, None, "x"), (4, "", "x"), (5, long, "x"), (6, long + " more words", "x"), (7, other, "x"), (7, near, "x"), (8, other + " end", "x"), (8, other + " end", "x"), (9, " \n", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, class_id string").selectExpr("*", "1 as key", "2 as id", "3 as n", "'c' as label")
+    got = near_dedup.classes(table).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), (7, 1), (8, 1), (9, 9)]
+
+
 def test_quality_rules(docs, corpus, spark):
     extra = docs.withColumn("n_words", F.lit("clash"))
     found = {r.doc_id: r for r in quality_rules.apply_rules(extra).collect()}
