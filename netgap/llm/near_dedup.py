@@ -98,7 +98,7 @@ def values(keys: np.ndarray, seeds: np.ndarray, picked: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, scales: tuple[Scale, ...] = SCALES) -> DataFrame:
-    """id, digest of the text, number of words, order MinHash values, word counts by bin; texts with a word only."""
+    """id, digest, number of words, order MinHash values, word counts by bin of rows (id, text, digest); texts with a word only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, scales: tuple[Scale, ...] = SCALES) -> DataFrame:
                 sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(count[count > 0], pa.int32()), sig, pa.array(bins, pa.binary())], ["id", "digest", "n", "sig", "bins"])
 
-    return docs.select("id", "text", F.unhex(F.md5("text")).alias("digest")).mapInArrow(work, "id long, digest binary, n int, sig array<long>, bins binary")
+    return docs.select("id", "text", "digest").mapInArrow(work, "id long, digest binary, n int, sig array<long>, bins binary")
 
 
 def members(buckets: DataFrame) -> DataFrame:
@@ -160,12 +160,14 @@ def _close(n: str, m: str, similarity: float) -> F.Column:
     return F.least(n, m) >= F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9)
 
 
-def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a < b) of each bucket of rows (key, id, n, c) whose classes c differ, where lengths and word counts
-    (``bins``: id, bins) allow a link.
+def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes c of each bucket of rows (key, id, n, c), written.
 
     The members outside the largest class are cut into blocks; each meets every block of that class, itself and the
-    later blocks.  A cell is one meeting of two blocks.
+    later blocks.  A cell is one meeting of two blocks.  First only those members are kept for which lengths and word
+    counts (``reps``: id, sig, bins) allow a link with a member of another class; then their texts are aligned within the
+    cell.  A pair that shares several buckets is aligned in that of its first common value only, and not at all if the
+    cell has joined its classes already.  So a cell returns fewer links than it has rows.
     """
     sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("z")).filter("z > 1")
@@ -174,57 +176,110 @@ def crossing(named: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
     cells = F.expr("""if(c = top, transform(sequence(0, nr - 1), i -> struct(i, at as x, 1 as side)), concat(
         transform(sequence(0, nm - 1), x -> struct(at as i, x, 0 as side)), array(struct(at as i, nm + at as x, 2 as side)),
         filter(transform(sequence(0, nr - 1), j -> struct(least(at, j) as i, nm + greatest(at, j) as x, if(j < at, 1, 0) as side)), y -> y.x <> nm + y.i)))""")
-    rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y")).select(F.xxhash64("key", "y.i", "y.x").alias("cell"), F.col("y.side").alias("side"), "id", "n", "c")
-    rows = storage.written(rows.join(bins, "id"), "cells")
+    rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y")).select(F.xxhash64("key", "y.i", "y.x").alias("cell"), "key", F.col("y.side").alias("side"), "id", "n", "c")
+    rows = storage.written(rows.join(reps.select("id", "bins"), "id").select("cell", "key", "side", "id", "n", "c", "bins"), "cells")
     storage.drop(mixed)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            cut = np.append(0, np.flatnonzero(np.diff(t["cell"].to_numpy())) + 1)
-            yield from meetings(t.slice(0, int(cut[-1])), similarity)
-            rest = t.slice(int(cut[-1]))
-        if rest is not None:
-            yield from meetings(rest, similarity)
-
-    found = storage.written(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "a long, b long").distinct(), "met")
-    storage.drop(rows)
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_cells(batches):
+            hit = np.zeros(len(t), bool)
+            for x, y, _ in meetings(t, similarity):
+                hit[x] = hit[y] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_cells(batches):
+            if found := joining(t, similarity):
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    kept = storage.written(by_cell(rows).mapInArrow(near, "cell long, key long, side int, id long, n int, c long, bins binary"), "near")
+    whole = kept.join(reps.select("id", "sig"), "id").join(texts, "id").select(*kept.columns, "sig", "text")
+    found = storage.written(by_cell(whole).mapInArrow(joined, "a long, b long").distinct(), "joined")
+    storage.drop(rows, kept)
     return found
 
 
-def meetings(t: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of ``crossing`` in whole cells: members of side 0 with those of side 1, those of side 2 with each other."""
-    if not len(t):
-        return
-    cell, side, ids, n, c = (t[x].to_numpy() for x in ("cell", "side", "id", "n", "c"))
-    bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
-    begin = np.append(np.append(0, np.flatnonzero(np.diff(cell)) + 1), len(cell))
-    for u, v in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-        at = [u + np.flatnonzero(side[u:v] == k) for k in range(3)]
-        for left, right, own in ((at[0], at[1], False), (at[2], at[2], True)):
-            if not len(left) or not len(right):
-                continue
-            for k in range(0, len(left), 256):
-                x = left[k : k + 256]
-                limit = np.floor((1 - similarity) * np.maximum(n[x][:, None], n[right]) + 1e-9)
-                good = (c[x][:, None] != c[right]) & (abs(n[x][:, None] - n[right]) <= limit)
-                if own:
-                    good &= x[:, None] < right
-                yield from counted(x, right, good, limit, ids, bins)
-
-
-def counted(left: np.ndarray, right: np.ndarray, good: np.ndarray, limit: np.ndarray, ids: np.ndarray, bins: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The ``good`` pairs whose word counts by bin differ by no more than the limit allows."""
-    i, j = np.nonzero(good)
-    for k in range(0, len(i), 1 << 13):
-        x, y = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
-        d = bins[left[x]].astype(np.int16) - bins[right[y]]
-        over = np.maximum(d, 0).sum(1)  # an edit changes one count up and one down at most
-        near = np.maximum(over, over - d.sum(1)) <= limit[x, y]
-        p, q = ids[left[x[near]]], ids[right[y[near]]]
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+def by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell", "id")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell after the other."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        cell = b.column("cell").to_numpy()
+        cut = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell)).tolist()
+        if rest and rest[0].column("cell")[0].as_py() != cell[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        begin = 0
+        for end in cut[:-1]:
+            yield pa.Table.from_batches([*rest, b.slice(begin, end - begin)])
+            rest, begin = [], end
+        rest.append(b.slice(begin))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def meetings(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows x and y of a cell whose classes differ, where lengths and word counts allow a link, and the least number of
+    edits by these counts: members of side 0 with those of side 1, those of side 2 with each other."""
+    side, n, c = (t[x].to_numpy() for x in ("side", "n", "c"))
+    at = [np.flatnonzero(side == k) for k in range(3)]
+    bins = None
+    for left, right, own in ((at[0], at[1], False), (at[2], at[2], True)):
+        for k in range(0, len(left) if len(right) else 0, 256):
+            x = left[k : k + 256]
+            limit = np.floor((1 - similarity) * np.maximum(n[x][:, None], n[right]) + 1e-9)
+            good = (c[x][:, None] != c[right]) & (abs(n[x][:, None] - n[right]) <= limit)
+            if own:
+                good &= x[:, None] < right
+            i, j = np.nonzero(good)
+            if len(i) and bins is None:
+                bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+            for m in range(0, len(i), 1 << 13):
+                p, q = x[i[m : m + (1 << 13)]], right[j[m : m + (1 << 13)]]
+                d = bins[p].astype(np.int16) - bins[q]
+                over = np.maximum(d, 0).sum(1)  # an edit changes one count up and one down at most
+                least = np.maximum(over, over - d.sum(1))
+                near = least <= limit[i[m : m + (1 << 13)], j[m : m + (1 << 13)]]
+                if near.any():
+                    yield p[near], q[near], least[near]
+
+
+def joining(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a cell, found by alignment, nearest pairs first."""
+    ids, c, column, key = t["id"].to_pylist(), t["c"].to_pylist(), t["text"], t["key"][0].as_py()
+    sig = t["sig"].combine_chunks()
+    size = np.diff(sig.offsets.to_numpy())
+    values = np.zeros((len(t), int(size.max())), np.int64)
+    values[np.arange(values.shape[1]) < size[:, None]] = sig.flatten().to_numpy()
+    texts: dict[int, Text] = {}
+    up: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = up.get(w, w)
+            v = w
+        return v
+
+    def text(k: int) -> Text:
+        if k not in texts:
+            texts[k] = Text(column[k].as_py())
+        return texts[k]
+
+    found = []
+    for x, y, least in meetings(t, similarity):
+        first = (values[x] == values[y]).argmax(1)  # both hold ``key``, so there is one, before the shorter one's end
+        own = np.flatnonzero(values[x, first] == key)
+        own = own[np.argsort(least[own], kind="stable")]
+        for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True):
+            u, v = top(c[p]), top(c[q])
+            if u != v and text(p).distance(text(q), similarity) is not None:
+                up[max(u, v)] = min(u, v)
+                found.append((ids[p], ids[q]))
+    return found
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -246,30 +301,45 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return storage.written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long, distance long"), "links")
 
 
-def linked(s: str, t: str, similarity: float) -> int | None:
-    from .substring_dedup import WORD
+class Text:
+    """The words of a text, and how often each stands in it."""
 
-    a, b = WORD.findall(s), WORD.findall(t)
-    longest = max(len(a), len(b))
-    limit = int((1 - similarity) * longest + 1e-9)
-    if not longest or longest - (Counter(a) & Counter(b)).total() > limit:
-        return None
-    d = align.banded_distance(a, b, limit)
-    return d if d <= limit else None
+    def __init__(self, text: str) -> None:
+        from .substring_dedup import WORD
+
+        self.words = WORD.findall(text)
+        self.counts = Counter(self.words)
+
+    def distance(self, other: Text, similarity: float) -> int | None:
+        """Edit distance of the words if it is within the budget."""
+        longest = max(len(self.words), len(other.words))
+        limit = int((1 - similarity) * longest + 1e-9)
+        if not longest or longest - (self.counts & other.counts).total() > limit:
+            return None
+        d = align.banded_distance(self.words, other.words, limit)
+        return d if d <= limit else None
+
+
+def linked(s: str, t: str, similarity: float) -> int | None:
+    return Text(s).distance(Text(t), similarity)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, scales: tuple[Scale, ...] = SCALES) -> DataFrame:
     """id, class_id (smallest id of its class), one row per distinct non-null id."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     full = plain.filter(F.col("text").isNotNull())
-    digests = full.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.unhex(F.md5("text")).alias("digest"))
-    many = storage.written(digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep"), "copied")
-    copies = storage.written(digests.join(many, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "copies")
-    storage.drop(many)
+    full = full.withColumn("digest", F.unhex(F.md5("text")))
+    digests = storage.written(full.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", "digest"), "digests")
+    odd = storage.written(digests.groupBy("id").agg(F.min("digest").alias("own"), F.max("digest").alias("other")).filter("own < other").select("id", "own"), "odd")
+    one = lambda t: t.join(odd, "id", "left").filter("own is null or own = digest").drop("own")
+    full = one(full)
+    own = one(digests)
+    many = own.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("digest", "rep")
+    copies = storage.written(own.join(many, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "copies")
 
     reps = storage.written(sketches(full, scales).groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bins").alias("bins")), "representatives")
     shared = storage.written(members(reps.select("id", "n", F.explode("sig").alias("key"))), "members")
-    texts = full.join(shared.select("id").distinct(), "id", "left_semi").select("id", "text").distinct()
+    texts = full.join(shared.select("id").distinct(), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
     texts = storage.written(texts, "texts")
     tried = shared.filter((F.col("id") != F.col("lead")) & _close("n", "lead_n", similarity))
     tried = storage.written(tried.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
@@ -277,10 +347,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     labels = components.connected(links)
     named = shared.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("c"))
-    met = crossing(named, reps.select("id", "bins"), similarity)
-    more = aligned(met.join(tried, ["a", "b"], "left_anti"), texts, similarity)
-    storage.drop(reps, shared, texts, tried, links, met)
-    final = components.connected(copies.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))).unionByName(more.select("a", "b")))
+    more = crossing(named, reps, texts, similarity)
+    storage.drop(digests, odd, reps, shared, texts, tried, links)
+    final = components.connected(copies.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))).unionByName(more))
     storage.drop(copies, labels, more)
     ids = plain.select("id").distinct()
     return ids.join(final.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"))

@@ -198,7 +198,9 @@ def test_near_duplicates_edge_cases(spark):
     rows = [(1, " ".join(words), "x"), (2, near, None), (None, near, "x"), (3, None, "x"), (4, "", "x"), (5, long, "x"), (6, long + " more words", "x"), (7, other, "x"), (7, near, "x"), (8, other + " end", "x"), (8, other + " end", "x"), (9, " \n", "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string, class_id string").selectExpr("*", "1 as key", "2 as id", "3 as n", "'c' as label")
     got = near_dedup.classes(table).collect()
-    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), (7, 1), (8, 1), (9, 9)]
+    seven = min((other, near), key=lambda t: hashlib.md5(t.encode()).digest())
+    want = [(7, 7), (8, 7)] if seven == other else [(7, 1), (8, 8)]
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5), *want, (9, 9)]
 
 
 def test_quality_rules(docs, corpus, spark):
