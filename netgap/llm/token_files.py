@@ -2,7 +2,7 @@
 
 A frame holds whole documents in ascending id order: ``MAGIC``, a header (little-endian unsigned 64-bit: documents,
 ids, blocks), the document table (ids and lengths, zlib), the block table (for each block number of ids, number of
-distinct ids, bytes of its alphabet, words of its code, CRC-32 of its ids), then for each block its alphabet and code.
+distinct ids, bytes of its head, words of its code, CRC-32 of its ids), then for each block its head and code.
 
 Each block of ``BLOCK`` ids is coded on its own, from a fresh model.  Three predictors take part: order 2 (the id that
 followed the last two ids), order 1 (the id that followed the last one), both with a confidence, and order 0 (adaptive
@@ -17,6 +17,7 @@ null document ids sort first and come back as null; rows that repeat an id follo
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -27,207 +28,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, flat
+from . import bpe, flat, mixer, storage
 
-MAGIC = b"NGTOK1\0\0"
-BLOCK, LANES, FRAME_IDS = 4096, 1536, 6_200_000
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-SLOTS = 2048
+MAGIC = b"NGTOK2\0\0"
+BLOCK, FRAME_IDS = 1 << 22, 1 << 22
+TEXT_CHARS, KNOWN_WORDS, PART_BYTES = 1 << 20, 400_000, 1 << 27
 NULL_ID = -(1 << 63)
-U = np.uint64
-
-
-SHARE, LEVEL = 12, 14  # bits of the mixing weights and of order-0 frequencies
-SURE, RARE = (1 << SHARE) - 32, 32
-
-
-class Model:
-    """The predictors of many blocks (lanes), advanced in step."""
-
-    def __init__(self, alphabet: np.ndarray) -> None:
-        n, k = len(alphabet), int(alphabet.max())
-        self.k, self.lane = k, np.arange(n)
-        self.counts = (np.arange(k)[None, :] < alphabet[:, None]).astype(np.int32)
-        self.cum = np.zeros((n, k + 1), np.int32)
-        self.two = np.zeros(n * SLOTS, np.int32)  # id + 1 << 2 | confidence; 0: nothing yet
-        self.one = np.zeros(n * (k + 1), np.int32)
-        self.hit2, self.hit1 = (np.full(n * 16, (1 << SHARE) // d, np.int32) for d in (2, 4))
-        self.s1 = self.s2 = np.zeros(n, np.int64)
-        self.step = 0
-        self.keep(n)
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        """Order-0 frequencies: the counts so far, scaled to ``LEVEL`` bits, at least 1 each."""
-        sums = np.cumsum(self.counts, axis=1, dtype=np.int64)
-        scale = (((1 << LEVEL) - self.k) << 16) // sums[:, -1:]
-        self.cum[:, 1:] = (sums * scale >> 16) + np.arange(1, self.k + 1)
-        self.flat_cum = self.cum.reshape(-1)
-
-    def keep(self, n: int) -> None:
-        """Goes on with the first ``n`` lanes."""
-        self.lane, self.s1, self.s2 = self.lane[:n], self.s1[:n], self.s2[:n]
-        self.counts, self.cum = self.counts[:n], self.cum[:n]
-        self.flat_cum = self.cum.reshape(-1)
-        self.base2, self.base1, self.base0, self.base_c, self.base_m = (self.lane * m for m in (SLOTS, self.k + 1, self.k, self.k + 1, 16))
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids named by orders 2 and 1 (-1: none), and the weights of orders 2 and 1; the rest is order 0's."""
-        self.at2 = self.base2 + ((self.s1 * 40503 + self.s2 * 10007) & (SLOTS - 1))
-        self.at1 = self.base1 + self.s1
-        self.v2, self.v1 = self.two[self.at2], self.one[self.at1]
-        p2, p1 = (self.v2 >> 2) - 1, (self.v1 >> 2) - 1
-        self.c2, self.c1 = self.v2 & 3, self.v1 & 3
-        self.context = self.base_m + ((self.c2 << 2) | self.c1)
-        self.m2, self.m1 = self.hit2[self.context], self.hit1[self.context]
-        w2 = self.m2 * (self.c2 > 0)
-        w1 = ((((1 << SHARE) - w2) * self.m1) >> SHARE) * ((self.c1 > 0) & (p1 != p2))
-        return p2, p1, w2, w1
-
-    def update(self, x: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        c = self.context
-        self.hit2[c] = self.m2 + ((np.where(is2, SURE, RARE) - self.m2) >> 5)
-        self.hit1[c] = np.where(is2, self.m1, self.m1 + ((np.where(is1, SURE, RARE) - self.m1) >> 5))
-        name = ((x + 1) << 2).astype(np.int32)
-        for table, at, v, c in ((self.two, self.at2, self.v2, self.c2), (self.one, self.at1, self.v1, self.c1)):
-            table[at] = np.where(v - c == name, name + np.minimum(c + 1, 3), np.where(c > 1, v - 1, name + 1))
-        self.counts.reshape(-1)[self.base0 + x] += 1
-        self.s2, self.s1 = self.s1, x + 1
-        self.step += 1
-        if self.step % 512 == 0 or self.step in (32, 64, 128, 256):
-            self._rebuild()
-
-
-def _shift(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
-    """Lanes whose range has become narrow: the caller moves one word, then low and span are shifted."""
-    among = None
-    while True:
-        a, b = (low, span) if among is None else (low[among], span[among])
-        agree = (a ^ (a + b)) < TOP
-        at = np.flatnonzero(agree | (b < BOTTOM))
-        if not len(at):
-            return
-        under = at[~agree[at]]
-        if among is not None:
-            at, under = among[at], among[under]
-        if len(under):
-            span[under] = (U(0) - low[under]) & (BOTTOM - U(1))
-        yield at
-        low[at] <<= U(16)
-        span[at] <<= U(16)
-        among = at
-
-
-def _alphabets(blocks: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    found = [np.unique(b, return_inverse=True) for b in blocks]
-    return [f[0] for f in found], [f[1].astype(np.int64) for f in found]
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(alphabet, code words) of each block; blocks are sorted by falling length."""
-    names, local = _alphabets(blocks)
-    size = np.array([len(b) for b in blocks])
-    model = Model(np.array([len(a) for a in names]))
-    n = len(blocks)
-    ids = np.zeros((size.max(), n), np.int64)
-    for i, x in enumerate(local):
-        ids[: len(x), i] = x
-    every_low, every_span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    out, used = np.zeros((n, 2 * int(size.max()) + 16), np.uint16), np.zeros(n, np.int64)
-    low, span, live = every_low, every_span, n
-    for t in range(size.max()):
-        if size[live - 1] <= t:
-            live = int(np.searchsorted(-size, -t, "left"))
-            model.keep(live)
-            low, span = every_low[:live], every_span[:live]
-        x = ids[t, :live]
-        p2, p1, w2, w1 = model.predict()
-        is2 = (p2 == x) & (w2 > 0)
-        is1 = ~is2 & (p1 == x) & (w1 > 0)
-        r = span >> U(SHARE)
-        below = np.where(is2, 0, np.where(is1, w2, w2 + w1))
-        low += r * below.astype(U)
-        span[:] = r * np.where(is2, w2, np.where(is1, w1, (1 << SHARE) - below)).astype(U)
-        rest = np.flatnonzero(~(is2 | is1))
-        if len(rest):
-            at = model.base_c[rest] + x[rest]
-            c = model.flat_cum[at]
-            r0 = span[rest] >> U(LEVEL)
-            low[rest] += r0 * c.astype(U)
-            span[rest] = r0 * (model.flat_cum[at + 1] - c).astype(U)
-        for at in _shift(low, span):
-            out[at, used[at]] = low[at] >> U(48)
-            used[at] += 1
-        model.update(x, is2, is1)
-    for k in range(4):
-        out[np.arange(n), used + k] = (every_low >> U(48 - 16 * k)) & U(0xFFFF)
-    return [(a, out[i, : used[i] + 4].copy()) for i, a in enumerate(names)]
-
-
-def decode_blocks(parts: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray) -> list[np.ndarray]:
-    """The blocks that ``encode_blocks`` coded."""
-    n = len(parts)
-    model = Model(np.array([len(a) for a, _ in parts]))
-    words = np.zeros((n, max(len(c) for _, c in parts) + 4), np.uint16)
-    for i, (_, c) in enumerate(parts):
-        words[i, : len(c)] = c
-    low, span, code = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U), np.zeros(n, U)
-    for k in range(4):
-        code = (code << U(16)) | words[:, k]
-    used = np.full(n, 4)
-    ids = np.zeros((size.max(), n), np.int64)
-    live, bits = n, int(model.k).bit_length()
-    for t in range(size.max()):
-        if size[live - 1] <= t:
-            live = int(np.searchsorted(-size, -t, "left"))
-            model.keep(live)
-            low, span, code, used = low[:live], span[:live], code[:live], used[:live]
-        p2, p1, w2, w1 = model.predict()
-        r = span >> U(SHARE)
-        ahead, both = code - low, w2 + w1
-        is2 = ahead < r * w2.astype(U)
-        is1 = ~is2 & (ahead < r * both.astype(U))
-        x = np.where(is2, p2, p1).astype(np.int64)
-        below = np.where(is2, 0, np.where(is1, w2, both))
-        low += r * below.astype(U)
-        span[:] = r * np.where(is2, w2, np.where(is1, w1, (1 << SHARE) - below)).astype(U)
-        rest = np.flatnonzero(~(is2 | is1))
-        if len(rest):
-            r0 = span[rest] >> U(LEVEL)
-            want = ((code[rest] - low[rest]) // r0).astype(np.int64)
-            first = model.base_c[rest]
-            y, step = first.copy(), 1 << (bits - 1)
-            last = first + model.k
-            while step:
-                middle = y + step
-                y = np.where((middle <= last) & (model.flat_cum[np.minimum(middle, last)] <= want), middle, y)
-                step >>= 1
-            c = model.flat_cum[y]
-            low[rest] += r0 * c.astype(U)
-            span[rest] = r0 * (model.flat_cum[y + 1] - c).astype(U)
-            x[rest] = y - first
-        for at in _shift(low, span):
-            code[at] = (code[at] << U(16)) | words[at, used[at]]
-            used[at] += 1
-        ids[t, :live] = x
-        model.update(x, is2, is1)
-    return [a[ids[: size[i], i]] for i, (a, _) in enumerate(parts)]
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One frame."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[a : a + LANES])
     table, payload = [], []
-    for b, (names, code) in zip(blocks, coded, strict=True):
-        deltas = zlib.compress(np.diff(names, prepend=0).astype("<u4").tobytes(), 1)
-        table.append((len(b), len(names), len(deltas), len(code), zlib.crc32(b.astype("<u4").tobytes())))
-        payload += [deltas, code.astype("<u2").tobytes()]
+    for i in range(0, len(ids), BLOCK):
+        b = ids[i : i + BLOCK]
+        head, code = mixer.encode_block(b)
+        table.append((len(b), len(mixer.alphabet(b)[0]), len(head), len(code), zlib.crc32(b.astype("<u4").tobytes())))
+        payload += [head, code.astype("<u2").tobytes()]
     keys = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
     docs = zlib.compress(keys.tobytes() + np.asarray(lengths, "<u4").tobytes(), 1)
-    return b"".join([MAGIC, struct.pack("<4Q", len(keys), len(ids), len(blocks), len(docs)), docs, np.array(table, "<u4").tobytes(), *payload])
+    return b"".join([MAGIC, struct.pack("<4Q", len(keys), len(ids), len(table), len(docs)), docs, np.array(table, "<u4").tobytes(), *payload])
 
 
 def unpack(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -241,24 +60,42 @@ def unpack(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     at += n_table
     table = np.frombuffer(frame, "<u4", 5 * n_blocks, at).reshape(-1, 5)
     at += table.nbytes
-    parts = []
-    for _, n_names, n_deltas, n_code, _ in table.tolist():
-        names = np.cumsum(np.frombuffer(zlib.decompress(frame[at : at + n_deltas]), "<u4", n_names).astype(np.int64))
-        at += n_deltas
-        parts.append((names, np.frombuffer(frame, "<u2", n_code, at)))
-        at += 2 * n_code
     blocks: list[np.ndarray] = []
-    for a in range(0, n_blocks, LANES):
-        blocks += decode_blocks(parts[a : a + LANES], table[a : a + LANES, 0].astype(np.int64))
-    for b, row in zip(blocks, table, strict=True):
-        if zlib.crc32(b.astype("<u4").tobytes()) != row[4]:
+    for n, n_names, n_head, n_code, crc in table.tolist():
+        block = mixer.decode_block(frame[at : at + n_head], np.frombuffer(frame, "<u2", n_code, at + n_head), n, n_names)
+        if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise ValueError("a block's checksum differs")
+        blocks.append(block)
+        at += n_head + 2 * n_code
     ids = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
     if len(ids) != n_ids:
         raise ValueError("a frame lacks ids")
     return [None if k == NULL_ID else k for k in keys.tolist()], lengths, ids
 
 
+class Known:
+    """Pretokens that the library was asked about, and their ids; the first ``KNOWN_WORDS`` are kept."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 17, np.int32), 0
+
+    def add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        n = min(len(words), KNOWN_WORDS - len(self.number))
+        if n <= 0:
+            return
+        ids, first = ids[: int(size[:n].sum())], len(self.number)
+        while first + n + 1 > len(self.begin):
+            self.begin = np.append(self.begin, np.zeros_like(self.begin))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.number.update(zip(words[:n], range(first, first + n), strict=True))
+        self.begin[first + 1 : first + n + 1] = self.used + np.cumsum(size[:n])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+
 @functools.lru_cache(2)
 def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -267,38 +104,44 @@ def _library(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, [x.content for x in t.get_added_tokens_decoder().values()], {}
+    return t, [x.content for x in t.get_added_tokens_decoder().values()], Known()
+
+
+def _asked(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each text, and all ids."""
+    found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), np.int64)
 
 
-def library_ids(texts: list[str], path: str, most: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
+def library_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts by the tokenizers library, which is asked once for each distinct pretoken it has not met."""
     tokenizer, special, known = _library(path)
     if any(s in t for t in texts for s in special):
-        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        at = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(f) for f in found], out=at[1:])
-        return np.array([i for f in found for i in f], np.int64), at
+        size, ids = _asked(tokenizer, texts)
+        return ids, np.append(0, np.cumsum(size))
     p = bpe.Pieces(texts)
     words = p.words()
-    new = [w for w in words if w not in known]
-    if new:
-        if len(known) + len(new) > most:
-            known.clear()
-            new = words
-        known.update(zip(new, (e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-    found = [known[w] for w in words]
-    size = np.array([len(f) for f in found], np.int64)
-    pool = np.array([i for f in found for i in f], np.int64)
+    number = np.fromiter(map(known.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+    new = np.flatnonzero(number < 0)
+    fresh = [words[i] for i in new.tolist()]
+    more, ids = _asked(tokenizer, [w.decode() for w in fresh])
+    size = known.begin[number + 1] - known.begin[number]
+    size[new] = more
+    begin = known.begin[number]
+    begin[new] = known.used + np.cumsum(more) - more
+    pool = np.append(known.pool[: known.used], ids)
     each = size[p.which]
-    sums = np.zeros(len(each) + 1, np.int64)
-    np.cumsum(each, out=sums[1:])
-    return pool[flat.ragged((np.cumsum(size) - size)[p.which], each)], sums[p.first]
+    out = pool[flat.ragged(begin[p.which], each)].astype(np.int64)
+    known.add(fresh, more, ids)
+    return out, np.append(0, np.cumsum(each))[p.first]
 
 
 def write(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> None:
     """Encodes all texts and writes their frames, in ascending id order."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, held = TaskContext.get().partitionId(), 0, 0
@@ -314,9 +157,9 @@ def write(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc_id", t
             return out
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in flat.chunks([len(t) for t in texts]):
-                ids, at = library_ids(texts[i:j], vocab_path)
+            names = b.column(0).to_pylist()
+            for i, j, texts in flat.pieces(b.column(1), TEXT_CHARS):
+                ids, at = library_ids(texts, vocab_path)
                 count = np.diff(at) + 1
                 full = np.full(len(ids) + j - i, end_id, np.int64)
                 stay = np.ones(len(full), bool)
@@ -333,7 +176,9 @@ def write(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc_id", t
             yield frame()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(work, "shard int, number int, n_ids long, frame binary").write.parquet(path)
+    dealt = rows.withColumn("tag", F.xxhash64("text")).repartitionByRange(partitions, "id", "tag").sortWithinPartitions("id", "tag")
+    with storage.tidy(spark):
+        dealt.select("id", "text").mapInArrow(work, "shard int, number int, n_ids long, frame binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:

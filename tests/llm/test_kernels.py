@@ -1,11 +1,13 @@
 """Kernels without Spark, against plain versions."""
 
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 
-from netgap.llm import align, bpe, decontaminate, flat, near_dedup, substring_dedup, token_files, toxicity, weak_labels
+from netgap.llm import align, bpe, decontaminate, flat, mixer, near_dedup, substring_dedup, token_files, toxicity, weak_labels
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -67,18 +69,46 @@ def test_banded_distance():
         assert align.banded_distance(a, b, limit) == min(plain(a, b), limit + 1)
 
 
-def test_token_frames_round_trip_and_checksums():
+def test_token_frames_round_trip_and_checksums(monkeypatch):
     rng = np.random.default_rng(1)
-    for n in (0, 1, 3, token_files.BLOCK, token_files.BLOCK + 1, 20_000):
+    monkeypatch.setattr(token_files, "BLOCK", 4096)
+    for n in (0, 1, 3, 511, 512, 1025, 4096, 4097, 20_000):
         ids = (rng.zipf(1.3, n) % 50_257).astype(np.int64)
         frame = token_files.pack([None, 7], np.array([n // 2, n - n // 2]), ids)
         keys, lengths, back = token_files.unpack(frame)
         assert keys == [None, 7] and lengths.tolist() == [n // 2, n - n // 2] and np.array_equal(back, ids)
-    broken = bytearray(frame)
-    broken[-5] ^= 0xFF
-    broken[-900] ^= 0xFF
-    with pytest.raises(Exception):
-        token_files.unpack(bytes(broken))
+    # each block has its own checksum: a change in one doesn't touch the others
+    n_docs, n_ids, n_blocks, n_table = struct.unpack_from("<4Q", frame, 8)
+    table = np.frombuffer(frame, "<u4", 5 * n_blocks, 40 + n_table).reshape(-1, 5)
+    assert n_blocks == 5 and table[:, 0].tolist() == [4096] * 4 + [20_000 - 4 * 4096]
+    at = 40 + n_table + table.nbytes
+    for n, names, head, code, crc in table.tolist():
+        broken = bytearray(frame)
+        broken[at + head + code] ^= 0xFF
+        with pytest.raises(ValueError):
+            token_files.unpack(bytes(broken))
+        block = mixer.decode_block(frame[at : at + head], np.frombuffer(frame, "<u2", code, at + head), n, names)
+        assert zlib.crc32(block.astype("<u4").tobytes()) == crc
+        at += head + 2 * code
+
+
+def test_mixing_beats_single_orders_and_zlib():
+    """Ids that depend on the two before them."""
+    rng = np.random.default_rng(2)
+    table = rng.integers(0, 3000, (40, 40, 3))
+    x = [1, 2]
+    for _ in range(120_000):
+        x.append(int(table[x[-1] % 40, x[-2] % 40, rng.integers(3)]) if rng.random() < 0.8 else int(rng.zipf(1.2) % 3000))
+    ids = np.array(x)
+    head, code = mixer.encode_block(ids)
+    assert np.array_equal(mixer.decode_block(head, code, len(ids), len(np.unique(ids))), ids)
+    share = np.bincount(ids) / len(ids)
+    order0 = -(share[share > 0] * np.log2(share[share > 0])).sum() * len(ids) / 8
+    assert len(head) + 2 * len(code) < 0.9 * order0
+    assert len(head) + 2 * len(code) < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+    far = rng.integers(0, 1 << 32, 700)
+    head, code = mixer.encode_block(far)
+    assert np.array_equal(mixer.decode_block(head, code, 700, len(np.unique(far))), far)
 
 
 def test_library_ids():
