@@ -116,26 +116,33 @@ class Model:
         kind = self.known[0][r1] + self.known[1][r2]
         return kind, [m[kind] for m in self.mix]
 
-    def learn(self, x: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
-        """Counts ids and their contexts, and gives each order the weight it has earned."""
-        b = self.bucket[x]
-        r1, r2 = self.contexts(p1, p2)
-        kind, w = self.weights(r1, r2)
-        q = [np.diff(self.cum0)[b].astype(np.int64)]
-        for cum, r in zip(self.cum, (r1, r2), strict=True):
-            at = r * WIDE + b
-            q.append(cum[at + 1].astype(np.int64) - cum[at])
-        for j in range(3):
-            q[j] *= w[j]
-        whole = np.maximum(1, q[0] + q[1] + q[2])
-        earned = np.stack([np.bincount(kind, weights=(v << 10) // whole, minlength=256) for v in q], 1).astype(np.int64) + self.weight * 12
+    def learn(self, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Counts ids and their contexts (last id, the one before), and gives each order the weight it has earned."""
+        earned = self.weight * 12
+        wide0 = np.diff(self.cum0).astype(np.int64)
+        added = [np.zeros(len(c), np.int64) for c in self.count]
+        for x, p1, p2 in parts:
+            b = self.bucket[x]
+            rows = self.contexts(p1, p2)
+            kind, w = self.weights(*rows)
+            q = [wide0[b]]
+            for cum, r in zip(self.cum, rows, strict=True):
+                at = r * WIDE + b
+                q.append(cum[at + 1].astype(np.int64) - cum[at])
+            for j in range(3):
+                q[j] *= w[j]
+            whole = np.maximum(1, q[0] + q[1] + q[2])
+            for j in range(3):
+                earned[:, j] += np.bincount(kind, weights=(q[j] << 10) // whole, minlength=256).astype(np.int64)
+            self.count0 += np.bincount(b, minlength=BUCKETS)
+            for add, r in zip(added, rows, strict=True):
+                np.add.at(add, r * BUCKETS + b, 1)
+            self.seen = self.seen + np.bincount(x, minlength=len(self.seen))
+        for count, add in zip(self.count, added, strict=True):
+            count += add.astype(np.int32)
         share = earned * ((1 << SHARE) - 128) // np.maximum(1, earned.sum(1, keepdims=True))
         share[:, 0] = (1 << SHARE) - share[:, 1] - share[:, 2]
         self.weight = share
-        self.count0 += np.bincount(b, minlength=BUCKETS)
-        for count, r in zip(self.count, (r1, r2), strict=True):
-            count += np.bincount(r * BUCKETS + b, minlength=len(count)).astype(np.int32)
-        self.seen = self.seen + np.bincount(x, minlength=len(self.seen))
         self.refresh()
 
 
@@ -199,15 +206,16 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     grid = np.zeros(lanes * steps, np.int32)
     grid[: len(ids)] = x
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    p1, p2 = _before(grid, 1), _before(grid, 2)
     model = Model(level, len(ids))
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     out, used = np.zeros((lanes, 2 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
     for a, b in segments(steps):
         for t0 in range(a, b, 32):
             t1 = min(b, t0 + 32)
-            part, q1, q2 = (g[t0:t1].ravel().astype(np.int64) for g in (grid, p1, p2))
-            r1, r2 = model.contexts(q1, q2)
+            c = max(0, t0 - 2)
+            seen = grid[c:t1].astype(np.int64)
+            part, p1, p2 = (g[t0 - c :].ravel() for g in (seen, _before(seen, 1), _before(seen, 2)))
+            r1, r2 = model.contexts(p1, p2)
             _, w = model.weights(r1, r2)
             bucket, at = model.bucket[part], [r1 * WIDE, r2 * WIDE]
             begin = model.bounds(bucket, at, w).astype(U)
@@ -223,7 +231,7 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
                 for k in shift(lo, sp):
                     out[k, used[k]] = lo[k] >> U(48)
                     used[k] += 1
-        model.learn(*_real(grid, p1, p2, a, b, last))
+        model.learn(_real(grid, a, b, last))
     for k in range(4):
         out[np.arange(lanes), used + k] = (low >> U(48 - 16 * k)) & U(0xFFFF)
     used += 4
@@ -232,11 +240,14 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     return head, code
 
 
-def _real(grid: np.ndarray, p1: np.ndarray, p2: np.ndarray, a: int, b: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and contexts of steps a to b, without what pads the last lane."""
-    stay = np.ones((b - a, grid.shape[1]), bool)
-    stay[max(0, last - a) :, -1] = False
-    return tuple(g[a:b][stay].astype(np.int64) for g in (grid, p1, p2))
+def _real(grid: np.ndarray, a: int, b: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and contexts of steps a to b, without what pads the last lane, some steps at a time."""
+    for t0 in range(a, b, 32):
+        t1, c = min(b, t0 + 32), max(0, t0 - 2)
+        seen = grid[c:t1].astype(np.int64)
+        stay = np.ones((t1 - t0, grid.shape[1]), bool)
+        stay[max(0, last - t0) :, -1] = False
+        yield tuple(g[t0 - c :][stay] for g in (seen, _before(seen, 1), _before(seen, 2)))
 
 
 def decode_block(head: bytes, code: np.ndarray, n: int, n_names: int) -> np.ndarray:
@@ -280,7 +291,5 @@ def decode_block(head: bytes, code: np.ndarray, n: int, n_names: int) -> np.ndar
                 place[k] += 1
             grid[t, :live] = x
             p2[:live], p1[:live] = p1[:live].copy(), x + 1
-        c = max(0, a - 2)
-        seen = grid[c:b]
-        model.learn(*_real(seen, _before(seen, 1), _before(seen, 2), a - c, b - c, last - c))
+        model.learn(_real(grid, a, b, last))
     return names[grid.T.ravel()[:n]]

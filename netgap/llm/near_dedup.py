@@ -177,7 +177,7 @@ def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
         transform(sequence(0, nm - 1), x -> struct(at as i, x, 0 as side)), array(struct(at as i, nm + at as x, 2 as side)),
         filter(transform(sequence(0, nr - 1), j -> struct(least(at, j) as i, nm + greatest(at, j) as x, if(j < at, 1, 0) as side)), y -> y.x <> nm + y.i)))""")
     rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y")).select(F.xxhash64("key", "y.i", "y.x").alias("cell"), "key", F.col("y.side").alias("side"), "id", "n", "c")
-    rows = storage.written(rows.join(reps.select("id", "bins"), "id").select("cell", "key", "side", "id", "n", "c", "bins"), "cells")
+    rows = storage.written(attached(rows, reps.select("id", "bins")), "cells")
     storage.drop(mixed)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +193,20 @@ def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
                 a, b = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    kept = storage.written(by_cell(rows).mapInArrow(near, "cell long, key long, side int, id long, n int, c long, bins binary"), "near")
-    whole = kept.join(reps.select("id", "sig"), "id").join(texts, "id").select(*kept.columns, "sig", "text")
+    kept = storage.written(by_cell(rows).mapInArrow(near, rows.schema), "near")
+    whole = attached(kept, texts.join(reps.select("id", "sig"), "id"))
     found = storage.written(by_cell(whole).mapInArrow(joined, "a long, b long").distinct(), "joined")
     storage.drop(rows, kept)
     return found
 
 
+def attached(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``more`` (one row an id), which meets each id once, with the list of its rows."""
+    own = [c for c in rows.columns if c != "id"]
+    lists = rows.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("own"))
+    return lists.join(more, "id").select("id", *[c for c in more.columns if c != "id"], F.inline("own"))
+
+
 def by_cell(rows: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "id")
 

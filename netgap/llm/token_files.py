@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import bpe, flat, mixer, storage
 
 MAGIC = b"NGTOK2\0\0"
-BLOCK, FRAME_IDS = 1 << 22, 1 << 22
-TEXT_CHARS, KNOWN_WORDS, PART_BYTES = 1 << 20, 400_000, 1 << 27
+BLOCK, FRAME_IDS = 1 << 21, 1 << 21
+TEXT_CHARS, KNOWN_WORDS, PART_BYTES = 1 << 20, 300_000, 1 << 27
 NULL_ID = -(1 << 63)
 
 
