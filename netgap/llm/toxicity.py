@@ -1,18 +1,27 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-case words and their prefixes of five letters.  From a bounded sample of labelled rows the ``n_terms``
-terms that tell the classes apart best (chi-square, and ``lift`` times as common in label 1) are chosen; their document frequencies are counted over all
-documents.  Examples are laid out in blocks of neighbours; for each term and block the largest weight is kept, which
-bounds the cosine of every example of the block, so whole blocks are skipped without changing the exact top k.  Votes
-weighted by similarity, with the prior as one more vote, give the score.
-
-Defined results: a text without any chosen term (null and empty too) has no neighbours and scores the prior.  Ties in
-similarity go to the example that comes first in the index.  Without labelled rows the prior is 0.
+Terms are lower-case words.  A uniform, bounded sample of labelled rows gives the examples; every term of every example is
+indexed.  A term weighs log(1 + count) times its idf over all documents times its relevance: ``FLOOR`` plus what the z-score
+of its log odds between the labels exceeds ``CHANCE``.  (By plain TF-IDF, neighbours share topic and language, and labels
+hardly follow; the README has figures.)
+
+Examples are laid out in blocks of neighbours.  Each term has a posting list of (example, weight) and a list of the
+largest weight in each block; lists of the ``HEAD`` commonest terms hold every example and are kept as arrays.  The block
+maxima bound the cosine of every example of a block; blocks are read from the highest bound on, until no other can hold
+one of the k nearest, so the result is exact.  Votes weighted by squared cosine, with the prior as one more vote, give
+a share; a logistic curve, fitted to the shares which the examples get from each other, turns it into a probability.
+
+Defined results: a text without any term of the examples (null and empty too) has no neighbours and scores the prior.
+Ties in similarity go to the example that comes first in the index.  Rows that repeat an id are scored each for itself; an id
+that repeats among the documents gives the example with the smallest text; among the labels, the largest label counts.
+Without labelled rows the prior is 0.  Texts of any length are read whole; columns other than id, text and label are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,147 +29,222 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import flat
+
 WORD = re.compile(r"\w+")
-PREFIX = 5
-BLOCK = 64
+BLOCK, HEAD, WAVE = 64, 256, 16
+FLOOR, CHANCE = 0.1, 2.0
 
 
 def terms_of(text: str | None) -> list[str]:
-    """Distinct-able terms of a text, with repetitions: words, and prefixes (marked by ``*``) of longer words."""
-    words = WORD.findall(text.lower()) if text else []
-    return words + [w[:PREFIX] + "*" for w in words if len(w) > PREFIX]
+    return WORD.findall(text.lower()) if text else []
 
 
 @dataclass
 class Index:
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: dict[str, int]  # by falling number of examples
+    gain: np.ndarray  # idf times relevance of each term
     prior: float
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
-    rows: np.ndarray  # examples x terms, unit length, padded to whole blocks
-    bound: np.ndarray  # terms x blocks: largest weight of the term in the block
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    head: np.ndarray  # examples (padded to whole blocks) x commonest terms: weights of unit vectors
+    head_most: np.ndarray  # commonest terms x blocks: largest weight
+    begin: np.ndarray  # where the list of each other term begins
+    example: np.ndarray
+    weight: np.ndarray
+    most_begin: np.ndarray  # and the list of its largest weights
+    most_block: np.ndarray
+    most: np.ndarray
+    k: int = 25
+    prior_votes: float = 0.5
+    curve: tuple[float, float] = (1.0, 0.0)  # slope and shift of the log odds
+
+    def query(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights (unit length) of a text."""
+        t = np.fromiter(counts.keys(), np.int64, len(counts))
+        w = np.log1p(np.fromiter(counts.values(), np.float64, len(counts))) * self.gain[t]
+        return t, (w / max(np.linalg.norm(w), 1e-12)).astype(np.float32)
+
+    def search(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The exact k nearest examples with cosine above 0: positions and cosines, best first."""
-        on = np.flatnonzero(query)
-        limit = query[on] @ self.bound[on]
-        places, sims, least = [], [], 0.0
-        for b in np.argsort(-limit, kind="stable"):
-            if limit[b] <= 0 or (len(sims) and sum(map(len, sims)) >= k and limit[b] < least):
-                break
-            s = self.rows[b * BLOCK : (b + 1) * BLOCK][:, on] @ query[on]
-            hit = np.flatnonzero(s > 0)
-            places.append(hit + b * BLOCK)
+        n, blocks = len(self.ids), self.head_most.shape[1]
+        q = np.zeros(self.head.shape[1], np.float32)
+        common = t < len(q)
+        q[t[common]] = w[common]
+        rare, wr = t[~common] - len(q), w[~common]
+        near = q @ self.head_most + _sums(self.most_begin, self.most_block, self.most, rare, wr, blocks)
+        tail = _sums(self.begin, self.example, self.weight, rare, wr, len(self.head))
+        order = np.argsort(-near, kind="stable")
+        found, sims, least, at = [], [], 0.0, 0
+        while at < blocks and near[order[at]] * 1.0001 > least:  # the bound and the cosine are rounded apart
+            wave = order[at : at + WAVE]
+            wave = wave[near[wave] * 1.0001 > least]
+            rows = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            s = (self.head.reshape(blocks, BLOCK, -1)[wave] @ q).ravel() + tail[rows]
+            hit = np.flatnonzero((s > 0) & (rows < n) & (s >= least))
+            found.append(rows[hit])
             sims.append(s[hit])
+            at += WAVE
             if sum(map(len, sims)) >= k:
-                least = np.partition(np.concatenate(sims), -k)[-k]
-        if not places:
+                least = float(np.partition(np.concatenate(sims), -k)[-k])
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        p, s = np.concatenate(places), np.concatenate(sims)
-        order = np.lexsort((p, -s))[:k]
-        return p[order], s[order]
+        p, s = np.concatenate(found), np.concatenate(sims)
+        best = np.lexsort((p, -s))[:k]
+        return p[best], s[best]
+
+
+def _sums(begin: np.ndarray, place: np.ndarray, value: np.ndarray, t: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """For each place the sum of its values in the lists of terms t, times their weights w."""
+    size = begin[t + 1] - begin[t]
+    at = flat.ragged(begin[t], size)
+    return np.bincount(place[at], weights=value[at] * np.repeat(w, size), minlength=n).astype(np.float32)
 
 
-def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = (np.log1p(counts) * idf).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+def relevance(p: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """What a term tells about the label, from the examples of label 1 (p of n1) and 0 (n of n0) that hold it."""
+    a, b, c, d = p + 0.5, n + 0.5, n1 - p + 0.5, n0 - n + 0.5
+    z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return FLOOR + np.maximum(0.0, z - CHANCE)
 
 
 def build(examples: list[tuple[int, int, list[int], list[int]]], terms: list[str], df: np.ndarray, n_docs: int, prior: float) -> Index:
-    """``examples``: doc_id, toxic, term numbers, counts."""
-    idf = np.log((1 + n_docs) / (1 + df)).astype(np.float32) + 0.1
-    x = np.zeros((len(examples), len(terms)), np.float32)
-    for i, (_, _, t, c) in enumerate(examples):
-        x[i, t] = c
-    x = weigh(x, idf)
-    order = np.lexsort((np.array([e[0] for e in examples], np.int64), x.argmax(1) if len(terms) else np.zeros(len(examples)))) if examples else np.zeros(0, np.int64)
-    x = x[order]
-    pad = -len(x) % BLOCK
-    x = np.concatenate((x, np.zeros((pad, len(terms)), np.float32)))
-    bound = x.reshape(-1, BLOCK, len(terms)).max(1).T if len(x) else np.zeros((len(terms), 0), np.float32)
-    return Index({t: i for i, t in enumerate(terms)}, idf, prior, np.array([examples[i][0] for i in order], np.int64), np.array([examples[i][1] for i in order], np.int64), x, bound)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, n_terms: int = 384, min_df: int = 4, lift: float = 4.0) -> Index:
-    """``labels``: the rows that may be learnt from.  At most ``per_class`` examples of each class are used (those with
-    the smallest hash of their id); the prior is the share of label 1 in all of ``labels``."""
+    """``examples``: doc_id, toxic, term numbers, counts; ``terms`` by falling number of examples; ``df`` over ``n_docs``."""
+    v, n1 = len(terms), sum(e[1] for e in examples)
+    size = np.array([len(e[2]) for e in examples], np.int64)
+    t = np.array([x for e in examples for x in e[2]], np.int64)
+    c = np.array([x for e in examples for x in e[3]], np.float64)
+    row = np.repeat(np.arange(len(examples)), size)
+    y = np.array([e[1] for e in examples], np.int64)
+    held = np.bincount(t, minlength=v).astype(np.float64)
+    told = np.bincount(t, weights=y[row], minlength=v)
+    gain = (np.log((1 + n_docs) / (1 + df)) + 0.1) * relevance(told, held - told, n1, len(examples) - n1)
+    w = np.log1p(c) * gain[t]
+    w /= np.maximum(np.sqrt(np.bincount(row, weights=w * w, minlength=len(examples))), 1e-12)[row]
+    # neighbours: examples with the same heaviest term
+    top = np.full(len(examples), -1, np.int64)
+    by = np.lexsort((w, row))
+    top[row[by]] = t[by]
+    order = np.lexsort((np.array([e[0] for e in examples], np.int64), top))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = place[row]
+    blocks, head = -(-len(examples) // BLOCK), min(HEAD, v)
+    dense = np.zeros((blocks * BLOCK, head), np.float32)
+    on = t < head
+    dense[row[on], t[on]] = w[on]
+    t, row, w = t[~on] - head, row[~on], w[~on].astype(np.float32)
+    by = np.lexsort((row, t))
+    t, row, w = t[by], row[by], w[by]
+    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK))) if len(t) else np.zeros(0, np.int64)
+    return Index(
+        dict(zip(terms, range(v), strict=True)), gain, prior, np.array([examples[i][0] for i in order], np.int64), y[order], dense,
+        dense.reshape(blocks, BLOCK, head).max(1).T.copy() if blocks else np.zeros((head, 0), np.float32),
+        np.searchsorted(t, np.arange(v - head + 1)), row.astype(np.int32), w,
+        np.searchsorted(t[first], np.arange(v - head + 1)), (row[first] // BLOCK).astype(np.int32), np.maximum.reduceat(w, first) if len(t) else w,
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, k: int = 25, prior_votes: float = 0.5) -> Index:
+    """``labels``: the rows that may be learnt from.  At most ``sample`` examples are used, those with the smallest hash of
+    their id whatever their label; the prior is the share of label 1 in all of ``labels``."""
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
-    totals = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    chosen = None
-    for y in (0, 1):
-        part = named.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = [(r.id, r.y) for r in chosen.collect()]
+    total = named.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
+    prior = (total.y or 0) / max(1, total.n)
     spark = docs.sparkSession
-    picked = spark.createDataFrame(rows, "id long, y int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = spark.createDataFrame([(r.id, r.y) for r in named.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], "id long, y int")
+    texts = plain.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                found = list(set(terms_of(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["term", "y"])
-
-    n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
-    hits = texts.mapInArrow(seen, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-    total = F.lit(float(max(1, n1 + n0)))
-    a, c = F.col("p"), F.col("n")
-    b, d = F.lit(float(n1)) - a, F.lit(float(n0)) - c
-    chi = total * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    best = hits.filter(a + c >= min_df).withColumn("chi", chi).filter((F.col("chi") > 10.8) & (a * n0 > lift * (c + 1) * n1)).orderBy(F.desc("chi"), "term").limit(n_terms).collect()
-    terms = [r.term for r in best]
-    number = {t: i for i, t in enumerate(terms)}
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(list(set(terms_of(t.as_py()))), pa.string())], ["term"])
+
+    ranked = texts.mapInArrow(seen, "term string").groupBy("term").agg(F.count("*").alias("n")).collect()
+    terms = [r.term for r in sorted(ranked, key=lambda r: (-r.n, r.term))]
+    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [count(t, number) for t in b.column("text").to_pylist()]
+            found = [count(t.as_py(), number.value) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["id", "y", "t", "c"])
 
-    examples = [(r.id, r.y, r.t, r.c) for r in texts.mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").filter(F.size("t") > 0).collect()]
+    examples = [(r.id, r.y, r.t, r.c) for r in texts.mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").collect()]
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(terms), np.int64), 0
+        known = number.value
+        df, n = np.zeros(len(known), np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                df[list(count(t, number))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms)), pa.int32()), pa.array(np.append(n, df), pa.int64())], ["t", "n"])
+            for i, j, part in flat.pieces(b.column(0)):
+                n += j - i
+                for t in part:
+                    df[[k for w in set(terms_of(t)) if (k := known.get(w)) is not None]] += 1
+        on = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, on), pa.int32()), pa.array(np.append(n, df[on]), pa.int64())], ["t", "n"])
 
-    df = {r.t: r.n for r in docs.select(F.col(text_col).cast("string")).mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    return build(sorted(examples), terms, np.array([df.get(i, 0) for i in range(len(terms))], np.float64), df.get(-1, 0), prior)
+    df = {r.t: r.n for r in plain.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    number.unpersist()
+    index = build(sorted(examples), terms, np.array([df.get(i, 0) for i in range(len(terms))], np.float64), df.get(-1, 0), prior)
+    index.k, index.prior_votes = k, prior_votes
+    calibrate(index, examples)
+    return index
 
 
 def count(text: str | None, number: dict[str, int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for t in terms_of(text):
-        if (k := number.get(t)) is not None:
-            out[k] = out.get(k, 0) + 1
-    return out
+    return {k: c for w, c in Counter(terms_of(text)).items() if (k := number.get(w)) is not None}
 
 
-def vote(index: Index, found: dict[int, int], k: int, prior_votes: float) -> tuple[float, list[int], list[float]]:
+def share(index: Index, p: np.ndarray, s: np.ndarray) -> float:
+    """Share of label 1 in the votes of neighbours p with cosines s, and of the prior."""
+    w = s.astype(np.float64) ** 2
+    return (float((w * index.toxic[p]).sum()) + index.prior_votes * index.prior) / (float(w.sum()) + index.prior_votes)
+
+
+def _log_odds(x: np.ndarray | float) -> np.ndarray:
+    x = np.clip(x, 1e-4, 1 - 1e-4)
+    return np.log(x / (1 - x))
+
+
+def calibrate(index: Index, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
+    """Fits the curve to the shares of the examples, each without its own vote (Newton steps, slightly damped)."""
+    x, y = [], []
+    for i, label, t, c in examples:
+        if t:
+            p, s = index.search(*index.query(dict(zip(t, c, strict=True))), index.k + 1)
+            other = np.flatnonzero(index.ids[p] != i)[: index.k]
+            x.append(share(index, p[other], s[other]))
+            y.append(label)
+    if not 0 < sum(y) < len(y):
+        return
+    x = np.stack([_log_odds(np.array(x)), np.ones(len(x))], 1)
+    y, b = np.array(y), np.array([1.0, 0.0])
+    for _ in range(25):
+        q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        hold = np.eye(2)  # keeps the curve near the identity where examples are few
+        b += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + hold, x.T @ (y - q) - hold @ (b - [1.0, 0.0]))
+    index.curve = (max(0.05, float(b[0])), float(b[1]))
+
+
+def vote(index: Index, found: dict[int, int]) -> tuple[float, list[int], list[float]]:
+    """Score of a text, and the ids and cosines of its neighbours."""
     if not found or not len(index.ids):
         return index.prior, [], []
-    q = np.zeros(len(index.idf), np.float32)
-    q[list(found)] = list(found.values())
-    p, s = index.search(weigh(q, index.idf), k)
-    w = s.astype(np.float64) ** 2
-    score = (float((w * index.toxic[p]).sum()) + prior_votes * index.prior) / (float(w.sum()) + prior_votes)
-    return min(1.0, max(0.0, score)), index.ids[p].tolist(), s.astype(float).tolist()
+    p, s = index.search(*index.query(found), index.k)
+    a, b = index.curve
+    return float(1 / (1 + np.exp(-(a * _log_odds(share(index, p, s)) + b)))), index.ids[p].tolist(), s.astype(float).tolist()
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = 25, prior_votes: float = 0.5, evidence: int = 3) -> DataFrame:
-    """id, score, evidence_ids and evidence_sims (the nearest examples)."""
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
+    """id, score, evidence_ids and evidence_sims (the nearest examples), one row per row of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = held.value
         for b in batches:
-            out = [vote(x, count(t, x.terms), k, prior_votes) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1][:evidence] for o in out], pa.list_(pa.int64())), pa.array([o[2][:evidence] for o in out], pa.list_(pa.float64()))], ["id", "score", "evidence_ids", "evidence_sims"])
+            for i, j, texts in flat.pieces(b.column(1)):
+                out = [vote(x, count(t, x.terms)) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1][:evidence] for o in out], pa.list_(pa.int64())), pa.array([o[2][:evidence] for o in out], pa.list_(pa.float64()))], ["id", "score", "evidence_ids", "evidence_sims"])
 
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "id long, score double, evidence_ids array<long>, evidence_sims array<double>")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, score double, evidence_ids array<long>, evidence_sims array<double>")
     return out.withColumnRenamed("id", id_col)

@@ -157,18 +157,34 @@ def test_order_minhash_recall_at_similarity_of_0_8():
         assert found >= 180, (n, found)
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    """Against cosines of full vectors, computed term by term."""
+    monkeypatch.setattr(toxicity, "HEAD", 8)
     rng = np.random.default_rng(4)
-    examples = [(i, int(rng.integers(0, 2)), sorted(rng.choice(30, 4, replace=False).tolist()), rng.integers(1, 5, 4).tolist()) for i in range(500)]
-    index = toxicity.build(examples, [str(i) for i in range(30)], rng.integers(1, 90, 30).astype(float), 100, 0.1)
-    for _ in range(50):
-        q = np.zeros(30, np.float32)
-        q[rng.choice(30, 3, replace=False)] = 1
-        q = toxicity.weigh(q, index.idf)
-        p, s = index.search(q, 10)
-        full = index.rows[:500] @ q
-        assert np.allclose(np.sort(full)[::-1][:10], s)
-    assert toxicity.vote(index, {}, 5, 0.5)[0] == 0.1
+    n, v = 1500, 120
+    examples = []
+    for i in range(n):
+        y = int(rng.random() < 0.2)
+        t = sorted({int(x) for x in rng.zipf(1.3, 14) % (v - 2)} | ({v - 1 - i % 2} if y else set()))
+        examples.append((i, y, t, rng.integers(1, 5, len(t)).tolist()))
+    examples[7] = (7, 0, [], [])
+    df = rng.integers(1, 90, v).astype(float)
+    index = toxicity.build(examples, [str(i) for i in range(v)], df, 100, 0.1)
+    full = np.zeros((n, v))
+    for i, _, t, c in examples:
+        full[i, t] = np.log1p(c) * index.gain[t]
+    full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-12)
+    for k in range(120):
+        _, _, t, c = examples[k]
+        t = t if k % 2 else sorted(rng.choice(v, 6, replace=False).tolist())
+        found = dict(zip(t, [1] * len(t)))
+        q = np.zeros(v)
+        q[t] = np.log1p(1) * index.gain[t]
+        want = np.sort(full @ q / max(np.linalg.norm(q), 1e-12))[::-1][:10]
+        p, s = index.search(*index.query(found), 10)
+        assert np.allclose(want[want > 1e-9], s, atol=1e-5) and len(set(p.tolist())) == len(p)
+        assert np.allclose(full[index.ids[p]] @ q / max(np.linalg.norm(q), 1e-12), s, atol=1e-5)
+    assert toxicity.vote(index, {})[0] == 0.1
 
 
 def test_decontamination_block():

@@ -243,6 +243,33 @@ def test_toxicity(spark):
     assert toxicity.score(d, empty).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_is_calibrated_and_handles_edge_cases(spark):
+    """Held-out labels agree with the scores; nulls, repeats, ties, long texts and clashing columns have a result."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(1200):
+        marked = rng.random() < 0.25
+        rows.append((i, sentence(rng, rng.randint(20, 60), words) + (" vile" if marked else ""), "x", 0.5))
+        labels.append((i, int(rng.random() < (0.8 if marked else 0.04)), "x"))
+    rows += [(None, "vile w1", "x", None), (5, None, "x", 0.5), (5, "vile " * 20_000, "x", 0.5), (2000, rows[7][1], None, 0.5), (2000, rows[7][1], None, 0.5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, id string, score double")
+    l = spark.createDataFrame([*labels, (None, 1, "x"), (3000, None, "x"), (3001, 1, "x")], "doc_id long, toxic int, id string")
+    index = toxicity.fit(d, l.filter("doc_id % 3 <> 0"))
+    found = toxicity.score(d, index).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    y = dict((i, t) for i, t, _ in labels)
+    held = [(r.score, y[r.doc_id]) for r in found if r.doc_id is not None and r.doc_id < 1200 and r.doc_id % 3 == 0]
+    high, low = [t for s, t in held if s >= 0.5], [t for s, t in held if s < 0.5]
+    assert 0.65 < sum(high) / len(high) < 0.95 and sum(low) / len(low) < 0.12
+    for part in (high, low):
+        mean = [s for s, t in held if (s >= 0.5) == (part is high)]
+        assert abs(sum(mean) / len(mean) - sum(part) / len(part)) < 0.15
+    assert len({round(r.score, 9) for r in found if r.doc_id == 2000}) == 1
+    again = toxicity.fit(d.repartition(7), l.filter("doc_id % 3 <> 0").repartition(5))
+    assert {(r.doc_id, round(r.score, 6)) for r in toxicity.score(d, again).collect()} == {(r.doc_id, round(r.score, 6)) for r in found}
+
+
 def test_decontamination(docs, corpus, spark):
     bench = [(1, corpus[5][1][:200]), (2, "never to be found in any of these documents at all, not even once"), (3, None), (4, ""), (1, corpus[5][1][:200])]
     found = decontaminate.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
