@@ -3,11 +3,15 @@
 An occurrence of an item of m characters with at most e = floor(rate * m) edits keeps at least m - q + 1 - q * e of the
 item's q-grams, all within e diagonals of each other.  Shared q-grams are counted in overlapping bands of diagonals
 (width 2e + 2, step e + 1); bands that reach the bound are verified by alignment of the item with that region alone.
-Items shorter than the bound allows are looked up by exact search.  Texts are compared in lower case with runs of white
+Items too short for q characters take the largest q that leaves a bound of at least 1; those without an edit to spend and
+under q characters are looked up by exact search.  Texts are compared in lower case with runs of white
 space as one space.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, and each block is compared with all rows.
-Defined results: null or empty texts and items match nothing; repeated item ids are reported once a document.
+Defined results: null or empty texts and items match nothing; repeated item ids are reported once a document, with the
+fewest edits and then the first end; rows that repeat a document id report all their items under it; null document ids
+are one document; texts and items of any length are taken whole; extra columns are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,12 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def gram(size: int, q: int, rate: float) -> int:
+    """The largest q-gram size up to ``q`` for which an item of ``size`` characters has a bound of at least 1."""
+    edits = int(rate * size)
+    return q if not edits else max(1, min(q, size // (edits + 1)))
+
+
 @dataclass
 class Block:
     ids: list[int]
@@ -103,17 +113,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     out = None
     for k in range(n_blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).orderBy("item", "text").collect()
-        block = Block([r.item for r in rows], [normal(r.text) for r in rows], q, rate)
-        held = spark.sparkContext.broadcast(block)
+        texts = [normal(r.text) for r in rows]
+        sizes = [gram(len(t), q, rate) for t in texts]
+        held = spark.sparkContext.broadcast([Block([r.item for r, z in zip(rows, sizes, strict=True) if z == g], [t for t, z in zip(texts, sizes, strict=True) if z == g], g, rate) for g in sorted(set(sizes))])
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            x = held.value
             for b in batches:
-                texts = [normal(t) for t in b.column("text").to_pylist()]
-                for i, j in flat.chunks([len(t) for t in texts], flat.CHUNK_CHARS // 2):
-                    found = x.find(texts[i:j])
+                for i, j, texts in flat.pieces(b.column("text")):
+                    texts = [normal(t) for t in texts]
                     ids = b.column("id").slice(i, j - i)
-                    if found:
+                    for x in held.value:
+                        if not (found := x.find(texts)):
+                            continue
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([f[0] for f in found])), pa.array([x.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())], ["id", "item_id", "edits", "end"])
 
         part = plain.mapInArrow(work, "id long, item_id long, edits int, end int")

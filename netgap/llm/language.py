@@ -65,9 +65,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, dims: int = 4096, max_languages: int = 400, chars: int = 20_000, slack: float = 0.35) -> Model:
-    """``train``: labelled texts.  The sample is bounded by ``per_language`` texts of up to ``chars`` characters for each of ``max_languages`` languages."""
-    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
-    share = rows.groupBy("lang").count().orderBy("lang").limit(max_languages).collect()
+    """``train``: labelled texts.  The sample is bounded: for each language ``per_language`` texts, of which a longer one gives
+    its first ``chars`` characters.  More than ``max_languages`` languages are an error; none is left out."""
+    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    share = rows.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
+    if len(share) > max_languages:
+        raise ValueError(f"over {max_languages} languages")
+    rows = rows.withColumn("text", F.substring("text", 1, chars))
     low, pick = -(1 << 63), F.lit(False)
     for r in share:
         part = min(1.0, 1.5 * per_language / max(1, r["count"]))
@@ -89,8 +93,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     for j, name in enumerate(names):
         x = vectors(by[name], idf)
         c = kmeans(x, clusters)
-        near = (x @ c.T).max(1)
-        least.append(float(slack * np.quantile(near, 0.01)))
+        near = [(x[h::2] @ kmeans(x[1 - h :: 2], clusters).T).max(1) for h in (0, 1)] if len(x) > 3 else [(x @ c.T).max(1)]
+        least.append(float(slack * np.quantile(np.concatenate(near), 0.01)))  # texts against centroids of the other half
         owner += [j] * len(c)
         cents.append(c)
     return Model(names, np.array(owner), np.concatenate(cents).astype(np.float32), idf, np.array(least))
@@ -99,18 +103,18 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (best cosine, 0 to 1), rejected; one row per row of ``docs``."""
     found = identified(docs, model, text_col)
-    return found.select(F.col(id_col).cast("long").alias(id_col), *[F.col(f"_language.{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
+    return found.select(F.col(f"row.`{id_col}`").cast("long").alias(id_col), "found.lang_pred", "found.score", "found.rejected")
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_language`` (lang_pred, score, rejected)."""
+    """``row`` (a struct of all columns of ``docs``, so that no name can clash) and ``found`` (lang_pred, score, rejected)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def named(texts: pd.Series) -> pd.DataFrame:
         return label(texts.tolist(), held.value)
 
-    return docs.withColumn("_language", named(F.col(text_col).cast("string")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(F.col(text_col).cast("string")).alias("found"))
 
 
 def label(texts: list[str | None], m: Model) -> pd.DataFrame:

@@ -1,8 +1,9 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
-Words are ``[^\\x20\\x09-\\x0D]+``.  Null text has no words, no symbols and no lines, so it fails.  Extra columns pass
-through untouched; measures are added under the names in ``MEASURES``.  Equal windows are found by the 64-bit hash of
-their words' hashes inside one text.
+Words are ``[^\\x20\\x09-\\x0D]+``.  Null text has no words, no symbols and no lines, so it fails.  Columns
+pass through untouched, but for those named as in ``MEASURES``, ``base_failed`` or ``kept``, which are replaced.  Repeated
+rows and ids are judged each for itself, texts of any length whole; an empty table gives no rows.  Equal windows are
+found by the 64-bit hash of their words' hashes inside one text.
 """
 
 from __future__ import annotations
@@ -82,15 +83,15 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(WORD_SPACE))) > 0)
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     clear = [c for c in docs.columns if c not in MEASURES]
-    found = docs.select(
-        *[F.col(f"`{c}`") for c in clear],
-        let(words_of(text), counts).alias("_w"),
-        line_counts.alias("_l"),
+    found = docs.select(  # the columns of ``docs`` in one struct, so that no name can clash
+        F.struct(*[F.col(f"`{c}`") for c in clear]).alias("row"),
+        let(words_of(text), counts).alias("of_words"),
+        line_counts.alias("of_lines"),
         F.length(F.translate(text, WORD_SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    part = {"n_words": "_w", "n_neighbour_repeats": "_w", "n_stop_words": "_w", "n_repeat_words": "_w", "n_lines": "_l", "n_dup_lines": "_l"}
-    return found.select(*[F.col(f"`{c}`") for c in clear], *[F.col(f"{part[m]}.{m}" if m in part else m).alias(m) for m in MEASURES])
+    part = dict.fromkeys(("n_words", "n_neighbour_repeats", "n_stop_words", "n_repeat_words"), "of_words") | dict.fromkeys(("n_lines", "n_dup_lines"), "of_lines")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in clear], *[F.col(f"{part[m]}.{m}" if m in part else m).alias(m) for m in MEASURES])
 
 
 def ratio(name: str) -> Column:

@@ -73,7 +73,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "warc")
     warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
-    found = warc.resolved(storage.written(warc.transactions(warc.read(spark, path, payloads=False)), "transactions"))
+    records = storage.written(warc.read(spark, path, payloads=False), "records")
+    found = warc.resolved(storage.written(warc.transactions(records), "transactions"))
     return found.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 
 
@@ -87,4 +88,4 @@ def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, weights = weak_labels.fit(docs)
     found = weak_labels.score(docs, model, weights)
-    return found.select("doc_id", "score", "posterior", (F.col("score") >= 0.25).alias("kept"))
+    return found.select("doc_id", "score", "posterior", (F.col("score") >= 0.5).alias("kept"))

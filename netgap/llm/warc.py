@@ -2,14 +2,17 @@
 
 Every capture is written as three records: a request, a response (or a revisit of an equal payload) and a metadata
 record.  The request and the metadata name the response in ``WARC-Concurrent-To``.  Records are text of defined bytes,
-so Spark's text writer with CRLF as line end writes the archive itself; archives are gzip members of bounded size.
+so Spark's text writer with CRLF as line end writes the archive itself; each archive is one gzip stream whose number of
+records follows from the mean size of the payloads (about ``FILE_BYTES`` a file).
 
 Reading streams through each archive, checks payload digests and yields one row per record.  ``transactions`` joins
 request and metadata to response through the concurrent-to identifiers and emits one nested row per capture.
 
-Defined results: null html is the empty payload; null urls are written as ``urn:page:<id>``; ids must be distinct to be
-told apart (rows that repeat an id repeat its capture).  Of equal payloads of at least ``revisit_from`` bytes the one
-with the largest id is the response, the others revisit it.
+Defined results: null html is the empty payload; null urls are written as ``urn:page:<id>``.  Of equal payloads of at least
+``revisit_from`` bytes the one with the largest id is the response, the others revisit it.  Records are named after id
+and payload: rows that repeat an id (null too) with different payloads are told apart; those that repeat both are
+captures of one name, and each gets that name's first request and metadata, so there are as many captures as rows.
+Payloads of any length are kept whole; extra columns are not read; an empty table gives no captures.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
-def _record_id(kind: str, number: Column) -> Column:
-    h = F.md5(F.concat(F.lit(kind + ":"), number.cast("string")))
+#: Bytes of payload of an archive, on average.
+FILE_BYTES = 1 << 25
+
+
+def _record_id(kind: str, number: Column, digest: Column) -> Column:
+    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(number.cast("string"), F.lit("null")), F.lit(":"), digest))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -53,30 +60,33 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("d", "last")
 
 
-def write(captured: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 12_000) -> None:
+def write(captured: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", records_per_file: int | None = None) -> None:
     """Writes the archives of ``captures``; ``date`` stands in every record."""
     n, c = F.col("page_id"), F.col
-    own = F.coalesce(n, F.lit(-1))
+    name = lambda kind, of=n: _record_id(kind, of, c("payload_digest"))
+    if records_per_file is None:
+        mean = captured.agg(F.avg("payload_bytes")).first()[0] or 0
+        records_per_file = 3 * max(1, min(1 << 14, int(FILE_BYTES // (mean + 1))))
     revisit = c("refers_to").isNotNull()
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), c("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     when, target = ("WARC-Date", F.lit(date)), ("WARC-Target-URI", c("url"))
-    to = ("WARC-Concurrent-To", _record_id("response", own))
-    request = _record(F.lit("request"), [("WARC-Record-ID", _record_id("request", own)), when, target, to, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), c("url"), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
+    to = ("WARC-Concurrent-To", name("response"))
+    request = _record(F.lit("request"), [("WARC-Record-ID", name("request")), when, target, to, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), c("url"), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
     response = _record(
         F.when(revisit, "revisit").otherwise("response"),
         [
-            ("WARC-Record-ID", _record_id("response", own)),
+            ("WARC-Record-ID", name("response")),
             when,
             target,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), c("payload_digest"))),
-            ("WARC-Refers-To", F.when(revisit, _record_id("response", c("refers_to")))),
+            ("WARC-Refers-To", F.when(revisit, name("response", c("refers_to")))),
             ("WARC-Profile", F.when(revisit, PROFILE)),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
         F.when(revisit, head).otherwise(F.concat(head, c("payload"))),
     )
     fields = F.concat(F.lit("page-id: "), F.coalesce(n.cast("string"), F.lit("")), F.lit(CRLF))
-    metadata = _record(F.lit("metadata"), [("WARC-Record-ID", _record_id("metadata", own)), when, target, to, ("Content-Type", F.lit("application/warc-fields"))], fields)
+    metadata = _record(F.lit("metadata"), [("WARC-Record-ID", name("metadata")), when, target, to, ("Content-Type", F.lit("application/warc-fields"))], fields)
     rows = captured.select(F.explode(F.array(request, response, metadata)).alias("value"))
     rows.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -172,15 +182,15 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with its request and metadata; missing parts are null."""
+    first = lambda kind, *cols: records.filter(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(*cols)).alias(kind))
     main = records.filter(F.col("type").isin("response", "revisit")).select("record_id", F.struct("type", "target_uri", "date", "refers_to", "payload_bytes", "payload_digest", "payload").alias("response"))
-    request = records.filter("type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id"), "target_uri", "date").alias("request"))
-    metadata = records.filter("type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id"), "page_id").alias("metadata"))
+    request, metadata = first("request", F.col("record_id"), "target_uri", "date"), first("metadata", F.col("record_id"), "page_id")
     return main.join(request, "record_id", "left").join(metadata, "record_id", "left")
 
 
 def resolved(captured: DataFrame) -> DataFrame:
     """``transactions`` with ``refers_to_page``: the page id of the response that a revisit names."""
-    named = captured.filter(F.col("response.type") == "response").select(F.col("record_id").alias("rid"), F.col("metadata.page_id").alias("refers_to_page"))
+    named = captured.filter(F.col("response.type") == "response").groupBy(F.col("record_id").alias("rid")).agg(F.min("metadata.page_id").alias("refers_to_page"))
     target = captured.filter(F.col("response.refers_to").isNotNull()).select(F.col("response.refers_to").alias("rid")).distinct()
     known = storage.written(named.join(target, "rid", "left_semi"), "responses")
     return captured.join(known, F.col("response.refers_to") == F.col("rid"), "left").drop("rid")

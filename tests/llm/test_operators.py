@@ -279,6 +279,55 @@ def test_decontamination(docs, corpus, spark):
     assert {r.doc_id for r in found} == near
 
 
+def test_decontamination_finds_edits_in_short_items(spark):
+    """Items of every length, each with as many edits as its budget allows, against a plain semi-global alignment."""
+    rng = random.Random(8)
+    items, rows = [], []
+    for m in range(3, 45):
+        t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(m))
+        items.append((m, t))
+        edited = list(t)
+        for p in rng.sample(range(1, m - 1), int(0.1 * m)):
+            edited[p] = "0"
+        rows.append((m, "start here " + "".join(edited) + " and end"))
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+
+    def best(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    want = {(d, i, e) for d, t in rows for i, x in items if (e := best(x, t)) <= int(0.1 * len(x))}
+    assert {(r.doc_id, r.item_id, r.edits) for r in found} == want and len(want) >= 42
+
+
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    big = "x" * 1200
+    rows = [(5, "a", big), (5, "a", big), (5, "b", "other"), (None, "c", big), (None, "d", None), (None, "e", None), (7, "f", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as payload", "2 as last", "3 as d")
+    warc.write(warc.captures(pages), f"file://{tmp_path}/r")
+    found = warc.resolved(warc.transactions(warc.read(spark, f"file://{tmp_path}/r"))).collect()
+    got = Counter((r.metadata.page_id, r.response.payload_bytes, r.response.type, r.refers_to_page) for r in found)
+    assert got == Counter({(5, 1200, "revisit", 7): 2, (5, 5, "response", None): 1, (None, 1200, "response", None): 1, (None, 0, "response", None): 2, (7, 1200, "response", None): 1})
+    warc.write(warc.captures(pages.limit(0)), f"file://{tmp_path}/none")
+    assert warc.transactions(warc.read(spark, f"file://{tmp_path}/none")).isEmpty()
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that the operators make."""
+    d = spark.createDataFrame([(1, "one two three " * 9, "a", "b", "c", "d"), (2, None, "a", "b", "c", "d")], "doc_id long, text string, _w string, of_words string, row string, found string")
+    rules = quality_rules.apply_rules(d).collect()
+    assert [(r._w, r.of_words, r.row, r.found, r.base_failed) for r in rules] == [("a", "b", "c", "d", True)] * 2 and rules[0].n_words == 27
+    model = language.fit(d.selectExpr("*", "'xx' as lang"))
+    assert [r.lang_pred for r in language.predict(d, model).orderBy("doc_id").collect()] == ["xx", "und"]
+    with pytest.raises(ValueError):
+        language.fit(d.selectExpr("*", "'xx' as lang"), max_languages=0)
+
+
 def test_bpe_documents(docs, corpus, spark):
     path = queries.vocab_path()
     found = {r.doc_id: r for r in bpe.encode_documents(spark, docs, path).collect()}

@@ -35,3 +35,25 @@ def test_stages(spark, tmp_path):
     assert all(third[i] == t for i, t in rows[:20])
     assert seen[3] == clean | {30, 31, 32} and seen[4] == seen[3]
     assert not any(decontaminate.normal(item) in decontaminate.normal(t) for i, t in third.items() if i in seen[3])
+
+
+def test_stages_with_clashing_columns_nulls_and_no_rows(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["the", "of", "and"] + [f"eng{i}th" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(60), "en", "s", 1, "k", 2, "x") for i in range(12)]
+    rows += [(None, text(50), "en", None, None, None, None, None), (12, rows[0][1], "en", "s", 1, "z", 3, "y"), (12, rows[0][1], "en", "s", 1, "z", 3, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, row string").selectExpr("*", "'u' as found", "'v' as _language", "1 as id", "2 as n_removed")
+    spark.createDataFrame([(1, text(40))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for table, left in ((docs, 13), (docs.limit(0), 0)):
+        at = table
+        for k, (_, stage) in enumerate(C.STAGES):
+            at = stage(spark, at, f"file://{tmp_path}")
+            if k < 4:
+                assert at.columns == docs.columns
+                at.write.parquet(f"file://{tmp_path}/{left}-{k}")
+                at = spark.read.parquet(f"file://{tmp_path}/{left}-{k}")
+                if k == 3 and left:
+                    kept = {(r.doc_id, r.kept, r.n_words, r.row, r.found, r._language, r.id, r.n_removed) for r in at.collect()}
+                    assert kept == {(i, "k", 2, "x", "u", "v", 1, 2) for i in range(12)} | {(None, None, None, None, "u", "v", 1, 2)}
+        assert at.count() == left
