@@ -1,7 +1,8 @@
 """Corpus pipeline: language, near copies, repeated passages, benchmark leaks, then token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Rows with a null doc_id pass the language stage on their text and are kept by the later ones as they are.
+Rows with a null doc_id pass the language stage on their text and are kept by the later ones as they are.  Extra columns of
+any name travel with their row; rows that repeat an id are kept or dropped together; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from netgap.llm import bpe, decontaminate, language, near_dedup, queries, storag
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language; ``lang`` becomes the predicted one."""
-    found = language.identified(docs, language.fit(docs)).filter("not _language.rejected")
-    return found.select(*[F.col("_language.lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found = language.identified(docs, language.fit(docs)).filter("not found.rejected")
+    return found.select(*[F.col("found.lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages; documents of which nothing is left go.  Texts that lose nothing stay as they are."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    found = substring_dedup.remove_repeats(docs, carry=carry)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = substring_dedup.remove_repeats(whole, carry=["row"])
     cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept")).otherwise(F.col("text"))
-    out = found.filter(~cut | (F.length("kept") > 0)).withColumn("_t", text)
-    new = {"text": F.col("_t"), "n_chars": F.when(cut, F.length("_t").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    out = found.filter(~cut | (F.length("kept") > 0))
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
