@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import flat
@@ -108,28 +109,35 @@ def relevance(p: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return FLOOR + np.maximum(0.0, z - CHANCE)
 
 
-def build(examples: list[tuple[int, int, list[int], list[int]]], terms: list[str], df: np.ndarray, n_docs: int, prior: float) -> Index:
-    """``examples``: doc_id, toxic, term numbers, counts; ``terms`` by falling number of examples; ``df`` over ``n_docs``."""
-    v, n1 = len(terms), sum(e[1] for e in examples)
-    size = np.array([len(e[2]) for e in examples], np.int64)
-    t = np.array([x for e in examples for x in e[2]], np.int64)
-    c = np.array([x for e in examples for x in e[3]], np.float64)
-    row = np.repeat(np.arange(len(examples)), size)
-    y = np.array([e[1] for e in examples], np.int64)
+@dataclass
+class Examples:
+    """Labelled texts: the terms of example i, and how often each stands in it, are at begin[i] to begin[i + 1]."""
+
+    ids: np.ndarray
+    toxic: np.ndarray
+    begin: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+
+
+def build(e: Examples, terms: list[str], df: np.ndarray, n_docs: int, prior: float) -> Index:
+    """``terms`` by falling number of examples; ``df`` over ``n_docs``."""
+    v, t, y, n1 = len(terms), e.term, e.toxic, int(e.toxic.sum())
+    row = np.repeat(np.arange(len(y)), np.diff(e.begin))
     held = np.bincount(t, minlength=v).astype(np.float64)
     told = np.bincount(t, weights=y[row], minlength=v)
-    gain = (np.log((1 + n_docs) / (1 + df)) + 0.1) * relevance(told, held - told, n1, len(examples) - n1)
-    w = np.log1p(c) * gain[t]
-    w /= np.maximum(np.sqrt(np.bincount(row, weights=w * w, minlength=len(examples))), 1e-12)[row]
+    gain = (np.log((1 + n_docs) / (1 + df)) + 0.1) * relevance(told, held - told, n1, len(y) - n1)
+    w = np.log1p(e.count.astype(np.float64)) * gain[t]
+    w /= np.maximum(np.sqrt(np.bincount(row, weights=w * w, minlength=len(y))), 1e-12)[row]
     # neighbours: examples with the same heaviest term
-    top = np.full(len(examples), -1, np.int64)
+    top = np.full(len(y), -1, np.int64)
     by = np.lexsort((w, row))
     top[row[by]] = t[by]
-    order = np.lexsort((np.array([e[0] for e in examples], np.int64), top))
+    order = np.lexsort((e.ids, top))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     row = place[row]
-    blocks, head = -(-len(examples) // BLOCK), min(HEAD, v)
+    blocks, head = -(-len(y) // BLOCK), min(HEAD, v)
     dense = np.zeros((blocks * BLOCK, head), np.float32)
     on = t < head
     dense[row[on], t[on]] = w[on]
@@ -138,14 +146,14 @@ def build(examples: list[tuple[int, int, list[int], list[int]]], terms: list[str
     t, row, w = t[by], row[by], w[by]
     first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK))) if len(t) else np.zeros(0, np.int64)
     return Index(
-        dict(zip(terms, range(v), strict=True)), gain, prior, np.array([examples[i][0] for i in order], np.int64), y[order], dense,
+        dict(zip(terms, range(v), strict=True)), gain, prior, e.ids[order], y[order], dense,
         dense.reshape(blocks, BLOCK, head).max(1).T.copy() if blocks else np.zeros((head, 0), np.float32),
         np.searchsorted(t, np.arange(v - head + 1)), row.astype(np.int32), w,
         np.searchsorted(t[first], np.arange(v - head + 1)), (row[first] // BLOCK).astype(np.int32), np.maximum.reduceat(w, first) if len(t) else w,
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, k: int = 25, prior_votes: float = 0.5) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, k: int = 25, prior_votes: float = 0.5) -> Index:
     """``labels``: the rows that may be learnt from.  At most ``sample`` examples are used, those with the smallest hash of
     their id whatever their label; the prior is the share of label 1 in all of ``labels``."""
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
@@ -161,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for t in b.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(list(set(terms_of(t.as_py()))), pa.string())], ["term"])
 
-    ranked = texts.mapInArrow(seen, "term string").groupBy("term").agg(F.count("*").alias("n")).collect()
-    terms = [r.term for r in sorted(ranked, key=lambda r: (-r.n, r.term))]
+    ranked = texts.mapInArrow(seen, "term string").groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    terms = ranked.sort_by([("n", "descending"), ("term", "ascending")])["term"].to_pylist()
+    del ranked
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [count(t.as_py(), number.value) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["id", "y", "t", "c"])
 
-    examples = [(r.id, r.y, r.t, r.c) for r in texts.mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").collect()]
+    found = texts.mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").toArrow().sort_by("id")
+    t, c = (found[x].combine_chunks() for x in ("t", "c"))
+    begin = np.append(0, np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False))).astype(np.int64)
+    examples = Examples(found["id"].to_numpy(), found["y"].to_numpy().astype(np.int64), begin, t.flatten().to_numpy(), c.flatten().to_numpy())
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = number.value
@@ -183,9 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         on = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, on), pa.int32()), pa.array(np.append(n, df[on]), pa.int64())], ["t", "n"])
 
-    df = {r.t: r.n for r in plain.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    counted = plain.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     number.unpersist()
-    index = build(sorted(examples), terms, np.array([df.get(i, 0) for i in range(len(terms))], np.float64), df.get(-1, 0), prior)
+    df = np.zeros(len(terms) + 1)
+    df[counted["t"].to_numpy()] = counted["n"].to_numpy()  # the last one (-1) is the number of documents
+    index = build(examples, terms, df[:-1], int(df[-1]), prior)
     index.k, index.prior_votes = k, prior_votes
     calibrate(index, examples)
     return index
@@ -206,12 +220,12 @@ def _log_odds(x: np.ndarray | float) -> np.ndarray:
     return np.log(x / (1 - x))
 
 
-def calibrate(index: Index, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
+def calibrate(index: Index, e: Examples) -> None:
     """Fits the curve to the shares of the examples, each without its own vote (Newton steps, slightly damped)."""
     x, y = [], []
-    for i, label, t, c in examples:
-        if t:
-            p, s = index.search(*index.query(dict(zip(t, c, strict=True))), index.k + 1)
+    for i, label, a, b in zip(e.ids.tolist(), e.toxic.tolist(), e.begin[:-1].tolist(), e.begin[1:].tolist(), strict=True):
+        if a < b:
+            p, s = index.search(*index.query(dict(zip(e.term[a:b].tolist(), e.count[a:b].tolist(), strict=True))), index.k + 1)
             other = np.flatnonzero(index.ids[p] != i)[: index.k]
             x.append(share(index, p[other], s[other]))
             y.append(label)

@@ -169,7 +169,10 @@ def test_block_max_search_is_exact(monkeypatch):
         examples.append((i, y, t, rng.integers(1, 5, len(t)).tolist()))
     examples[7] = (7, 0, [], [])
     df = rng.integers(1, 90, v).astype(float)
-    index = toxicity.build(examples, [str(i) for i in range(v)], df, 100, 0.1)
+    size = [len(e[2]) for e in examples]
+    flat_terms, flat_counts = (np.array([x for e in examples for x in e[j]], np.int32) for j in (2, 3))
+    held = toxicity.Examples(np.arange(n), np.array([e[1] for e in examples]), np.append(0, np.cumsum(size)), flat_terms, flat_counts)
+    index = toxicity.build(held, [str(i) for i in range(v)], df, 100, 0.1)
     full = np.zeros((n, v))
     for i, _, t, c in examples:
         full[i, t] = np.log1p(c) * index.gain[t]
