@@ -167,3 +167,23 @@ def rings_contain(rings: Column, p: Column) -> Column:
 def line_polygon_distance(g: Column, rings: Column) -> Column:
     """0 if the line starts inside; else the least distance to a ring."""
     return F.when(rings_contain(rings, first_point(g)), 0.0).otherwise(F.array_min(F.transform(rings, lambda r: nearest(g, r)["dist"])))
+
+
+def approximately(a: Column, b: Column, relative: float = 1.5e-8, absolute: float = 0.0) -> Column:
+    """Whether two numbers are equal up to the larger of both tolerances."""
+    return (a == b) | (F.abs(a - b) <= F.greatest(F.lit(absolute), F.lit(relative) * F.greatest(F.abs(a), F.abs(b))))
+
+
+def same_line(g: Column, h: Column, relative: float = 1.5e-8, absolute: float = 0.0) -> Column:
+    """Whether two lines have equally many points, at approximately the same places (the tolerance is one of distance)."""
+
+    def close(p: Column, q: Column) -> Column:
+        far = norm(p["x"] - q["x"], p["y"] - q["y"])
+        return far <= F.greatest(F.lit(absolute), F.lit(relative) * F.greatest(norm(p["x"], p["y"]), norm(q["x"], q["y"])))
+
+    return (F.size(g) == F.size(h)) & F.forall(F.zip_with(g, h, lambda p, q: F.coalesce(close(p, q), F.lit(False))), lambda x: x)
+
+
+def same_edge(a: Column, b: Column, relative: float = 1.5e-8, absolute: float = 0.0) -> Column:
+    """Whether two edges (length_m, link_type, geom) are approximately equal; missing link types equal each other."""
+    return approximately(a["length_m"], b["length_m"], relative, absolute) & a["link_type"].eqNullSafe(b["link_type"]) & same_line(a["geom"], b["geom"], relative, absolute)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from netgap.functions import geometry as G
 from netgap.operators import components, distance
 from netgap.operators.network import Network, box_join, ordered
+from netgap.sources.numbers import numbered
 from netgap.sources.shared import written
 
 #: Two vertices are joined by a short edge if the network is more than this many times longer than the gap.
@@ -54,30 +55,18 @@ def snap_vertices(points: DataFrame, tolerance: float) -> DataFrame:
     alone = rows.join(group.select(F.col("label").alias("grp")).distinct(), "grp", "left_anti").select("seq", F.col("seq").alias("leader"))
     together = rows.join(group.select(F.col("label").alias("grp")).distinct(), "grp", "left_semi").groupBy("grp").applyInPandas(resolve, "seq long, leader long")
     leaders = written(alone.unionByName(together).withColumnRenamed("seq", "rep"), "leaders")
-    ids = _number(leaders.filter("rep = leader").select("leader"), "leader", "id")
+    ids = numbered(leaders.filter("rep = leader").select("leader"), "leader", "id")
     named = leaders.join(ids, "leader").join(first, "rep").select("x", "y", "id")
     return points.join(named, ["x", "y"]).select("seq", "id")
 
 
-def _number(df: DataFrame, key: str, out: str, start: int = 1) -> DataFrame:
-    """``df`` with consecutive numbers in the order of ``key``: range partitions, their sizes, a running number."""
-    placed = written(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "numbered")
-    sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}
-    rows, before = [], start - 1
-    for p in sorted(sizes):
-        rows.append((p, before))
-        before += sizes[p]
-    offsets = df.sparkSession.createDataFrame(rows, "_p int, _before long")
-    return placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_before") + F.col("_r")).drop("_p", "_before", "_r")
-
-
 def from_lines(lines: DataFrame, tolerance: float = 1e-6, max_edge_length: float = 250) -> Network:
     """A network from lines (seq, geom, link_type): long lines are broken, ends are snapped, and the second edge of a
     vertex pair is split near its begin (at 1e-2 or a tenth of its length) until no pair repeats.  Vertices of such
     splits are numbered after all others."""
     base = lines.select("seq", "link_type", F.col("geom").cast(G.LINE).alias("geom"))
-    broken = G.break_long(base, "geom", max_edge_length).select((F.col("seq") * 100_000 + F.col("piece")).alias("seq"), "link_type", "geom")
-    broken = written(broken, "lines")
+    broken = G.break_long(base, "geom", max_edge_length).select(F.struct("seq", "piece").alias("key"), "link_type", "geom")
+    broken = written(numbered(broken, "key", "seq").drop("key"), "lines")
     ends = broken.select((F.col("seq") * 2).alias("seq"), G.first_point(F.col("geom")).alias("p")).union(broken.select((F.col("seq") * 2 + 1), G.last_point(F.col("geom")))).select("seq", "p.x", "p.y")
     ids = written(snap_vertices(ends, tolerance), "snapped")
     starts = ids.filter("seq % 2 = 0").select((F.col("seq") / 2).cast("long").alias("seq"), F.col("id").alias("src"))
@@ -94,7 +83,7 @@ def from_lines(lines: DataFrame, tolerance: float = 1e-6, max_edge_length: float
         if extra.isEmpty():
             break
         top = vertices.agg(F.max("id")).first()[0]
-        split = _number(extra, "seq", "new", top + 1).withColumn("at", F.least(F.lit(1e-2), F.lit(0.1) * F.col("length_m")))
+        split = numbered(extra, "seq", "new", top + 1).withColumn("at", F.least(F.lit(1e-2), F.lit(0.1) * F.col("length_m")))
         split = written(split.withColumn("head", G.line_between(F.col("geom"), F.lit(0.0), F.col("at"))).withColumn("tail", G.line_between(F.col("geom"), F.col("at"), F.col("length_m"))), "split")
         vertices = written(vertices.unionByName(split.select(F.col("new").alias("id"), F.element_at("tail", 1)["x"].alias("x"), F.element_at("tail", 1)["y"].alias("y"))), "vertices")
         halves = split.select("seq", "src", F.col("new").alias("dst"), F.col("at").alias("length_m"), "link_type", F.col("head").alias("geom")).union(split.select((F.col("seq") + 0), F.col("new"), "dst", (F.col("length_m") - F.col("at")), "link_type", "tail"))
@@ -204,7 +193,7 @@ def link_points(net: Network, points: DataFrame, tolerance: float = 20, min_spli
         made = made.union(lone.select("seq", F.lit(2)))
     # an island takes two numbers: both of its rows are numbered, and the first counts
     twice = made.select("seq", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("key", F.struct("seq", "i"))
-    ids = written(_number(twice, "key", "id", top + 1).filter("i = 1").select("seq", "id"), "ids")
+    ids = written(numbered(twice, "key", "id", top + 1).filter("i = 1").select("seq", "id"), "ids")
     splits = placed.filter("leader = seq").join(ids, "seq").select("src", "dst", "at", "id")
     out = split_edges(net, splits)
     named = placed.join(ids.select(F.col("seq").alias("leader"), F.col("id").alias("made")), "leader", "left")
@@ -231,7 +220,7 @@ def realize(net: Network, links: DataFrame) -> Network:
     stops = links.select(F.col("fr_src").alias("src"), F.col("fr_tgt").alias("dst"), F.col("fr_from_start").alias("off")).union(links.select("to_src", "to_tgt", "to_from_start")).distinct()
     hosted = stops.join(net.edges.select("src", "dst", F.rint("length_m").cast("int").alias("len")), ["src", "dst"])
     inner = hosted.filter("off > 0 and off < len").select("src", "dst", "off", F.struct("src", "dst", "off").alias("key"))
-    made = _number(inner, "key", "id", top + 1).drop("key")
+    made = numbered(inner, "key", "id", top + 1).drop("key")
     split = split_edges(net, made.select("src", "dst", F.col("off").cast("double").alias("at"), "id"))
     names = made.select("src", "dst", "off", "id").unionByName(hosted.filter("off <= 0").select("src", "dst", "off", F.col("src").alias("id"))).unionByName(hosted.filter("off >= len and off > 0").select("src", "dst", "off", F.col("dst").alias("id")))
     a = names.select(F.col("src").alias("fr_src"), F.col("dst").alias("fr_tgt"), F.col("off").alias("fr_from_start"), F.col("id").alias("a"))

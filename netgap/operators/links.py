@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netgap.functions import geometry as G
-from netgap.operators import components
 from netgap.operators.distance import net_distance
 from netgap.operators.network import UNREACHABLE, Network, box_join
 from netgap.sources.shared import written
@@ -23,16 +21,17 @@ def check_bounds(maxdist: float, *at_least: float) -> None:
         raise ValueError(f"maxdist {maxdist} is below a threshold: {at_least}")
 
 
-def identify(net: Network, dist: DataFrame, max_link_dist: float, min_net_dist: float) -> DataFrame:
+def identify(net: Network, dist: DataFrame, max_link_dist: float, min_net_dist: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Links between edges at most ``max_link_dist`` apart and more than ``min_net_dist`` apart on the network, both
     directions.  Each unordered pair of edges is worked on once; the reverse direction is added at the end.
 
     The nearest points are the first in the tie order of ``geometry.nearest``, taken from the edge that sorts first.
+    ``on``: columns of the edges in which both must agree.
     """
-    a = net.edges.select(F.col("src").alias("fr_src"), F.col("dst").alias("fr_tgt"), F.col("length_m").alias("la"), F.col("geom").alias("ga"))
-    b = net.edges.select(F.col("src").alias("to_src"), F.col("dst").alias("to_tgt"), F.col("length_m").alias("lb"), F.col("geom").alias("gb"))
+    a = net.edges.select(*on, F.col("src").alias("fr_src"), F.col("dst").alias("fr_tgt"), F.col("length_m").alias("la"), F.col("geom").alias("ga"))
+    b = net.edges.select(*on, F.col("src").alias("to_src"), F.col("dst").alias("to_tgt"), F.col("length_m").alias("lb"), F.col("geom").alias("gb"))
     size = max(float(max_link_dist), 1.0)
-    pairs = box_join(a, b, G.envelope(F.col("ga")), G.envelope(F.col("gb")), max_link_dist, size)
+    pairs = box_join(a, b, G.envelope(F.col("ga")), G.envelope(F.col("gb")), max_link_dist, size, on)
     pairs = pairs.filter(F.struct("fr_src", "fr_tgt") < F.struct("to_src", "to_tgt"))
     near = pairs.withColumn("n", G.nearest(F.col("ga"), F.col("gb"))).filter(F.col("n.dist") <= max_link_dist)
     r = lambda c: F.rint(c).cast("int")
@@ -56,11 +55,6 @@ def reverse(links: DataFrame) -> DataFrame:
     return links.select(*[F.col(swap(c)).alias(c) for c in links.columns])
 
 
-def numbered(links: DataFrame) -> DataFrame:
-    """``links`` with ``link_id``, the canonical order: from edge, to edge."""
-    return links.withColumn("link_id", F.xxhash64(*LINK[:8]))
-
-
 def to_table(links: DataFrame, net: Network) -> DataFrame:
     """Links with text labels, infinite network length where disconnected, and their straight geometry."""
     e = net.edges
@@ -106,28 +100,30 @@ def deduplicate(links: DataFrame, net: Network, dist: DataFrame, radius: float,
     """The shortest link of each sphere of influence.
 
     First-fit clustering in the order of column ``order`` (made from the canonical order if absent): a link joins the
-    sphere of the earliest leader that covers it, or leads a new one.  Links that can meet are connected through the
-    cover relation; each connected group is resolved in order, groups in parallel.
+    sphere of the earliest leader that covers it, or leads a new one.  It is resolved by rounds of local decisions, which
+    give the same result: a link leads once all earlier links that cover it are known not to lead, and does not lead
+    once one of them does.
     """
     if order not in links.columns:
         links = links.withColumn(order, F.struct(*LINK[:8]))
         links = _ranked(links, order)
     links = written(links.withColumn("link_id", F.col(order).cast("long")), "links")
-    cover = written(covered(links, net, dist, radius), "cover")
-    group = components.connected(cover.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    base = links.join(group.withColumnRenamed("node", "link_id"), "link_id", "left").withColumn("grp", F.coalesce("label", "link_id"))
-    before = cover.filter("i < j").groupBy(F.col("j").alias("link_id")).agg(F.collect_list("i").alias("before"))
-    rows = base.join(before, "link_id", "left").select("grp", "link_id", "geo_m", "before")
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("link_id")
-        leader: dict[int, int] = {}
-        for j, b in zip(pdf.link_id, pdf.before, strict=True):
-            over = [i for i in (b if b is not None else ()) if leader[i] == i]
-            leader[j] = min(over) if over else j
-        return pdf[["link_id", "geo_m"]].assign(sphere=pdf.link_id.map(leader))
-
-    spheres = rows.groupBy("grp").applyInPandas(resolve, "link_id long, geo_m int, sphere long")
+    before = written(covered(links, net, dist, radius).filter("i < j"), "cover")
+    open_ = written(before.select("i", "j"), "open")  # covers whose later link is undecided
+    leads = written(links.select("link_id").join(before.select(F.col("j").alias("link_id")), "link_id", "left_anti"), "leads")
+    new = leads
+    while True:
+        beaten = open_.join(new.withColumnRenamed("link_id", "i"), "i", "left_semi").select("j").distinct()
+        rest = open_.join(beaten, "j", "left_anti")  # undecided later links
+        still = rest.filter("i is not null").join(beaten.withColumnRenamed("j", "i"), "i", "left_anti")
+        rest = written(still.unionByName(rest.select(F.lit(None).cast("long").alias("i"), "j").distinct()), "open")
+        new = written(rest.groupBy(F.col("j").alias("link_id")).agg(F.count("i").alias("n")).filter("n = 0").select("link_id"), "new")
+        open_ = rest.join(new.withColumnRenamed("link_id", "j"), "j", "left_anti")
+        if new.isEmpty():
+            break
+        leads = written(leads.unionByName(new), "leads")
+    over = before.join(leads.withColumnRenamed("link_id", "i"), "i", "left_semi").groupBy(F.col("j").alias("link_id")).agg(F.min("i").alias("lead"))
+    spheres = links.select("link_id", "geo_m").join(over, "link_id", "left").select("link_id", "geo_m", F.coalesce("lead", "link_id").alias("sphere"))
     best = spheres.groupBy("sphere").agg(F.min(F.struct("geo_m", "link_id")).alias("b")).select(F.col("b.link_id").alias("link_id"))
     return links.join(best, "link_id", "left_semi").drop("link_id")
 
@@ -151,8 +147,9 @@ def score(links: DataFrame, dist: DataFrame, origins: DataFrame, dests: DataFram
 
     ``origins`` and ``dests``: (id, w).  Zero weights and ends beyond the cutoff drop out before trips are formed.
     """
-    keyed = numbered(links)
-    ways = keyed.select("link_id", *LINK[:9]).unionByName(reverse(keyed.select("link_id", *LINK[:9]))).withColumn("way", F.xxhash64("link_id", *LINK[:8]))
+    keyed = links.withColumn("link_id", F.struct(*LINK[:8]))
+    own = keyed.select("link_id", *LINK[:9]).distinct()
+    ways = own.withColumn("turned", F.lit(0)).unionByName(reverse(own).withColumn("turned", F.lit(1))).withColumn("way", F.struct("link_id", "turned"))
 
     def side(end: str, weights: DataFrame, node: str, w: str) -> DataFrame:
         ends = ways.select("way", "link_id", "geo_m", F.explode(F.array(F.struct(F.col(f"{end}_src").alias("dest"), F.col(f"{end}_from_start").alias("off")), F.struct(F.col(f"{end}_tgt").alias("dest"), F.col(f"{end}_to_end").alias("off")))).alias("e")).select("way", "link_id", "geo_m", "e.*")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netgap.functions import geometry as G
 from netgap.operators import components
+from netgap.sources.shared import written
 
 VERTEX = "id long, x double, y double"
 EDGE = "src long, dst long, length_m double, link_type string, geom array<struct<x:double,y:double>>"
@@ -65,61 +67,74 @@ def cells(df: DataFrame, box: Column, size: float, pad: float = 0.0) -> DataFram
     return out
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, pad: float, size: float) -> DataFrame:
-    """Pairs whose boxes touch (left ones padded): an equi-join on grid cells.
+def box_join(left: DataFrame, right: DataFrame, left_box: Column, right_box: Column, pad: float, size: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose boxes touch (left ones padded) and that agree in the columns ``on``: an equi-join on grid cells.
 
     A pair that shares several cells is kept in one only, the cell of the lower left corner of the boxes' overlap, so no
     distinct is needed.  Column names of both sides must differ.
     """
     a = cells(left, left_box, size, pad).withColumnRenamed("_box", "_l")
     b = cells(right, right_box, size).withColumnRenamed("_box", "_r")
-    pairs = a.join(b, ["cx", "cy"]).filter((F.col("_l.min_x") <= F.col("_r.max_x")) & (F.col("_r.min_x") <= F.col("_l.max_x")) & (F.col("_l.min_y") <= F.col("_r.max_y")) & (F.col("_r.min_y") <= F.col("_l.max_y")))
+    pairs = a.join(b, ["cx", "cy", *on]).filter((F.col("_l.min_x") <= F.col("_r.max_x")) & (F.col("_r.min_x") <= F.col("_l.max_x")) & (F.col("_l.min_y") <= F.col("_r.max_y")) & (F.col("_r.min_y") <= F.col("_l.max_y")))
     once = (F.col("cx") == F.floor(F.greatest("_l.min_x", "_r.min_x") / size)) & (F.col("cy") == F.floor(F.greatest("_l.min_y", "_r.min_y") / size))
     return pairs.filter(once).drop("cx", "cy", "_l", "_r")
 
 
 def collapse(net: Network, protected: str = "candidate") -> Network:
-    """Merges vertices of degree two away.
+    """Merges vertices of degree two away, in the order of their ids.
 
-    Chains between other vertices become one edge: lengths add, link types become the sorted distinct types joined by
-    ``|``.  A chain stays as it is if it would become a loop or a parallel edge or touches a ``protected`` edge.
+    A vertex stays if it touches a ``protected`` edge, or if its merge would make a loop or a parallel edge.  So of a
+    chain between two others without an edge of their own nothing stays but, where chains run in parallel, the last
+    vertex of all but the one whose last vertex comes first; of a loop the last two stay, of a ring by itself the last
+    three.  Lengths add, and link types become the sorted distinct types (themselves split at ``|``) joined by ``|``.
     """
-    edges = net.edges.withColumn("_e", F.struct("src", "dst"))
-    two = degree(net).filter("degree = 2").select("id")
     near = net.edges.filter(F.col("link_type") == protected).select(F.explode(F.array("src", "dst")).alias("id"))
-    inner = two.join(near, "id", "left_anti")
-    ends = edges.select("_e", F.explode(F.array("src", "dst")).alias("id"))
-    # edges that meet at an inner vertex belong to one chain
-    number = edges.select("_e", F.xxhash64("src", "dst").alias("k"))
-    at = ends.join(inner, "id").join(number, "_e")
-    joined = at.groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    chain = components.connected(joined.select("a", "b"))
-    named = edges.join(number, "_e").join(chain.withColumnRenamed("node", "k"), "k", "left").withColumn("chain", F.coalesce("label", "k"))
-    corners = named.select("chain", F.explode(F.array("src", "dst")).alias("id")).groupBy("chain", "id").agg(F.count("*").alias("n")).filter("n = 1")
-    two_ends = corners.groupBy("chain").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("m")).filter("m = 2")
-    sizes = named.groupBy("chain").agg(F.count("*").alias("parts"))
-    whole = two_ends.join(sizes, "chain")
-    taken = named.join(sizes, "chain").filter("parts = 1").select("src", "dst")
-    alone = whole.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("parts", "chain")))
-    merge = alone.filter("parts > 1 and r = 1").join(taken, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left_anti").select("chain", "a", "b")
-    body = named.join(merge, "chain")
-    pieces = body.groupBy("chain", "a", "b").agg(F.sum("length_m").alias("length_m"), F.array_join(F.sort_array(F.collect_set("link_type")), "|").alias("link_type"), F.collect_list(F.struct("src", "dst", "geom")).alias("parts"))
-
-    def step(held: Column, _: Column) -> Column:
-        here = held["at"]
-        nxt = F.element_at(F.filter(held["rest"], lambda p: (p["src"] == here) | (p["dst"] == here)), 1)
-        forward = nxt["src"] == here
-        g = F.when(forward, nxt["geom"]).otherwise(F.reverse(nxt["geom"]))
-        return F.struct(
-            F.when(forward, nxt["dst"]).otherwise(nxt["src"]).alias("at"),
-            F.filter(held["rest"], lambda p: ~((p["src"] == nxt["src"]) & (p["dst"] == nxt["dst"]))).alias("rest"),
-            F.concat(held["geom"], F.slice(g, F.when(F.size(held["geom"]) == 0, 1).otherwise(2), F.size(g))).alias("geom"),
-        )
-
-    start = F.struct(F.col("a").alias("at"), F.col("parts").alias("rest"), F.array().cast(G.LINE).alias("geom"))
-    merged = pieces.select(F.col("a").alias("src"), F.col("b").alias("dst"), "length_m", "link_type", F.aggregate("parts", start, step, lambda h: h["geom"]).alias("geom"))
-    rest = named.join(merge.select("chain"), "chain", "left_anti").select("src", "dst", "length_m", "link_type", "geom")
-    edges_out = rest.unionByName(merged)
-    used = edges_out.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    dropped = two.join(used, "id", "left_anti")
-    return Network(net.vertices.join(dropped, "id", "left_anti"), edges_out)
+    inner = written(degree(net).filter("degree = 2").select("id").join(near, "id", "left_anti"), "inner")
+    chains = written(_segments(net.edges, inner), "chains")
+    ranked = chains.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("id"))))
+    ends = _touching(net.edges, chains).filter("corner is not null")
+    kinds = chains.groupBy("label").agg(F.max("id").alias("last")).join(ends.groupBy("label").agg(F.min("corner").alias("a"), F.max("corner").alias("b")), "label", "left")
+    direct = net.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().withColumn("edge", F.lit(True))
+    first = kinds.filter("a < b").groupBy("a", "b").agg(F.min("last").alias("first"))
+    kept = kinds.join(direct, ["a", "b"], "left").join(first, ["a", "b"], "left").select("label", F.expr("case when a is null then 3 when a = b then 2 when edge or last > first then 1 else 0 end").alias("keep"))
+    stay = ranked.join(kept, "label").filter("r <= keep").select("id")
+    parts = written(_segments(net.edges, inner.join(stay, "id", "left_anti")), "segments")
+    named = written(_touching(net.edges, parts, whole=True), "named")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        at: dict[int, list[int]] = {}
+        for k, (u, v) in enumerate(zip(pdf.src, pdf.dst, strict=True)):
+            at.setdefault(u, []).append(k)
+            at.setdefault(v, []).append(k)
+        a, b = sorted(v for v, e in at.items() if len(e) == 1)
+        here, done, length, points = a, set(), 0.0, []
+        for _ in range(len(pdf)):
+            k = next(e for e in at[here] if e not in done)
+            done.add(k)
+            row = pdf.iloc[k]
+            line = [(p["x"], p["y"]) for p in row.geom]
+            forward = row.src == here
+            points += (line if forward else line[::-1])[1 if points else 0 :]
+            length += row.length_m
+            here = row.dst if forward else row.src
+        kinds = sorted({x for t in pdf.link_type.dropna() for x in t.split("|")})
+        return pd.DataFrame({"src": [a], "dst": [b], "length_m": [length], "link_type": ["|".join(kinds) if kinds else None], "geom": [[{"x": x, "y": y} for x, y in points]]})
+
+    merged = named.filter("label is not null").groupBy("label").applyInPandas(walk, EDGE)
+    edges = named.filter("label is null").select("src", "dst", "length_m", "link_type", "geom").unionByName(merged)
+    return Network(net.vertices.join(parts.select("id"), "id", "left_anti"), edges)
+
+
+def _segments(edges: DataFrame, inner: DataFrame) -> DataFrame:
+    """id, label: the inner vertices, labelled by the chain they form with each other."""
+    both = edges.select("src", "dst").join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    found = components.connected(both.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return inner.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def _touching(edges: DataFrame, chains: DataFrame, whole: bool = False) -> DataFrame:
+    """Edges with the label of the chain that they touch, and their end outside of it (``corner``); ``whole``: all edges."""
+    a, b = (chains.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
+    out = edges.join(a, "src", "left").join(b, "dst", "left").withColumn("label", F.coalesce("src_label", "dst_label"))
+    out = out.withColumn("corner", F.when(F.col("src_label").isNull(), F.col("src")).when(F.col("dst_label").isNull(), F.col("dst")))
+    return (out if whole else out.filter("label is not null")).drop("src_label", "dst_label")

@@ -83,7 +83,7 @@ def route(net: Network, origin: tuple[float, float], dest: tuple[float, float],
 def pixels(spark, min_x: float, min_y: float, max_x: float, max_y: float, resolution: float) -> DataFrame:
     """Grid points (row, col, x, y): x rises with col, y falls with row."""
     cols, rows = int((max_x - min_x) // resolution) + 1, int((max_y - min_y) // resolution) + 1
-    grid = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col"))
+    grid = spark.range(rows * cols).select(F.expr(f"id div {cols}").alias("row"), (F.col("id") % cols).alias("col"))
     return grid.select("row", "col", (F.lit(float(min_x)) + F.col("col") * float(resolution)).alias("x"), (F.lit(float(max_y)) - F.col("row") * float(resolution)).alias("y"))
 
 

@@ -1,40 +1,51 @@
-"""Spatial tiles for networks that are too large for one distance table."""
+"""Spatial tiles for networks that are too large for one distance table.
 
-from __future__ import annotations
+All tiles are worked on in one plan: a vertex that lies in several tiles becomes one vertex for each, named id * tiles +
+tile, so the tiles are parts of one network that nothing connects.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netgap.functions import geometry as G
-from netgap.operators import distance, links as L, weights as W
+from netgap.operators import distance, links as L
 from netgap.operators.network import Network, extent
+from netgap.sources.shared import written
 
 
-def bounds(net: Network, rows: int, cols: int) -> list[tuple[int, int, float, float, float, float]]:
-    """(row, col, min_x, max_x, min_y, max_y) of each tile; rows split y, columns split x."""
-    e = extent(net).first()
-    if e.min_x is None:
-        raise ValueError("the network is empty")
-    w, h = (e.max_x - e.min_x) / cols, (e.max_y - e.min_y) / rows
-    return [(r, c, e.min_x + w * c, e.min_x + w * (c + 1), e.min_y + h * r, e.min_y + h * (r + 1)) for r in range(rows) for c in range(cols)]
-
+class Grid:
+    """rows x cols tiles over the extent of a network; rows split y, columns split x."""
 
-def inside(x: Column, y: Column, tile: tuple, buffer: float = 0.0) -> Column:
-    _, _, a, b, c, d = tile
-    return x.between(a - buffer, b + buffer) & y.between(c - buffer, d + buffer)
+    def __init__(self, net: Network, rows: int, cols: int) -> None:
+        e = extent(net).first()
+        if e.min_x is None:
+            raise ValueError("the network is empty")
+        self.rows, self.cols, self.x, self.y = rows, cols, e.min_x, e.min_y
+        self.w, self.h = (e.max_x - e.min_x) / cols, (e.max_y - e.min_y) / rows
 
+    def inside(self, x: Column, y: Column, row: Column, col: Column, buffer: float = 0.0) -> Column:
+        low_x, high_x = F.lit(self.x) + F.lit(self.w) * col, F.lit(self.x) + F.lit(self.w) * (col + 1)
+        low_y, high_y = F.lit(self.y) + F.lit(self.h) * row, F.lit(self.y) + F.lit(self.h) * (row + 1)
+        return x.between(low_x - buffer, high_x + buffer) & y.between(low_y - buffer, high_y + buffer)
 
-def _tile_array(tiles: list[tuple], x: Column, y: Column, buffer: float) -> Column:
-    found = [F.when(inside(x, y, t, buffer), F.struct(F.lit(t[0]).alias("tile_row"), F.lit(t[1]).alias("tile_col"))) for t in tiles]
-    return F.filter(F.array(*found), lambda t: t.isNotNull())
+    def near(self, points: DataFrame, buffer: float) -> DataFrame:
+        """Points (x, y) with tile_row and tile_col, once for each tile whose buffered bounds hold them."""
+        out = points
+        for name, at, low, step, n in (("tile_row", "y", self.y, self.h, self.rows), ("tile_col", "x", self.x, self.w, self.cols)):
+            if step > 0:  # one tile more on both sides, as quotients are rounded; ``inside`` decides
+                first, last = (F.floor((F.col(at) + F.lit(s * buffer) - low) / step).cast("int") + s for s in (-1, 1))
+                tiles = F.sequence(F.greatest(F.lit(0), first), F.least(F.lit(n - 1), last))
+            else:
+                tiles = F.sequence(F.lit(0), F.lit(n - 1))
+            out = out.withColumn(name, F.explode(tiles))
+        return out.filter(self.inside(F.col("x"), F.col("y"), F.col("tile_row"), F.col("tile_col"), buffer))
 
 
 def partition(net: Network, rows: int, cols: int, buffer: float) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) with tile_row and tile_col.  A tile has the vertices inside its buffered bounds, every edge
     with an end there, and that edge's other end."""
-    tiles = bounds(net, rows, cols)
-    core = net.vertices.withColumn("t", F.explode(_tile_array(tiles, F.col("x"), F.col("y"), buffer))).select("id", "x", "y", "t.*")
+    core = Grid(net, rows, cols).near(net.vertices.select("id", "x", "y"), buffer)
     ends = net.edges.select(F.struct("src", "dst").alias("e"), F.explode(F.array("src", "dst")).alias("id"))
     touched = ends.join(core.select("id", "tile_row", "tile_col"), "id").select("e", "tile_row", "tile_col").distinct()
     edges = net.edges.withColumn("e", F.struct("src", "dst")).join(touched, "e").drop("e")
@@ -46,34 +57,35 @@ def partition(net: Network, rows: int, cols: int, buffer: float) -> tuple[DataFr
 def identify_and_score(net: Network, rows: int, cols: int, buffer: float, decay: L.Decay, cutoff_distance: float, origin_weights: DataFrame, dest_weights: DataFrame, max_link_distance: float = 100, min_net_distance: float = 1000, radius: float = 100, deduplicate: bool = True) -> DataFrame:
     """Links and scores of every tile, merged: each link once, in one direction.
 
-    Distances are searched up to ``cutoff_distance`` in each tile; a tile is one distance table at a time, so memory is
-    bounded by the largest tile.
+    Distances are searched up to ``cutoff_distance`` in each tile.  No step looks beyond a tile, so what a task holds does
+    not grow with the network.
     """
     L.check_bounds(cutoff_distance, min_net_distance, radius if deduplicate else 0)
-    tiles = bounds(net, rows, cols)
-    vertices, edges = partition(net, rows, cols, buffer)
-    parts = []
-    for t in tiles:
-        here = (F.col("tile_row") == t[0]) & (F.col("tile_col") == t[1])
-        part = Network(vertices.filter(here).drop("tile_row", "tile_col"), edges.filter(here).drop("tile_row", "tile_col"))
-        dist = L.written(distance.distance_table(part, cutoff_distance), "dist")
-        found = L.identify(part, dist, max_link_distance, min_net_distance)
-        if deduplicate:
-            found = L.deduplicate(found, part, dist, radius).drop("ord")
-        scored = L.score(found, dist, W.partition_weights(part, origin_weights), W.partition_weights(part, dest_weights), decay, cutoff_distance)
-        parts.append(L.written(scored.withColumn("tile_row", F.lit(t[0])).withColumn("tile_col", F.lit(t[1])), "tile"))
-    return merge(net, tiles, reduce(DataFrame.unionByName, parts))
-
-
-def merge(net: Network, tiles: list[tuple], links: DataFrame) -> DataFrame:
-    """Keeps links with an end inside their own tile, one row for a link and its reverse: the first tile in row-major
-    order wins.  Network lengths differ between tiles and are reset to 0."""
+    n = rows * cols
+    vertices, edges = (written(t, "tiles") for t in partition(net, rows, cols, buffer))
+    tile = F.col("tile_row") * cols + F.col("tile_col")
+    name = lambda c: (F.col(c) * n + tile).alias(c)
+    whole = Network(vertices.select(name("id"), "x", "y"), edges.select(name("src"), name("dst"), "length_m", "link_type", "geom", tile.alias("tile")))
+    dist = written(distance.distance_table(whole, cutoff_distance), "dist")
+    found = L.identify(whole, dist, max_link_distance, min_net_distance, on=("tile",))
+    if deduplicate:
+        found = L.deduplicate(found, whole, dist, radius).drop("ord")
+    weigh = lambda w: vertices.join(w, "id").select(name("id"), "w")
+    scored = L.score(written(found, "links"), dist, weigh(origin_weights), weigh(dest_weights), decay, cutoff_distance)
+    plain = [F.expr(f"{c} div {n}").alias(c) if c.endswith(("_src", "_tgt")) else F.col(c) for c in (*L.LINK, "score")]
+    placed = scored.select(*plain, F.expr(f"int((fr_src % {n}) div {cols})").alias("tile_row"), F.expr(f"int((fr_src % {n}) % {cols})").alias("tile_col"))
+    return merge(net, Grid(net, rows, cols), placed)
+
+
+def merge(net: Network, grid: Grid, links: DataFrame) -> DataFrame:
+    """Keeps links (with tile_row, tile_col) with an end inside their own tile, one row for a link and its reverse: the
+    first tile in row-major order wins.  Network lengths differ between tiles and are reset to 0."""
     e = net.edges
     a = e.select(F.col("src").alias("fr_src"), F.col("dst").alias("fr_tgt"), F.col("geom").alias("ga"))
     b = e.select(F.col("src").alias("to_src"), F.col("dst").alias("to_tgt"), F.col("geom").alias("gb"))
     both = links.join(a, ["fr_src", "fr_tgt"]).join(b, ["to_src", "to_tgt"])
     both = both.withColumn("p", G.interpolate(F.col("ga"), F.col("fr_from_start").cast("double"))).withColumn("q", G.interpolate(F.col("gb"), F.col("to_from_start").cast("double")))
-    own = reduce(lambda x, y: x | y, [(F.col("tile_row") == t[0]) & (F.col("tile_col") == t[1]) & (inside(F.col("p.x"), F.col("p.y"), t) | inside(F.col("q.x"), F.col("q.y"), t)) for t in tiles])
+    own = grid.inside(F.col("p.x"), F.col("p.y"), F.col("tile_row"), F.col("tile_col")) | grid.inside(F.col("q.x"), F.col("q.y"), F.col("tile_row"), F.col("tile_col"))
     place = lambda cols: F.struct(*[F.col(c).alias(k) for c, k in zip(cols, "abcd", strict=True)])
     fr, to = place(L.LINK[:4]), place(L.LINK[4:8])
     keyed = both.filter(own).withColumn("net_m", F.lit(0)).withColumn("key", F.when(fr <= to, F.struct(fr.alias("a"), to.alias("b"))).otherwise(F.struct(to.alias("a"), fr.alias("b"))))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netgap.functions import geometry as G
+from netgap.sources.numbers import numbered
 
 
 def geometry_column(df: DataFrame, name: str | None = None) -> str:
@@ -16,7 +19,8 @@ def geometry_column(df: DataFrame, name: str | None = None) -> str:
 
 
 def lines(*layers: DataFrame, geom: str | None = None) -> DataFrame:
-    """seq, geom, link_type of several layers: multi-lines are exploded, elevation is dropped, order is kept."""
+    """seq, geom, link_type of several layers: multi-lines are exploded, elevation is dropped, and lines are numbered in the
+    order of layer, row and part."""
     parts = []
     for k, layer in enumerate(layers):
         g = geometry_column(layer, geom)
@@ -24,11 +28,8 @@ def lines(*layers: DataFrame, geom: str | None = None) -> DataFrame:
         many = layer.withColumn("_g", F.col(g) if kind.startswith("array<array") else F.array(F.col(g)))
         link = F.col("link_type") if "link_type" in layer.columns else F.lit(None).cast("string")
         rows = many.select(F.lit(k).alias("layer"), F.monotonically_increasing_id().alias("row"), link.alias("link_type"), F.posexplode("_g").alias("part", "g"))
-        parts.append(rows.select((F.col("layer").cast("long") * (1 << 50) + F.col("row") * 1000 + F.col("part")).alias("seq"), G.remove_elevation(F.col("g")).alias("geom"), "link_type"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(rows.select(F.struct("layer", "row", "part").alias("key"), G.remove_elevation(F.col("g")).alias("geom"), "link_type"))
+    return numbered(reduce(DataFrame.unionByName, parts), "key", "seq").select("seq", "geom", "link_type")
 
 
 def from_wkt(df: DataFrame, column: str, out: str = "geom") -> DataFrame:

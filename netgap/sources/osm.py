@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netgap.functions import geometry as G
-from netgap.operators.build import _number
+from netgap.sources.numbers import numbered
 from netgap.operators.network import Network, ordered
 from netgap.sources.shared import written
 
@@ -106,7 +106,7 @@ def from_osm(nodes: DataFrame, ways: DataFrame, traversable: Callable[[Column],
     edges = written(ordered(edges), "edges")
     rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("seq"))
     ranked = written(edges.withColumn("r", rank), "ranked")
-    extra = _number(ranked.filter("r > 1 or src = dst"), "seq", "k").withColumn("new", -F.col("k"))
+    extra = numbered(ranked.filter("r > 1 or src = dst"), "seq", "k").withColumn("new", -F.col("k"))
     middle = F.col("length_m") / 2
     cut = written(extra.withColumn("head", G.line_between(F.col("geom"), F.lit(0.0), middle)).withColumn("tail", G.line_between(F.col("geom"), middle, F.col("length_m"))), "split")
     halves = cut.select("src", F.col("new").alias("dst"), middle.alias("length_m"), "link_type", F.col("head").alias("geom")).union(cut.select("new", "dst", middle, "link_type", "tail"))

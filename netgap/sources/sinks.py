@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, functions as F
 
 from netgap.functions import geometry as G
-from netgap.operators.build import _number
+from netgap.sources.numbers import numbered
 from netgap.operators.network import Network
 
 #: Columns of the TNTP format, in order.
@@ -18,7 +18,7 @@ TNTP_COLUMNS = ("init_node", "term_node", "capacity", "length", "free_flow_time"
 
 def codes(net: Network) -> DataFrame:
     """id, code: dense numbers from 1 in the order of ids."""
-    return _number(net.vertices.select("id"), "id", "code")
+    return numbered(net.vertices.select("id"), "id", "code")
 
 
 def node_table(net: Network) -> DataFrame:
