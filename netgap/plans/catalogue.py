@@ -76,7 +76,7 @@ def edge_envelope(spark, d):
 
 @query
 def edge_wkt(spark, d):
-    return net(spark, d, islands=False).edges.select("src", "dst", G.wkt(F.col("geom")).alias("wkt"))
+    return net(spark, d).edges.select("src", "dst", G.wkt(F.col("geom")).alias("wkt"))
 
 
 @query
@@ -336,7 +336,7 @@ def osm_edges(spark, d):
     v = net(spark, d, islands=False).vertices
     nodes = v.select("id", F.col("x").alias("lon"), F.col("y").alias("lat"))
     row = v.groupBy(F.expr("id div 20").alias("r")).agg(F.array_sort(F.collect_list("id")).alias("nodes")).select(F.col("r").cast("long").alias("id"), "nodes")
-    col = v.groupBy((F.col("id") % 20).alias("c")).agg(F.array_sort(F.collect_list("id")).alias("nodes")).select((F.col("c") + 1_000_000).alias("id"), "nodes").filter("id % 5 = 0")
+    col = v.groupBy((F.col("id") % 20).alias("c")).agg(F.array_sort(F.collect_list("id")).alias("nodes")).select((F.col("c") + 1_000_000).alias("id"), "nodes")
     ways = row.unionByName(col).withColumn("tags", F.create_map(F.lit("highway"), F.lit("path")))
     return osm.from_osm(nodes, ways).edges.select("src", "dst", F.round("length_m", 6).alias("length_m"), "link_type", F.size("geom").alias("points"))
 

@@ -103,6 +103,17 @@ _T10, _D10 = _on("(g.x1+10e0)", "(g.y1+7e0)", "g")
 _TP, _DP = _on("p.x", "p.y", "g")
 _OUT = "round(w,9) w"
 
+_LINES = NET + ", l as (select s*2 + case when t = s+1 then 0 else 1 end q, * from e)"
+
+
+def _chains(name: str, nodes: str) -> str:
+    """Chains that the vertices of ``nodes`` form with each other: id, l (smallest id)."""
+    return f""",
+{name}a as (select s, t from e where s in (select id from {nodes}) and t in (select id from {nodes}) union all select t, s from e where s in (select id from {nodes}) and t in (select id from {nodes})),
+{name}(id,l) using key (id) as (select id, id from {nodes} union
+  select x.id, x.l from (select a.t id, min(c.l) l from {name} c join {name}a a on a.s=c.id group by a.t) x join recurring.{name} k on k.id=x.id where x.l<k.l)"""
+
+
 ORACLES: dict[str, str] = {
     "net_vertices": NET + "select row_number() over (order by id) as \"index\", 'v'||id as label, x, y from nodes",
     "net_edges": NET + ", c as (select id, row_number() over (order by id) k from nodes) select len length_m, lt link_type, 'v'||s src_label, 'v'||t tgt_label, a.k src_index, b.k tgt_index, x1, y1, x2, y2 from e join c a on a.id=s join c b on b.id=t",
@@ -110,7 +121,7 @@ ORACLES: dict[str, str] = {
     "edge_reverse": NET + "select s src, t dst, x2 x1, y2 y1, x1 x2, y1 y2 from e",
     "edge_first_last": NET + "select s src, t dst, x1 first_x, y1 first_y, x2 last_x, y2 last_y from e",
     "edge_envelope": NET + "select s src, t dst, least(x1,x2) min_x, least(y1,y2) min_y, greatest(x1,x2) max_x, greatest(y1,y2) max_y from e",
-    "edge_wkt": NET + "select s src, t dst, 'LINESTRING ('||x1||' '||y1||', '||x2||' '||y2||')' wkt from e where s < 10000000",
+    "edge_wkt": NET + "select s src, t dst, 'LINESTRING ('||x1||' '||y1||', '||x2||' '||y2||')' wkt from e",
     "edge_break": NET + ", n as (select *, case when len > 30 then (floor(len/30e0)+1)::int else 1 end n from e), p as (select *, unnest(range(n)) k from n) select s src, t dst, k::int piece, case when k=0 then x1 else x1+(len*k/n)/len*(x2-x1) end x1, case when k=0 then y1 else y1+(len*k/n)/len*(y2-y1) end y1, case when k=n-1 then x2 else x1+(len*(k+1)/n)/len*(x2-x1) end x2, case when k=n-1 then y2 else y1+(len*(k+1)/n)/len*(y2-y1) end y2 from p",
     "edge_interpolate": NET + "select s src, t dst, x1+(len*0.25e0)/len*(x2-x1) x, y1+(len*0.25e0)/len*(y2-y1) y from e",
     "point_project": NET + f"select s src, t dst, {_D10} dist, {_T10}*len along from e g",
@@ -166,4 +177,27 @@ select * from ed union all select src, dst, length_m, 'candidate' from ne where
     "osm_traversable": """select p_partkey as id, coalesce((p_size%5=2) or ((p_size%3=0) and not (p_size%4=1)), false) as walkable from part""",
     "osm_traversable_rules": """select p_partkey as id, case when p_size%5=2 then true when p_size%4=1 then false when p_size%3=0 then true else false end as walkable from part""",
     "tntp_body": NET + ", c as (select id, row_number() over (order by id) k from nodes) select a.k init_node, b.k term_node, null::double capacity, len length, null::double free_flow_time, null::double b, null::double power, null::double speed_limit, null::double toll, lt link_type from e join c a on a.id=s join c b on b.id=t",
+    "snap_vertices": _LINES + ", p as (select q*2 seq, x1 x, y1 y from l union all select q*2+1, x2, y2 from l), f as (select x, y, min(seq) m from p group by x, y), i as (select x, y, row_number() over (order by m) id from f) select seq, id from p join i using (x, y)",
+    "build_from_layers": _LINES
+    + """, n as (select *, case when len > 50 then (floor(len/50e0)+1)::int else 1 end n from l), p as (select *, unnest(range(n)) k from n),
+z as (select q, k, lt, case when k=0 then x1 else x1+(len*k/n)/len*(x2-x1) end ax, case when k=0 then y1 else y1+(len*k/n)/len*(y2-y1) end ay,
+  case when k=n-1 then x2 else x1+(len*(k+1)/n)/len*(x2-x1) end bx, case when k=n-1 then y2 else y1+(len*(k+1)/n)/len*(y2-y1) end by_ from p),
+f as (select x, y, row_number() over (order by min(o)) id from (select ax x, ay y, (q,k,0) o from z union all select bx, by_, (q,k,1) from z) group by x, y)
+select least(a.id,b.id) src, greatest(a.id,b.id) dst, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) length_m, lt link_type from z join f a on a.x=ax and a.y=ay join f b on b.x=bx and b.y=by_""",
+    "collapse": NET
+    + ", d as (select id from (select s id from e union all select t from e) group by id having count(*)=2)"
+    + _chains("c1", "d")
+    + """,
+en as (select l, t corner from e join c1 on id=s where t not in (select id from d) union all select l, s from e join c1 on id=t where s not in (select id from d)),
+kd as (select l, mx, a, b from (select l, max(id) mx from c1 group by l) left join (select l, min(corner) a, max(corner) b from en group by l) using (l)),
+fi as (select a, b, min(mx) f from kd where a<b group by a, b),
+kp as (select kd.l, case when kd.a is null then 3 when kd.a=kd.b then 2 when mx>f or exists (select 1 from e where e.s=kd.a and e.t=kd.b) then 1 else 0 end kp from kd left join fi on fi.a=kd.a and fi.b=kd.b),
+st as (select id from (select id, l, row_number() over (partition by l order by id desc) r from c1) join kp using (l) where r<=kp),
+d2 as (select id from d where id not in (select id from st))"""
+    + _chains("c2", "d2")
+    + """,
+sg as (select coalesce(p.l,q.l) g, e.* from e left join c2 p on p.id=e.s left join c2 q on q.id=e.t),
+ct as (select g, min(id) a, max(id) b from (select g, id from (select g, s id from sg union all select g, t from sg) where g is not null group by g, id having count(*)=1) group by g)
+select a src, b dst, round(sum(len),6) length_m, string_agg(distinct lt, '|' order by lt) link_type, (count(*)+1)::int points from sg join ct using (g) group by g, a, b
+union all select s, t, round(len,6), lt, 2 from sg where g is null""",
 }
