@@ -9,7 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of executions whose result is written: shuffle files go when the execution ends, and Arrow batches are bounded
+#: by bytes, since 10,000 rows of text would be held several times at once.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,13 +29,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark removes the shuffle files of each execution when that execution ends."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Within it, the settings of ``WRITING`` hold."""
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
