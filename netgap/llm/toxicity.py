@@ -5,10 +5,11 @@ indexed.  A term weighs log(1 + count) times its idf over all documents times it
 of its log odds between the labels exceeds ``CHANCE``.  (By plain TF-IDF, neighbours share topic and language, and labels
 hardly follow; the README has figures.)
 
-Examples are laid out in blocks of neighbours.  Each term has a posting list of (example, weight) and a list of the
-largest weight in each block; lists of the ``HEAD`` commonest terms hold every example and are kept as arrays.  The block
-maxima bound the cosine of every example of a block; blocks are read from the highest bound on, until no other can hold
-one of the k nearest, so the result is exact.  Votes weighted by squared cosine, with the prior as one more vote, give
+Examples are laid out in blocks of neighbours.  Each term has a posting list of (example, weight).  Those of the ``HEAD``
+commonest terms hold nearly every example and are kept as arrays, with the largest weight of each block; the others are
+short and are summed at once, and the largest sum of each block is taken.  Both together bound the cosine of every
+example of a block; blocks are read from the highest bound on, until no other can hold one of the k nearest, so the
+result is exact.  Votes weighted by squared cosine, with the prior as one more vote, give
 a share; a logistic curve, fitted to the shares which the examples get from each other, turns it into a probability.
 
 Defined results: a text without any term of the examples (null and empty too) has no neighbours and scores the prior.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import flat
 
 WORD = re.compile(r"\w+")
-BLOCK, HEAD, WAVE = 64, 256, 16
+BLOCK, HEAD, WAVE = 32, 256, 16
 FLOOR, CHANCE = 0.1, 2.0
 
 
@@ -53,9 +54,6 @@ class Index:
     begin: np.ndarray  # where the list of each other term begins
     example: np.ndarray
     weight: np.ndarray
-    most_begin: np.ndarray  # and the list of its largest weights
-    most_block: np.ndarray
-    most: np.ndarray
     k: int = 25
     prior_votes: float = 0.5
     curve: tuple[float, float] = (1.0, 0.0)  # slope and shift of the log odds
@@ -73,15 +71,15 @@ class Index:
         common = t < len(q)
         q[t[common]] = w[common]
         rare, wr = t[~common] - len(q), w[~common]
-        near = q @ self.head_most + _sums(self.most_begin, self.most_block, self.most, rare, wr, blocks)
         tail = _sums(self.begin, self.example, self.weight, rare, wr, len(self.head))
+        near = q @ self.head_most + tail.reshape(blocks, BLOCK).max(1, initial=0)
         order = np.argsort(-near, kind="stable")
         found, sims, least, at = [], [], 0.0, 0
         while at < blocks and near[order[at]] * 1.0001 > least:  # the bound and the cosine are rounded apart
             wave = order[at : at + WAVE]
             wave = wave[near[wave] * 1.0001 > least]
             rows = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = (self.head.reshape(blocks, BLOCK, -1)[wave] @ q).ravel() + tail[rows]
+            s = np.concatenate([self.head[b * BLOCK : (b + 1) * BLOCK] @ q for b in wave.tolist()]) + tail[rows]
             hit = np.flatnonzero((s > 0) & (rows < n) & (s >= least))
             found.append(rows[hit])
             sims.append(s[hit])
@@ -144,12 +142,10 @@ def build(e: Examples, terms: list[str], df: np.ndarray, n_docs: int, prior: flo
     t, row, w = t[~on] - head, row[~on], w[~on].astype(np.float32)
     by = np.lexsort((row, t))
     t, row, w = t[by], row[by], w[by]
-    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK))) if len(t) else np.zeros(0, np.int64)
     return Index(
         dict(zip(terms, range(v), strict=True)), gain, prior, e.ids[order], y[order], dense,
         dense.reshape(blocks, BLOCK, head).max(1).T.copy() if blocks else np.zeros((head, 0), np.float32),
         np.searchsorted(t, np.arange(v - head + 1)), row.astype(np.int32), w,
-        np.searchsorted(t[first], np.arange(v - head + 1)), (row[first] // BLOCK).astype(np.int32), np.maximum.reduceat(w, first) if len(t) else w,
     )
 
 
