@@ -21,6 +21,7 @@ read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import flat
 
 WORD = re.compile(r"\w+")
-BLOCK, HEAD, WAVE = 32, 256, 16
+BLOCK, HEAD, WAVE = 32, 128, 16
 FLOOR, CHANCE = 0.1, 2.0
 
 
@@ -181,13 +182,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     examples = Examples(found["id"].to_numpy(), found["y"].to_numpy().astype(np.int64), begin, t.flatten().to_numpy(), c.flatten().to_numpy())
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = number.value
-        df, n = np.zeros(len(known), np.int64), 0
+        df, n, held = np.zeros(len(number.value), np.int64), 0, Counter()
+
+        def add() -> None:
+            for w, c in held.items():
+                if (k := number.value.get(w)) is not None:
+                    df[k] += c
+            held.clear()
+
         for b in batches:
             for i, j, part in flat.pieces(b.column(0)):
                 n += j - i
                 for t in part:
-                    df[[k for w in set(terms_of(t)) if (k := known.get(w)) is not None]] += 1
+                    held.update(set(terms_of(t)))
+                if len(held) > 200_000:
+                    add()
+        add()
         on = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, on), pa.int32()), pa.array(np.append(n, df[on]), pa.int64())], ["t", "n"])
 
@@ -251,6 +261,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = held.value
+        gc.freeze()  # the collector need not walk the index again and again
         for b in batches:
             for i, j, texts in flat.pieces(b.column(1)):
                 out = [vote(x, count(t, x.terms)) for t in texts]
