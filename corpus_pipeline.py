@@ -12,14 +12,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netgap.llm import bpe, decontaminate, language, near_dedup, queries, storage, substring_dedup
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes: the default of 10,000 rows holds 64 MB of text several times over
+    beside the heap.  Set for the session, as the caller writes what a stage returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language; ``lang`` becomes the predicted one."""
+    bounded(spark)
     found = language.identified(docs, language.fit(docs)).filter("not found.rejected")
     return found.select(*[F.col("found.lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class."""
+    bounded(spark)
     found = near_dedup.classes(docs)
     gone = found.filter("doc_id <> class_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -27,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages; documents of which nothing is left go.  Texts that lose nothing stay as they are."""
+    bounded(spark)
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = substring_dedup.remove_repeats(whole, carry=["row"])
     cut = F.col("n_removed") > 0
@@ -37,12 +46,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    bounded(spark)
     found = decontaminate.contaminated(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of their decoding."""
+    bounded(spark)
     return bpe.encode_digests(spark, docs, queries.vocab_path())
 
 
