@@ -12,9 +12,11 @@ and of exact copies.
 2. Sketch values are sorted once, by range of (value, hash of the id), so a bucket of any size is dealt over as many
    tasks as its size asks for.  Each task walks its rows and compares every member of a bucket with the first it has
    met.  Ids are in the same order in every bucket, so buckets with the same members give the same pairs.
-3. The pass over buckets that still hold several classes is exact: every pair of different classes is compared, block
-   by block, and aligned unless lengths or word counts rule a link out.  So the classes are those of all links between
-   texts that agree on a value, whichever members came first.
+3. The pass over buckets that still hold several classes is exact: every pair of different classes is compared, and
+   aligned unless lengths or word counts rule a link out.  So the classes are those of all links between texts that
+   agree on a value, whichever members came first.  Most buckets are one cell, with a row for each member.  Where the
+   blocks of a bucket would repeat its members more than ``SPREAD`` times, they meet by their rarest pairs of words
+   instead, which two linked texts must share (``rarest``): a row for each of these, not for each block.
 
 Defined results: null texts and texts without words are alone in their class; null ids have no row; rows that repeat an
 id are one document, whose class holds the links of all its texts; texts of any length are sketched and aligned whole;
@@ -51,6 +53,9 @@ SIMILARITY = 0.8
 SCALES = (Scale(5, 2, 80), Scale(2, 4, 32, 125), Scale(1, 3, 32, 50))
 #: Members of a block of the exact pass, and bins of its word counts.
 BLOCK, BINS = 2048, 128
+#: Rows a member, above which a bucket is split by rare pairs of words; texts, characters and pairs for their order.
+SPREAD = 8
+ORDER_TEXTS, ORDER_CHARS, ORDER_PAIRS = 4096, 4000, 1 << 16
 LONG = 1 << 19
 _SEEDS = flat.mix64(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -160,25 +165,94 @@ def _close(n: str, m: str, similarity: float) -> F.Column:
     return F.least(n, m) >= F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9)
 
 
-def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the classes c of each bucket of rows (key, id, n, c), written.
+def pairs_of_words(words: np.ndarray) -> np.ndarray:
+    """Labelled hashes of each word with the one before it (the first: with none), given the hashes of the words."""
+    return labelled(flat.windows(np.append(np.uint64(0), words), 2))
 
-    The members outside the largest class are cut into blocks; each meets every block of that class, itself and the
-    later blocks.  A cell is one meeting of two blocks.  First only those members are kept for which lengths and word
-    counts (``reps``: id, sig, bins) allow a link with a member of another class; then their texts are aligned within the
-    cell.  A pair that shares several buckets is aligned in that of its first common value only, and not at all if the
-    cell has joined its classes already.  So a cell returns fewer links than it has rows.
+
+def common_pairs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest pairs of words of a uniform sample of rows (id, text), sorted, and in how many texts each stands."""
+    sample = texts.orderBy(F.xxhash64("id"), "id").limit(ORDER_TEXTS).select(F.substring("text", 1, ORDER_CHARS)).collect()
+    w = flat.Words([r[0] for r in sample])
+    h = w.hashes()
+    found = [pairs_of_words(h[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    keys, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+    top = np.sort(np.lexsort((keys, -times))[:ORDER_PAIRS])
+    return keys[top], times[top]
+
+
+def rarest(texts: DataFrame, similarity: float) -> DataFrame:
+    """id, rare: the rarest labelled pairs of words of rows (id, text), so many that linked texts share one of them.
+
+    An edit changes two pairs at most.  So texts of up to N words with L edits share N - 2 L pairs, and in any common
+    order one of the first n - (N - 2 L) + 1 of each, which is 2 L(n) + 2 at most for a text of n words and a similarity
+    over a half.  The order only decides how many texts share one: rare ones of a sample come first.
     """
+    known, times = common_pairs(texts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, part in flat.pieces(b.column("text")):
+                w = flat.Words(part)
+                h, found = w.hashes(), []
+                for a, e in zip(w.first[:-1], w.first[1:], strict=True):
+                    keys = pairs_of_words(h[a:e])
+                    at = np.searchsorted(known, keys)
+                    seen = np.where(np.append(known, 0)[at] == keys, np.append(times, 0)[at], 0)
+                    found.append(keys[np.lexsort((keys, seen))[: 2 * int((1 - similarity) * len(keys) + 1e-9) + 2]].view(np.int64))
+                ends = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), rare], ["id", "rare"])
+
+    return texts.select("id", "text").mapInArrow(work, "id long, rare array<long>")
+
+
+def blocks(named: DataFrame) -> DataFrame:
+    """key, largest class ``top``, and numbers of blocks of it (nm) and of the other members (nr) of each bucket of several
+    classes; ``wide`` if these blocks would repeat its members more than ``SPREAD`` times.  Written."""
     sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("z")).filter("z > 1")
-    mixed = storage.written(mixed.select("key", F.col("top.c").alias("top"), F.expr(f"int((top.m + {BLOCK - 1}) div {BLOCK})").alias("nm"), F.expr(f"int((size - top.m + {BLOCK - 1}) div {BLOCK})").alias("nr")), "mixed")
-    placed = named.join(mixed, "key").withColumn("at", F.expr("int(pmod(xxhash64(id), if(c = top, nm, nr)))"))
-    cells = F.expr("""if(c = top, transform(sequence(0, nr - 1), i -> struct(i, at as x, 1 as side)), concat(
-        transform(sequence(0, nm - 1), x -> struct(at as i, x, 0 as side)), array(struct(at as i, nm + at as x, 2 as side)),
+    mixed = mixed.select("key", F.col("top.c").alias("top"), F.col("top.m").alias("m"), F.expr("size - top.m").alias("r"))
+    mixed = mixed.withColumn("nm", F.expr(f"int((m + {BLOCK - 1}) div {BLOCK})")).withColumn("nr", F.expr(f"int((r + {BLOCK - 1}) div {BLOCK})"))
+    return storage.written(mixed.select("key", "top", "nm", "nr", F.expr(f"m * nr + r * (nm + nr - 1) > {SPREAD} * (m + r)").alias("wide")), "mixed")
+
+
+def dealt(named: DataFrame, mixed: DataFrame, fine: bool) -> DataFrame:
+    """The rows (key, id, n, c) of the buckets in ``mixed``, once for each cell that they take part in."""
+    placed = named.join(mixed.select("key", "top", "nm", "nr"), "key").withColumn("at", F.expr("int(pmod(xxhash64(id), if(c = top, nm, nr)))"))
+    cells = F.expr("""if(c = top, transform(sequence(0, nr - 1), i -> struct(i, at as x, 0 as side)), concat(
+        transform(sequence(0, nm - 1), x -> struct(at as i, x, if(x = 0, 2, 1) as side)),
         filter(transform(sequence(0, nr - 1), j -> struct(least(at, j) as i, nm + greatest(at, j) as x, if(j < at, 1, 0) as side)), y -> y.x <> nm + y.i)))""")
-    rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y")).select(F.xxhash64("key", "y.i", "y.x").alias("cell"), "key", F.col("y.side").alias("side"), "id", "n", "c")
+    rows = placed.select("key", "id", "n", "c", F.explode(cells).alias("y"))
+    return rows.select(F.xxhash64("key", "y.i", "y.x", F.lit(fine)).alias("cell"), "key", F.lit(fine).alias("fine"), F.col("y.side").alias("side"), "id", "n", "c")
+
+
+def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes c of each bucket of rows (key, id, n, c), written.
+
+    The members outside the largest class are cut into blocks; each meets every block of that class, itself and the
+    later blocks.  A cell is one meeting of two blocks, and the first with the largest class also that of a block with
+    itself: a bucket of two blocks is one cell.  Members of ``wide`` buckets are dealt by ``rarest`` pairs of words instead.
+    First only those members are kept for which lengths and word counts (``reps``: id, sig, bins) allow a link with a
+    member of another class; then their texts are aligned within the cell.  A pair that shares several buckets is aligned
+    in that of its first common value (or least common pair of words) only, and not at all if the cell has joined its
+    classes already.  So a cell returns fewer links than it has rows.
+    """
+    mixed = blocks(named)
+    wide = mixed.filter("wide")
+    more = texts.join(reps.select("id", "sig"), "id")
+    old = [mixed]
+    if similarity <= 0.5 or wide.isEmpty():
+        rows, more = dealt(named, mixed, False), more.withColumn("rare", F.lit(None).cast("array<long>"))
+    else:
+        hot = storage.written(named.join(wide.select("key"), "key").select("id", "n", "c").distinct(), "hot")
+        rare = storage.written(rarest(texts.join(hot.select("id"), "id"), similarity), "rare")
+        finer = hot.join(rare, "id").select(F.explode("rare").alias("key"), "id", "n", "c")
+        again = blocks(finer)
+        rows = dealt(named, mixed.filter("not wide"), False).unionByName(dealt(finer, again, True))
+        more = more.join(rare, "id", "left")
+        old += [hot, rare, again]
     rows = storage.written(attached(rows, reps.select("id", "bins")), "cells")
-    storage.drop(mixed)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_cells(batches):
@@ -194,9 +268,8 @@ def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     kept = storage.written(by_cell(rows).mapInArrow(near, rows.schema), "near")
-    whole = attached(kept, texts.join(reps.select("id", "sig"), "id"))
-    found = storage.written(by_cell(whole).mapInArrow(joined, "a long, b long").distinct(), "joined")
-    storage.drop(rows, kept)
+    found = storage.written(by_cell(attached(kept, more)).mapInArrow(joined, "a long, b long").distinct(), "joined")
+    storage.drop(rows, kept, *old)
     return found
 
 
@@ -231,11 +304,11 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def meetings(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows x and y of a cell whose classes differ, where lengths and word counts allow a link, and the least number of
-    edits by these counts: members of side 0 with those of side 1, those of side 2 with each other."""
+    edits by these counts: members of side 0 with those of sides 1 and 2, those of side 2 with each other."""
     side, n, c = (t[x].to_numpy() for x in ("side", "n", "c"))
     at = [np.flatnonzero(side == k) for k in range(3)]
     bins = None
-    for left, right, own in ((at[0], at[1], False), (at[2], at[2], True)):
+    for left, right, own in ((at[0], np.flatnonzero(side > 0), False), (at[2], at[2], True)):
         for k in range(0, len(left) if len(right) else 0, 256):
             x = left[k : k + 256]
             limit = np.floor((1 - similarity) * np.maximum(n[x][:, None], n[right]) + 1e-9)
@@ -262,6 +335,7 @@ def joining(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
     size = np.diff(sig.offsets.to_numpy())
     values = np.zeros((len(t), int(size.max())), np.int64)
     values[np.arange(values.shape[1]) < size[:, None]] = sig.flatten().to_numpy()
+    fine, rare = t["fine"][0].as_py(), {}
     texts: dict[int, Text] = {}
     up: dict[int, int] = {}
 
@@ -276,10 +350,21 @@ def joining(t: pa.Table, similarity: float) -> list[tuple[int, int]]:
             texts[k] = Text(column[k].as_py())
         return texts[k]
 
+    def least_shared(p: int, q: int) -> int:
+        for k in (p, q):
+            if k not in rare:
+                rare[k] = frozenset(t["rare"][k].as_py())
+        return min(rare[p] & rare[q])
+
     found = []
     for x, y, least in meetings(t, similarity):
-        first = (values[x] == values[y]).argmax(1)  # both hold ``key``, so there is one, before the shorter one's end
-        own = np.flatnonzero(values[x, first] == key)
+        same = values[x] == values[y]
+        first = same.argmax(1)  # of values, there is one before the shorter one's end, as both hold ``key``
+        if fine:
+            own = np.flatnonzero(same[np.arange(len(x)), first] & (first < np.minimum(size[x], size[y])))
+            own = own[[least_shared(p, q) == key for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True)]] if len(own) else own
+        else:
+            own = np.flatnonzero(values[x, first] == key)
         own = own[np.argsort(least[own], kind="stable")]
         for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True):
             u, v = top(c[p]), top(c[q])

@@ -169,6 +169,70 @@ def test_near_duplicates_equal_all_pairs_of_a_bucket(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("spread", [1, 8])
+def test_near_duplicates_of_a_common_passage(spark, monkeypatch, spread):
+    """A bucket of one cell has a row a member; the rows of larger ones grow with their size, not its square, and the
+    classes are those of all pairs that agree on a value."""
+    rng = random.Random(11)
+    made = {}
+    written = near_dedup.storage.written
+
+    def counting(df, name):
+        out = written(df, name)
+        made[name] = out.count()
+        return out
+
+    def texts(n):
+        out = [" ".join([f"p{k}" for k in range(30)] + [f"x{rng.randrange(2000)}" for _ in range(60)]) for _ in range(n)]
+        for i in range(0, n, 20):  # some that leave a fifth of their words to others
+            w = out[i].split()
+            for k in rng.sample(range(90), 16):
+                w[k] = f"y{i}z{k}"
+            out[i + 1] = " ".join(w)
+        return out
+
+    monkeypatch.setattr(near_dedup.storage, "written", counting)
+    scales = (near_dedup.Scale(5, 2, 40),)
+    rows = lambda t: near_dedup.classes(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), scales=scales).collect()
+    few, many = texts(100), texts(400)
+    members = Counter(v for t in few for v in set(near_dedup.sketch(flat.Words([t]).hashes(), scales).tolist()))
+    rows(few)
+    assert 0 < made["cells"] <= sum(n for n in members.values() if n > 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SPREAD", spread)
+    rows(few)
+    before = made["cells"]
+    got = {r.doc_id: r.class_id for r in rows(many)}
+    assert made["cells"] <= 6 * before and (spread > 1 or "rare" in made)
+    values = [set(near_dedup.sketch(flat.Words([t]).hashes(), scales).tolist()) for t in many]
+    root = list(range(400))
+    for b in range(400):
+        for a in range(b):
+            if root[a] != root[b] and values[a] & values[b] and near_dedup.linked(many[a], many[b], 0.8) is not None:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert got == dict(enumerate(root)) and len(set(root)) < 400
+
+
+def test_near_duplicates_rarest_pairs_of_words(spark):
+    """Linked texts share one of their rarest pairs of words, whatever their lengths and the places of their edits."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        n = rng.choice([1, 2, 3, 4, 5, 6, 9, 10, 11, 25, 60, 61])
+        w = [f"w{rng.randrange(40)}" for _ in range(n)]
+        v = w[:]
+        for _ in range(int(0.25 * n)):
+            k = rng.randrange(len(v))
+            v[k : k + rng.choice([0, 1])] = rng.choice([[], [f"w{rng.randrange(40)}"], ["odd"]]) if len(v) > 1 else [v[k]]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, "  ".join(v))]
+    text = dict(rows)
+    rare = {r.id: set(r.rare) for r in near_dedup.rarest(spark.createDataFrame(rows, "id long, text string"), 0.8).collect()}
+    pairs = [i for i in range(0, 600, 2) if near_dedup.linked(text[i], text[i + 1], 0.8) is not None]
+    assert len(rare) == 600 and 100 < len(pairs) < 300 and all(rare[i] & rare[i + 1] for i in pairs)
+    assert all(len(rare[i]) <= 2 * int(0.2 * len(text[i].split()) + 1e-9) + 2 for i in rare)
+
+
 def test_near_duplicates_members_of_split_buckets(spark):
     """Every member of a shared bucket is returned, whatever the ranges and batches."""
     rng = random.Random(2)
