@@ -57,3 +57,21 @@ def test_stages_with_clashing_columns_nulls_and_no_rows(spark, tmp_path):
                     kept = {(r.doc_id, r.kept, r.n_words, r.row, r.found, r._language, r.id, r.n_removed) for r in at.collect()}
                     assert kept == {(i, "k", 2, "x", "u", "v", 1, 2) for i in range(12)} | {(None, None, None, None, "u", "v", 1, 2)}
         assert at.count() == left
+
+
+def test_near_duplicates_stage_has_a_row_a_member_of_a_common_passage(spark, tmp_path, monkeypatch):
+    rng = random.Random(13)
+    made = {}
+    written = C.near_dedup.storage.written
+
+    def counting(df, name):
+        out = written(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(C.near_dedup.storage, "written", counting)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, passage + " " + " ".join(f"x{rng.randrange(2000)}" for _ in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert C.near_duplicates(spark, docs, f"file://{tmp_path}").count() == 60
+    assert 0 < made["cells"] <= made["members"]
