@@ -24,6 +24,7 @@ U = np.uint64
 BUCKETS, WIDE, LEVEL, PLACE = 256, 257, 14, 12  # bits of a distribution, and of the places in a bucket
 SHARE, SPAN = 12, 16  # bits of the weights, and of the mixture
 LANES, STEPS = 8192, 512  # most lanes of a block, least steps of a lane
+ROWS = 128  # contexts brought up to date at once: what they take stays in the processor's cache
 TOP, BOTTOM = U(1 << 48), U(1 << 32)
 _ROOT = np.array([math.isqrt(math.isqrt(1 << q)) for q in range(256)], dtype=object)
 
@@ -57,8 +58,10 @@ class Model:
         self.rows = (min(4096, size), size)
         self.direct = k + 1 <= self.rows[0]
         self.count0 = np.bincount(self.bucket, weights=self.seen, minlength=BUCKETS).astype(np.int64)
-        self.count = [np.zeros(r * BUCKETS, np.int32) for r in self.rows]
+        self.count = [np.zeros(r * BUCKETS, np.uint32) for r in self.rows]
         self.cum = [np.zeros(r * WIDE, np.uint16) for r in self.rows]
+        self.met = [np.zeros(r, np.uint32) for r in self.rows]  # end of each distribution, as scaled; 0: context not seen
+        self.fresh = [np.zeros(r, bool) for r in self.rows]  # contexts counted since the last refresh
         self.weight = np.tile(np.array([1 << SHARE, 0, 0], np.int64), (256, 1))
         self.weight[:, 1:] = (np.arange(256)[:, None] // np.array([16, 1]) % 16) * 100
         self.weight[:, 0] -= self.weight[:, 1:].sum(1)
@@ -70,15 +73,18 @@ class Model:
         sums = np.append(0, np.cumsum(self.count0))
         self.cum0 = (sums * total // sums[-1]).astype(np.uint32)
         self.known = []
-        for count, cum in zip(self.count, self.cum, strict=True):
-            c, out = count.reshape(-1, BUCKETS), cum.reshape(-1, WIDE)
-            s = np.cumsum(c, axis=1, dtype=np.uint32)
-            n = s[:, -1]
-            s *= ((1 << 30) // np.maximum(n, 1)).astype(np.uint32)[:, None]
-            s >>= np.uint32(30 - LEVEL)
-            out[:, 1:] = s
-            out[:, -1] = total
+        for count, cum, n, fresh in zip(self.count, self.cum, self.met, self.fresh, strict=True):
+            c, out, at = count.reshape(-1, BUCKETS), cum.reshape(-1, WIDE), np.flatnonzero(fresh)
+            for i in range(0, len(at), ROWS):
+                k = at[i : i + ROWS]
+                s = np.cumsum(c[k], axis=1, dtype=np.uint32)
+                s *= ((1 << 30) // s[:, -1:].astype(np.int64)).astype(np.uint32)
+                s >>= np.uint32(30 - LEVEL)
+                n[k] = s[:, -1]
+                out[k, 1:] = s
+            out[at, 0], out[at, -1] = 0, total
             out[n == 0] = self.cum0
+            fresh[:] = False
             self.known.append(np.minimum(15, np.frexp(n.astype(np.float64))[1]).astype(np.int64))
         self.known[0] <<= 4
         # places: each id has at least one of the parts of its bucket
@@ -120,7 +126,6 @@ class Model:
         """Counts ids and their contexts (last id, the one before), and gives each order the weight it has earned."""
         earned = self.weight * 12
         wide0 = np.diff(self.cum0).astype(np.int64)
-        added = [np.zeros(len(c), np.int64) for c in self.count]
         for x, p1, p2 in parts:
             b = self.bucket[x]
             rows = self.contexts(p1, p2)
@@ -135,11 +140,10 @@ class Model:
             for j in range(3):
                 earned[:, j] += np.bincount(kind, weights=(q[j] << 10) // whole, minlength=256).astype(np.int64)
             self.count0 += np.bincount(b, minlength=BUCKETS)
-            for add, r in zip(added, rows, strict=True):
-                np.add.at(add, r * BUCKETS + b, 1)
+            for count, fresh, r in zip(self.count, self.fresh, rows, strict=True):
+                np.add.at(count, r * BUCKETS + b, np.uint32(1))
+                fresh[r] = True
             self.seen = self.seen + np.bincount(x, minlength=len(self.seen))
-        for count, add in zip(self.count, added, strict=True):
-            count += add.astype(np.int32)
         share = earned * ((1 << SHARE) - 128) // np.maximum(1, earned.sum(1, keepdims=True))
         share[:, 0] = (1 << SHARE) - share[:, 1] - share[:, 2]
         self.weight = share

@@ -224,3 +224,29 @@ def test_word_hashes_do_not_depend_on_place():
     w = flat.Words(["a b", "", "b\n a  b"])
     h = w.hashes()
     assert w.counts().tolist() == [2, 0, 3] and h[0] == h[3] and h[1] == h[2] == h[4]
+
+
+def test_mixer_brings_counted_contexts_up_to_date_and_no_others():
+    rng = np.random.default_rng(8)
+    names, x, counts = mixer.alphabet(rng.zipf(1.3, 60_000) % 500)
+    model = mixer.Model(mixer.levels(counts), len(x))
+    p1, p2 = mixer._before(x, 1), mixer._before(x, 2)
+    for a, b in ((0, 50), (50, 400), (400, len(x))):
+        model.learn(iter([(x[a:b], p1[a:b], p2[a:b])]))
+        for count, cum, row, size in zip(model.count, model.cum, model.contexts(p1[:b], p2[:b]), model.rows, strict=True):
+            want = np.zeros((size, mixer.BUCKETS), np.int64)
+            np.add.at(want, (row, model.bucket[x[:b]]), 1)
+            assert (count.reshape(want.shape) == want).all()
+            n = want.sum(1)
+            sums = np.cumsum(want, 1) * ((1 << 30) // np.maximum(n, 1))[:, None] >> (30 - mixer.LEVEL)
+            sums[:, -1] = 1 << mixer.LEVEL
+            full = np.where((n > 0)[:, None], np.append(np.zeros((size, 1), np.int64), sums, 1), model.cum0)
+            assert (cum.reshape(full.shape) == full).all()
+    seen = [set(r.tolist()) for r in model.contexts(p1, p2)]
+    again = model.contexts(p1[:10], p2[:10])
+    for cum, s, r in zip(model.cum, seen, again, strict=True):
+        cum.reshape(-1, mixer.WIDE)[sorted(s - set(r.tolist())), 1] = 12345  # a mark, which only a needless update removes
+    model.learn(iter([(x[:10], p1[:10], p2[:10])]))
+    for cum, s, r in zip(model.cum, seen, again, strict=True):
+        rest = sorted(s - set(r.tolist()))
+        assert len(rest) > 50 and (cum.reshape(-1, mixer.WIDE)[rest, 1] == 12345).all()
