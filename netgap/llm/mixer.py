@@ -3,7 +3,7 @@
 A block is coded on its own: its distinct ids (the alphabet) with their counts, to a quarter of a bit, stand in its head,
 and its model starts afresh.  Ids of falling count are dealt into ``BUCKETS`` buckets of about equal share, the common ones
 alone; an id is coded as its bucket and its place there.  Three adaptive distributions over all buckets, of order 0, of
-order 1 (given the last id) and of order 2 (given the last two), are mixed with weights that depend on how often their
+order 1 (given the last id) and of order 2 (given the last two), are mixed with weights that depend on whether their
 contexts were seen and follow what each would have given (one step of expectation-maximisation).  The place is coded by
 adaptive order-0 frequencies.  Both go into one interval of a carry-less 64-bit range coder.
 
