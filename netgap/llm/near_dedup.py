@@ -16,7 +16,7 @@ and of exact copies.
    aligned unless lengths or word counts rule a link out.  So the classes are those of all links between texts that
    agree on a value, whichever members came first.  Most buckets are one cell, with a row for each member.  Where the
    blocks of a bucket would repeat its members more than ``SPREAD`` times, they meet by their rarest pairs of words
-   instead, which two linked texts must share (``rarest``): a row for each of these, not for each block.
+   instead, which two linked texts must share (``rarest``), if that takes fewer rows.
 
 Defined results: null texts and texts without words are alone in their class; null ids have no row; rows that repeat an
 id are one document, whose class holds the links of all its texts; texts of any length are sketched and aligned whole;
@@ -209,12 +209,13 @@ def rarest(texts: DataFrame, similarity: float) -> DataFrame:
 
 def blocks(named: DataFrame) -> DataFrame:
     """key, largest class ``top``, and numbers of blocks of it (nm) and of the other members (nr) of each bucket of several
-    classes; ``wide`` if these blocks would repeat its members more than ``SPREAD`` times.  Written."""
+    classes, the ``rows`` that they take, and ``wide`` if these are over ``SPREAD`` a member.  Written."""
     sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("z")).filter("z > 1")
     mixed = mixed.select("key", F.col("top.c").alias("top"), F.col("top.m").alias("m"), F.expr("size - top.m").alias("r"))
     mixed = mixed.withColumn("nm", F.expr(f"int((m + {BLOCK - 1}) div {BLOCK})")).withColumn("nr", F.expr(f"int((r + {BLOCK - 1}) div {BLOCK})"))
-    return storage.written(mixed.select("key", "top", "nm", "nr", F.expr(f"m * nr + r * (nm + nr - 1) > {SPREAD} * (m + r)").alias("wide")), "mixed")
+    mixed = mixed.withColumn("rows", F.expr("m * nr + r * (nm + nr - 1)"))
+    return storage.written(mixed.select("key", "top", "nm", "nr", "rows", F.expr(f"rows > {SPREAD} * (m + r)").alias("wide")), "mixed")
 
 
 def dealt(named: DataFrame, mixed: DataFrame, fine: bool) -> DataFrame:
@@ -232,7 +233,8 @@ def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
 
     The members outside the largest class are cut into blocks; each meets every block of that class, itself and the
     later blocks.  A cell is one meeting of two blocks, and the first with the largest class also that of a block with
-    itself: a bucket of two blocks is one cell.  Members of ``wide`` buckets are dealt by ``rarest`` pairs of words instead.
+    itself: a bucket of two blocks is one cell.  Members of ``wide`` buckets are dealt by ``rarest`` pairs of words
+    instead, if that takes fewer rows.
     First only those members are kept for which lengths and word counts (``reps``: id, sig, bins) allow a link with a
     member of another class; then their texts are aligned within the cell.  A pair that shares several buckets is aligned
     in that of its first common value (or least common pair of words) only, and not at all if the cell has joined its
@@ -249,7 +251,11 @@ def crossing(named: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
         rare = storage.written(rarest(texts.join(hot.select("id"), "id"), similarity), "rare")
         finer = hot.join(rare, "id").select(F.explode("rare").alias("key"), "id", "n", "c")
         again = blocks(finer)
-        rows = dealt(named, mixed.filter("not wide"), False).unionByName(dealt(finer, again, True))
+        total = lambda t: t.agg(F.sum("rows")).first()[0] or 0
+        if total(again) < total(wide):
+            rows = dealt(named, mixed.filter("not wide"), False).unionByName(dealt(finer, again, True))
+        else:  # members that share rare pairs of words, too
+            rows = dealt(named, mixed, False)
         more = more.join(rare, "id", "left")
         old += [hot, rare, again]
     rows = storage.written(attached(rows, reps.select("id", "bins")), "cells")
