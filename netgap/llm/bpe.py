@@ -81,7 +81,10 @@ def pretokens(cps: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Pieces:
-    """Distinct pretokens of a batch: ``which`` maps each pretoken to a distinct one, ``raw`` holds their UTF-8."""
+    """Distinct pretokens of a batch: ``which`` maps each pretoken to a distinct one, ``raw`` holds their UTF-8.
+
+    ``keys`` are the hashes of the distinct ones, rising; none if two share one.
+    """
 
     def __init__(self, texts: list[str]) -> None:
         cps, starts = flat.code_points(texts)
@@ -89,19 +92,21 @@ class Pieces:
         if not len(cps):
             self.which = self.first = np.zeros(1, np.int64)[:0]
             self.begin = self.end = np.zeros(0, np.int64)
+            self.keys = np.zeros(0, np.uint64)
             self.first = np.zeros(len(texts) + 1, np.int64)
             self.raw, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         begin, end = pretokens(cps, starts[1:] - 1)
         self.first = np.searchsorted(begin, starts)
-        keys, index, self.which = np.unique(flat.span_hashes(cps, begin, end), return_index=True, return_inverse=True)
+        keys, index, self.which = flat.distinct(flat.span_hashes(cps, begin, end))
         same = end - begin == (end - begin)[index][self.which]
         length = (end - begin)[same]
-        ok = same.all() and np.array_equal(cps[flat.ragged(begin, length)], cps[flat.ragged(begin[index][self.which], length)])
+        ok = same.all() and np.array_equal(np.delete(cps, starts[1:] - 1), cps[flat.ragged(begin[index][self.which], length)])
         if not ok:  # two pretokens share a hash: compare the strings themselves
             joined = [cps[b:e].tobytes() for b, e in zip(begin, end, strict=True)]
             _, index, self.which = np.unique(np.array(joined, object), return_index=True, return_inverse=True)
-        width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
+        self.keys = keys if ok else None
+        width = np.uint8(1) + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000)
         offsets = np.zeros(len(cps) + 1, np.int64)
         np.cumsum(width, out=offsets[1:])
         self.raw = np.frombuffer(cps.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
@@ -113,6 +118,13 @@ class Pieces:
         return [raw[a : a + n] for a, n in zip(self.at.tolist(), self.size.tolist(), strict=True)]
 
 
+def letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {chr(b): b for b in printable}
+    return out | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+
+
 class Vocabulary:
     """Ids, byte strings and merge ranks of a byte-level BPE tokenizer file."""
 
@@ -120,19 +132,16 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in printable}
-        letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-        ids = model["vocab"]
+        byte, ids = letters(), model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         size = max([*ids.values(), *self.special.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for word, k in ids.items():
-            self.bytes_of[k] = word.encode() if word in self.special else bytes(letters[c] for c in word)
+            self.bytes_of[k] = word.encode() if word in self.special else bytes(byte[c] for c in word)
         for word, k in self.special.items():
             self.bytes_of[k] = word.encode()
         self.byte_id = np.zeros(256, np.int64)
-        for c, b in letters.items():
+        for c, b in byte.items():
             self.byte_id[b] = ids[c]
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         keys = np.array([(ids[a] << 32) | ids[b] for a, b in merges], np.int64)

@@ -130,6 +130,16 @@ def ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(begin - offset, length)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, rising, where one of each stands (not always the first), and the place of each key among them."""
+    order = np.argsort(keys)
+    rising = keys[order]
+    new = np.append(True, rising[1:] != rising[:-1])[: len(keys)]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return rising[new], order[new], which
+
+
 class HashIndex:
     """Position of keys in a fixed array of distinct int64 keys: open addressing, probed for many keys at once."""
 

@@ -7,6 +7,10 @@ order 1 (given the last id) and of order 2 (given the last two), are mixed with
 contexts were seen and follow what each would have given (one step of expectation-maximisation).  The place is coded by
 adaptive order-0 frequencies.  Both go into one interval of a carry-less 64-bit range coder.
 
+Ids get contexts of order 2 by their frequency: common ones many, which the bucket of the id before tells apart, rare ones
+share one.  So a context of order 2 lies in one of order 1, and the three distributions are mixed once for each when the
+model is brought up to date, not for each id.
+
 A block is cut into lanes, which are coded in step and share one model; it is brought up to date between segments of
 steps that grow with the block.  So every step is a few array operations over all lanes.  All arithmetic on which both
 sides depend is on integers.
@@ -20,11 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from . import flat
+
 U = np.uint64
 BUCKETS, WIDE, LEVEL, PLACE = 256, 257, 14, 12  # bits of a distribution, and of the places in a bucket
 SHARE, SPAN = 12, 16  # bits of the weights, and of the mixture
-LANES, STEPS = 8192, 512  # most lanes of a block, least steps of a lane
-ROWS = 128  # contexts brought up to date at once: what they take stays in the processor's cache
+CONTEXTS, EACH = 8192, 4  # most contexts of order 2; each so many-th id tells what the orders have earned
+LANES, STEPS = 8192, 256  # most lanes of a block, least steps of a lane
+ROWS = 256  # contexts brought up to date at once: what they take stays in the processor's cache
 TOP, BOTTOM = U(1 << 48), U(1 << 32)
 _ROOT = np.array([math.isqrt(math.isqrt(1 << q)) for q in range(256)], dtype=object)
 
@@ -54,25 +61,32 @@ class Model:
         self.order = np.lexsort((np.arange(k), self.bucket))
         self.first = np.searchsorted(self.bucket[self.order], np.arange(BUCKETS + 1))
         self.seen = np.maximum(1, mass * 1024 // max(1, int(mass.sum())))
-        size = max(256, min(8192, 1 << (n // 64).bit_length()))
-        self.rows = (min(4096, size), size)
-        self.direct = k + 1 <= self.rows[0]
+        rows = max(256, min(CONTEXTS, 1 << (n // 64).bit_length()))
+        ends = np.cumsum(mass[order]) * (rows - 1) // max(1, int(mass.sum()))
+        begin = np.append(0, ends[:-1])
+        self.base, self.split, self.dealt = np.zeros(k + 1, np.int64), np.ones(k + 1, np.int64), np.append(0, self.bucket)  # 0: no id before
+        self.base[order + 1], self.split[order + 1] = 1 + begin, np.maximum(1, ends - begin)
+        opens, wide = np.ones(rows, bool), np.flatnonzero(self.split > 1)
+        opens[flat.ragged(self.base[wide] + 1, self.split[wide] - 1)] = False
+        self.parent = np.cumsum(opens) - 1
+        self.rows = (int(opens.sum()), rows)
         self.count0 = np.bincount(self.bucket, weights=self.seen, minlength=BUCKETS).astype(np.int64)
         self.count = [np.zeros(r * BUCKETS, np.uint32) for r in self.rows]
         self.cum = [np.zeros(r * WIDE, np.uint16) for r in self.rows]
         self.met = [np.zeros(r, np.uint32) for r in self.rows]  # end of each distribution, as scaled; 0: context not seen
         self.fresh = [np.zeros(r, bool) for r in self.rows]  # contexts counted since the last refresh
+        self.mixed = np.zeros(rows * BUCKETS + 1, np.uint16)  # where each bucket of a context of order 2 begins, and the next; 2^16 is 0
         self.weight = np.tile(np.array([1 << SHARE, 0, 0], np.int64), (256, 1))
         self.weight[:, 1:] = (np.arange(256)[:, None] // np.array([16, 1]) % 16) * 100
         self.weight[:, 0] -= self.weight[:, 1:].sum(1)
         self.refresh()
 
     def refresh(self) -> None:
-        """Distributions from the counts so far."""
+        """Distributions from the counts so far, and their mixture in each context of order 2."""
         total = 1 << LEVEL
         sums = np.append(0, np.cumsum(self.count0))
         self.cum0 = (sums * total // sums[-1]).astype(np.uint32)
-        self.known = []
+        known = []
         for count, cum, n, fresh in zip(self.count, self.cum, self.met, self.fresh, strict=True):
             c, out, at = count.reshape(-1, BUCKETS), cum.reshape(-1, WIDE), np.flatnonzero(fresh)
             for i in range(0, len(at), ROWS):
@@ -85,8 +99,19 @@ class Model:
             out[at, 0], out[at, -1] = 0, total
             out[n == 0] = self.cum0
             fresh[:] = False
-            self.known.append(np.minimum(15, np.frexp(n.astype(np.float64))[1]).astype(np.int64))
-        self.known[0] <<= 4
+            known.append(np.minimum(15, np.frexp(n.astype(np.float64))[1]).astype(np.int64))
+        self.kind = known[0][self.parent] << 4 | known[1]
+        # each bucket has 1 at least of a mixture, the weights share the rest
+        share = (self.weight * ((1 << SPAN) - BUCKETS) >> SHARE).astype(np.uint32)
+        least = share[:, :1] * self.cum0[1:] + (np.arange(1, WIDE, dtype=np.uint32) << np.uint32(LEVEL))
+        one, two, out = (m.reshape(-1, w)[:, w - BUCKETS :] for m, w in ((self.cum[0], WIDE), (self.cum[1], WIDE), (self.mixed[1:], BUCKETS)))
+        for i in range(0, len(out), ROWS):
+            kind = self.kind[i : i + ROWS]
+            s = np.multiply(two[i : i + ROWS], share[kind, 2, None], dtype=np.uint32)
+            s += np.multiply(one[self.parent[i : i + ROWS]], share[kind, 1, None], dtype=np.uint32)
+            s += least[kind]
+            np.right_shift(s, np.uint32(LEVEL), out=out[i : i + ROWS], casting="unsafe")
+        out[:, -1] = 0
         # places: each id has at least one of the parts of its bucket
         seen = self.seen[self.order]
         sums = np.append(0, np.cumsum(seen))
@@ -97,45 +122,37 @@ class Model:
         end[self.first[1:][np.diff(self.first) > 0] - 1] = 1 << PLACE
         self.place, self.part = np.empty(len(seen), np.uint32), np.empty(len(seen), np.uint32)
         self.place[self.order], self.part[self.order] = at, end - at
-        table = np.repeat(self.order, end - at)
-        self.table = np.zeros(BUCKETS << PLACE, np.int32)
-        self.table[: len(table)] = table  # buckets are filled from the first on
-        self.mix = [np.ascontiguousarray(self.weight[:, j]).astype(np.uint32) for j in range(3)]
+
+    def table(self) -> np.ndarray:
+        """The id at each place of each bucket."""
+        table = np.zeros(BUCKETS << PLACE, np.int32)
+        held = np.repeat(self.order, self.part[self.order])
+        table[: len(held)] = held  # buckets are filled from the first on
+        return table
+
+    def row(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Contexts of order 2, given the last id and the one before (plus 1; 0: none)."""
+        return self.base[p1] + (self.dealt[p2] * self.split[p1] >> 8)
 
     def contexts(self, p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of orders 1 and 2, given the last id and the one before (plus 1; 0: none)."""
-        r1 = p1 if self.direct else (p1 * 40503 >> 3) & (self.rows[0] - 1)
-        return r1, ((p1 * 0x9E3779B1 ^ p2 * 0x85EBCA77) >> 9) & (self.rows[1] - 1)
-
-    def bounds(self, b: np.ndarray, at: list[np.ndarray], w: list[np.ndarray]) -> np.ndarray:
-        """Where bucket ``b`` begins in the mixture: rising by 1 at least."""
-        s = w[0] * self.cum0[b]
-        s += w[1] * self.cum[0][at[0] + b]
-        s += w[2] * self.cum[1][at[1] + b]
-        s >>= np.uint32(SHARE + LEVEL - SPAN)
-        s *= np.uint32((1 << SPAN) - BUCKETS)
-        s >>= np.uint32(SPAN)
-        s += b.astype(np.uint32)
-        return s
-
-    def weights(self, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        kind = self.known[0][r1] + self.known[1][r2]
-        return kind, [m[kind] for m in self.mix]
+        """Rows of orders 1 and 2."""
+        row = self.row(p1, p2)
+        return self.parent[row], row
 
     def learn(self, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Counts ids and their contexts (last id, the one before), and gives each order the weight it has earned."""
-        earned = self.weight * 12
+        earned = self.weight * (12 // EACH)
         wide0 = np.diff(self.cum0).astype(np.int64)
         for x, p1, p2 in parts:
             b = self.bucket[x]
             rows = self.contexts(p1, p2)
-            kind, w = self.weights(*rows)
-            q = [wide0[b]]
+            kind, own = self.kind[rows[1][::EACH]], b[::EACH]
+            q = [wide0[own]]
             for cum, r in zip(self.cum, rows, strict=True):
-                at = r * WIDE + b
+                at = r[::EACH] * WIDE + own
                 q.append(cum[at + 1].astype(np.int64) - cum[at])
             for j in range(3):
-                q[j] *= w[j]
+                q[j] *= self.weight[kind, j]
             whole = np.maximum(1, q[0] + q[1] + q[2])
             for j in range(3):
                 earned[:, j] += np.bincount(kind, weights=(q[j] << 10) // whole, minlength=256).astype(np.int64)
@@ -160,29 +177,22 @@ def shape(n: int) -> tuple[int, int, int]:
 def segments(steps: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < steps:
-        end = min(steps, at + 1 + at // 3)
+        end = at + 2 + at // 2
+        end = steps if steps < end + at // 4 else end
         yield at, end
         at = end
 
 
-def shift(low: np.ndarray, span: np.ndarray) -> Iterator[np.ndarray]:
-    """Lanes whose range has become narrow: the caller moves one word, then low and span are shifted."""
-    among = None
-    while True:
-        a, b = (low, span) if among is None else (low[among], span[among])
-        agree = (a ^ (a + b)) < TOP
-        at = np.flatnonzero(agree | (b < BOTTOM))
-        if not len(at):
-            return
-        under = at[~agree[at]]
-        if among is not None:
-            at, under = among[at], among[under]
-        if len(under):
-            span[under] = (U(0) - low[under]) & (BOTTOM - U(1))
-        yield at
-        low[at] <<= U(16)
-        span[at] <<= U(16)
-        among = at
+def narrow(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose range has become narrow, and whether it must be cut to end before a carry."""
+    differ = ((low + span) ^ low) >= TOP
+    at = np.flatnonzero(~differ | (span < BOTTOM))
+    return at, differ[at]
+
+
+def cut(low: np.ndarray, span: np.ndarray, under: np.ndarray) -> None:
+    if under.any():
+        span[under] = (U(0) - low[under]) & (BOTTOM - U(1))
 
 
 def _before(ids: np.ndarray, by: int) -> np.ndarray:
@@ -212,34 +222,46 @@ def encode_block(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(level, len(ids))
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    out, used = np.zeros((lanes, 2 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
+    out, start = np.zeros(lanes * (2 * steps + 16), np.uint16), np.arange(lanes) * (2 * steps + 16)
+    put = start.copy()
     for a, b in segments(steps):
-        for t0 in range(a, b, 32):
-            t1 = min(b, t0 + 32)
+        if a:
+            model.learn(_real(grid, *past, last))
+        past = a, b
+        for t0 in range(a, b, 16):
+            t1 = min(b, t0 + 16)
             c = max(0, t0 - 2)
             seen = grid[c:t1].astype(np.int64)
             part, p1, p2 = (g[t0 - c :].ravel() for g in (seen, _before(seen, 1), _before(seen, 2)))
-            r1, r2 = model.contexts(p1, p2)
-            _, w = model.weights(r1, r2)
-            bucket, at = model.bucket[part], [r1 * WIDE, r2 * WIDE]
-            begin = model.bounds(bucket, at, w).astype(U)
-            wide = model.bounds(bucket + 1, at, w).astype(U) - begin
-            begin = ((begin << U(PLACE)) + model.place[part] * wide).reshape(-1, lanes)
-            wide = (wide * model.part[part]).reshape(-1, lanes)
+            at = (model.row(p1, p2) << 8) + model.bucket[part]
+            begin = model.mixed[at]
+            wide = (model.mixed[at + 1] - begin).astype(np.uint32)
+            begin = (begin.astype(np.uint32) << np.uint32(PLACE)) + model.place[part] * wide
+            begin, wide = (g.astype(U).reshape(-1, lanes) for g in (begin, wide * model.part[part]))
             for t in range(t0, t1):
                 live = lanes if t < last else lanes - 1
                 lo, sp = low[:live], span[:live]
-                r = sp >> U(SPAN + PLACE)
-                lo += r * begin[t - t0, :live]
-                np.multiply(r, wide[t - t0, :live], out=sp)
-                for k in shift(lo, sp):
-                    out[k, used[k]] = lo[k] >> U(48)
-                    used[k] += 1
-        model.learn(_real(grid, a, b, last))
-    for k in range(4):
-        out[np.arange(lanes), used + k] = (low >> U(48 - 16 * k)) & U(0xFFFF)
-    used += 4
-    code = out[np.arange(out.shape[1]) < used[:, None]]
+                sp >>= U(SPAN + PLACE)
+                lo += sp * begin[t - t0, :live]
+                sp *= wide[t - t0, :live]
+                at, under = narrow(lo, sp)
+                while len(at):
+                    l, s, p = lo[at], sp[at], put[at]
+                    cut(l, s, under)
+                    out[p] = l >> U(48)
+                    l <<= U(16)
+                    s <<= U(16)
+                    lo[at], sp[at], put[at] = l, s, p + 1
+                    more, under = narrow(l, s)
+                    at = at[more]
+    # whatever follows the last words, the value lies in the range
+    more = 1 + (span < U(1 << 49)) + (span < U(1 << 33))
+    low += (U(1) << (U(64) - U(16) * more.astype(U))) - U(1)
+    for k in range(3):
+        at = np.flatnonzero(more > k)
+        out[put[at] + k] = (low[at] >> U(48 - 16 * k)) & U(0xFFFF)
+    used = put + more - start
+    code = out[flat.ragged(start, used)]
     head = zlib.compress(np.diff(names, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + level.tobytes() + used.astype("<u4").tobytes(), 6)
     return head, code
 
@@ -262,38 +284,50 @@ def decode_block(head: bytes, code: np.ndarray, n: int, n_names: int) -> np.ndar
     lanes, steps, last = shape(n)
     if len(size) != lanes or size.sum() != len(code):
         raise ValueError("a block's head differs from its code")
-    begin = np.cumsum(size) - size
-    words = np.append(code, np.zeros(2, np.uint16))
+    words = np.append(code, np.zeros(4, np.uint16)).astype(U)
+    end = len(words) - 1
+    take = np.cumsum(size) - size
     model = Model(level, n)
     grid = np.zeros((steps, lanes), np.int32)
     low, span, value = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), np.zeros(lanes, U)
     for k in range(4):
-        value = (value << U(16)) | words[begin + k]
-    at = begin + 4
-    p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        value = (value << U(16)) | words[take + k]
+    take += 4
+    row, two = np.full(lanes, model.base[0]), np.zeros(lanes, np.int64)
+    base, split = model.base[1:], model.split[1:]
+    probe, met = np.empty(lanes, np.int64), np.empty(lanes, np.uint16)
     for a, b in segments(steps):
+        if a:
+            model.learn(_real(grid, *past, last))
+        past, table = (a, b), model.table()
         for t in range(a, b):
-            live = lanes if t < last else lanes - 1
-            lo, sp, va, place = low[:live], span[:live], value[:live], at[:live]
-            r1, r2 = model.contexts(p1[:live], p2[:live])
-            _, w = model.weights(r1, r2)
-            rows = [r1 * WIDE, r2 * WIDE]
-            r = sp >> U(SPAN + PLACE)
-            v = np.minimum((va - lo) // r, U((1 << (SPAN + PLACE)) - 1)).astype(np.uint32)
-            aim = v >> np.uint32(PLACE)
-            bucket, step = np.zeros(live, np.int64), BUCKETS // 2
+            if t == last:  # the last lane has ended
+                low, span, value, take, row, two = (g[:-1] for g in (low, span, value, take, row, two))
+            span >>= U(SPAN + PLACE)
+            v = np.minimum((value - low) // span, U((1 << (SPAN + PLACE)) - 1)).astype(np.uint32)
+            aim = (v >> np.uint32(PLACE)).astype(np.uint16)
+            at, step = row << 8, BUCKETS // 2
             while step:
-                bucket += (model.bounds(bucket + step, rows, w) <= aim) * step
+                np.add(at, step, out=probe[: len(at)])
+                np.putmask(at, np.take(model.mixed, probe[: len(at)], out=met[: len(at)], mode="clip") <= aim, probe[: len(at)])
                 step >>= 1
-            first = model.bounds(bucket, rows, w)
-            wide = model.bounds(bucket + 1, rows, w) - first
-            x = model.table[(bucket << PLACE) + (v - (first << np.uint32(PLACE))) // wide].astype(np.int64)
-            lo += r * ((first << np.uint32(PLACE)) + model.place[x] * wide).astype(U)
-            np.multiply(r, (wide * model.part[x]).astype(U), out=sp)
-            for k in shift(lo, sp):
-                va[k] = (va[k] << U(16)) | words[np.minimum(place[k], len(words) - 1)]  # a damaged code may ask for more
-                place[k] += 1
-            grid[t, :live] = x
-            p2[:live], p1[:live] = p1[:live].copy(), x + 1
-        model.learn(_real(grid, a, b, last))
+            first = model.mixed[at]
+            wide = (model.mixed[at + 1] - first).astype(np.uint32)
+            first = first.astype(np.uint32) << np.uint32(PLACE)
+            own = at & (BUCKETS - 1)
+            x = table[(own << PLACE) + (v - first) // wide]
+            low += span * (first + model.place[x] * wide)
+            span *= wide * model.part[x]
+            k, under = narrow(low, span)
+            while len(k):
+                l, s, p = low[k], span[k], take[k]
+                cut(l, s, under)
+                l <<= U(16)
+                s <<= U(16)
+                low[k], span[k], take[k] = l, s, p + 1
+                value[k] = (value[k] << U(16)) | words[np.minimum(p, end)]  # a damaged code may ask for more
+                more, under = narrow(l, s)
+                k = k[more]
+            grid[t, : len(x)] = x
+            row, two = base[x] + (two * split[x] >> 8), own
     return names[grid.T.ravel()[:n]]

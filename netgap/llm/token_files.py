@@ -4,11 +4,8 @@ A frame holds whole documents in ascending id order: ``MAGIC``, a header (little
 ids, blocks), the document table (ids and lengths, zlib), the block table (for each block number of ids, number of
 distinct ids, bytes of its head, words of its code, CRC-32 of its ids), then for each block its head and code.
 
-Each block of ``BLOCK`` ids is coded on its own, from a fresh model.  Three predictors take part: order 2 (the id that
-followed the last two ids), order 1 (the id that followed the last one), both with a confidence, and order 0 (adaptive
-frequencies over the block's alphabet).  Their mixing weights are adaptive counts under the two confidences; an id is
-coded by the first predictor that names it, within one interval of a carry-less 64-bit range coder.  All blocks of a
-frame are coded in step, so that each step is a few array operations over all blocks.
+Each block of ``BLOCK`` ids is coded on its own, from a fresh model: ``mixer`` mixes distributions of orders 0 to 2 and
+codes the lanes of a block in step.
 
 Frames are rows of a Parquet table, which Spark commits atomically.  Defined results: null text has only the end id;
 null document ids sort first and come back as null; rows that repeat an id follow each other.
@@ -20,6 +17,7 @@ import functools
 import itertools
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import bpe, flat, mixer, storage
 
-MAGIC = b"NGTOK2\0\0"
+MAGIC = b"NGTOK3\0\0"
 BLOCK, FRAME_IDS = 1 << 21, 1 << 21
-TEXT_CHARS, KNOWN_WORDS, PART_BYTES = 1 << 20, 300_000, 1 << 27
+TEXT_CHARS, KNOWN_WORDS, PART_BYTES = 1 << 20, 600_000, 1 << 27
 NULL_ID = -(1 << 63)
+_LETTERS = np.array([ord(c) for _, c in sorted((b, c) for c, b in bpe.letters().items())], "<u4")
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -74,26 +73,66 @@ def unpack(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class Known:
-    """Pretokens that the library was asked about, and their ids; the first ``KNOWN_WORDS`` are kept."""
+    """Pretokens that the library was asked about, and their ids; the first ``KNOWN_WORDS`` are kept.
+
+    They are found by the hash of their code points, and their bytes are compared.
+    """
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 17, np.int32), 0
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # by rising hash
+        self.raw, self.pool = _Run(np.uint8), _Run(np.int32)
 
-    def add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
-        n = min(len(words), KNOWN_WORDS - len(self.number))
-        if n <= 0:
+    def find(self, p: bpe.Pieces) -> np.ndarray:
+        """Number of each distinct pretoken, or -1."""
+        out = np.full(len(p.at), -1, np.int64)
+        if p.keys is None or not len(self.keys):
+            return out
+        place = np.minimum(np.searchsorted(self.keys, p.keys), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[place] == p.keys)
+        number, size = self.number[place[at]], p.size[at]
+        same = self.raw.size(number) == size
+        at, number, size = at[same], number[same], size[same]
+        differ = p.raw[flat.ragged(p.at[at], size)] != self.raw.items[flat.ragged(self.raw.begin[number], size)]
+        out[at] = number
+        out[at[np.searchsorted(np.cumsum(size), np.flatnonzero(differ), "right")]] = -1
+        return out
+
+    def add(self, p: bpe.Pieces, new: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Pretokens ``new`` of ``p`` with the number of their ids, and all these ids."""
+        n = min(len(new), KNOWN_WORDS - self.raw.n)
+        if n <= 0 or p.keys is None:
             return
-        ids, first = ids[: int(size[:n].sum())], len(self.number)
-        while first + n + 1 > len(self.begin):
+        new, size = new[:n], size[:n]
+        number = np.arange(self.raw.n, self.raw.n + n, dtype=np.int32)
+        self.raw.add(p.size[new], p.raw[flat.ragged(p.at[new], p.size[new])])
+        self.pool.add(size, ids[: int(size.sum())])
+        place = np.searchsorted(self.keys, p.keys[new])
+        self.keys, self.number = np.insert(self.keys, place, p.keys[new]), np.insert(self.number, place, number)
+
+
+class _Run:
+    """Sequences, one after the other, in an array that grows; ``begin`` has where each begins, and the end."""
+
+    def __init__(self, kind: type) -> None:
+        self.n, self.begin, self.items = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 17, kind)
+
+    def size(self, which: np.ndarray) -> np.ndarray:
+        return self.begin[which + 1] - self.begin[which]
+
+    def behind(self, items: np.ndarray) -> int:
+        """Puts items behind the sequences, where the next call or ``add`` overwrites them; returns where they begin."""
+        used = int(self.begin[self.n])
+        while used + len(items) > len(self.items):
+            self.items = np.append(self.items, np.zeros_like(self.items))
+        self.items[used : used + len(items)] = items
+        return used
+
+    def add(self, size: np.ndarray, items: np.ndarray) -> None:
+        used, n = self.behind(items), self.n + len(size)
+        while n + 1 > len(self.begin):
             self.begin = np.append(self.begin, np.zeros_like(self.begin))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        self.number.update(zip(words[:n], range(first, first + n), strict=True))
-        self.begin[first + 1 : first + n + 1] = self.used + np.cumsum(size[:n])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.begin[self.n + 1 : n + 1] = used + np.cumsum(size)
+        self.n = n
 
 
 @functools.lru_cache(2)
@@ -107,32 +146,55 @@ def _library(path: str):
     return t, [x.content for x in t.get_added_tokens_decoder().values()], Known()
 
 
+@functools.cache
+def _gaps() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x40000)])  # no letters or numbers beyond
+
+
+def _unassigned(raw: np.ndarray) -> bool:
+    """Whether UTF-8 has code points that Python does not know: the library may know them as letters or numbers."""
+    if not len(raw) or raw.max() < 0xCD:  # below U+0340
+        return False
+    cps = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    return bool(_gaps()[cps[cps < 0x40000]].any())
+
+
 def _asked(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each text, and all ids."""
     found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), np.int64)
 
 
+def _asked_words(tokenizer, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_asked``, for pretokens (their UTF-8, one after the other): these go to the library's model, in its letters for bytes."""
+    joined = _LETTERS[raw].tobytes().decode("utf-32-le")
+    merged, ends = tokenizer.model.tokenize, np.cumsum(size).tolist()
+    found = [merged(joined[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
+    return np.fromiter(map(len, found), np.int64, len(found)), np.array([t.id for w in found for t in w], np.int64)
+
+
 def library_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts by the tokenizers library, which is asked once for each distinct pretoken it has not met."""
+    """Ids of all texts by the tokenizers library: its model is asked once for each distinct pretoken it has not met.
+
+    Texts near special tokens or code points that Python does not know are given to the library whole.
+    """
     tokenizer, special, known = _library(path)
     if any(s in t for t in texts for s in special):
         size, ids = _asked(tokenizer, texts)
         return ids, np.append(0, np.cumsum(size))
     p = bpe.Pieces(texts)
-    words = p.words()
-    number = np.fromiter(map(known.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+    number = known.find(p)
     new = np.flatnonzero(number < 0)
-    fresh = [words[i] for i in new.tolist()]
-    more, ids = _asked(tokenizer, [w.decode() for w in fresh])
-    size = known.begin[number + 1] - known.begin[number]
-    size[new] = more
-    begin = known.begin[number]
-    begin[new] = known.used + np.cumsum(more) - more
-    pool = np.append(known.pool[: known.used], ids)
+    raw = p.raw[flat.ragged(p.at[new], p.size[new])]
+    if _unassigned(raw):
+        size, ids = _asked(tokenizer, texts)
+        return ids, np.append(0, np.cumsum(size))
+    more, ids = _asked_words(tokenizer, raw, p.size[new])
+    size, begin = known.pool.size(number), known.pool.begin[number]
+    size[new], begin[new] = more, known.pool.behind(ids) + np.cumsum(more) - more
     each = size[p.which]
-    out = pool[flat.ragged(begin[p.which], each)].astype(np.int64)
-    known.add(fresh, more, ids)
+    out = known.pool.items[flat.ragged(begin[p.which], each)].astype(np.int64)
+    known.add(p, new, more, ids)
     return out, np.append(0, np.cumsum(each))[p.first]
 
 

@@ -2,6 +2,7 @@
 
 import random
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -119,6 +120,56 @@ def test_library_ids():
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w for t, w in zip(some, want) if t in part][: len(part)]
 
 
+def test_library_ids_of_letters_that_python_does_not_know():
+    """Letters and digits newer than Python's tables: the library knows them."""
+    some = [f"a{c}a 1{c}1 {c}{c}'s\n{c} b" for c in ("\u1c89", "\ua7cb", "\U000105c0", "\U00010d40", "\U000116d0", "\u0378")]
+    for part in ([t] for t in some):
+        token_files._library.cache_clear()
+        for _ in range(2):
+            ids, at = token_files.library_ids(["a 1 b's", *part], PATH)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == reference(["a 1 b's", *part])[0]
+    assert min(b"\xcd", chr(0x378).encode()[:1]) == b"\xcd" and unicodedata.category(chr(0x378)) == "Cn"
+    assert all(unicodedata.category(chr(c)) != "Cn" for c in range(0x340))
+
+
+def test_pretokens_are_found_by_hash_and_bytes():
+    known = token_files.Known()
+    p, q = bpe.Pieces(["one two six"]), bpe.Pieces(["one ten three"])
+    known.add(p, np.arange(len(p.at)), np.ones(3, np.int64), np.arange(3))
+    words = p.words()
+    assert known.find(p).tolist() == [0, 1, 2]
+    assert [words[k] if k >= 0 else None for k in known.find(q)] == [w if w == b"one" else None for w in q.words()]
+    known.keys[:] = q.keys  # other pretokens with the same hashes
+    assert all(k < 0 or words[k] == w for k, w in zip(known.find(q).tolist(), q.words()))
+
+
+def test_orders_are_mixed_once_for_each_context():
+    """One table of mixtures, so that coding an id reads two values, not six, and decoding one for each step of its search."""
+    rng = np.random.default_rng(9)
+    names, x, counts = mixer.alphabet(rng.zipf(1.3, 40_000) % 700)
+    model = mixer.Model(mixer.levels(counts), len(x))
+    p1, p2 = mixer._before(x, 1), mixer._before(x, 2)
+    for a, b in ((0, 500), (500, len(x))):
+        model.learn(iter([(x[a:b], p1[a:b], p2[a:b])]))
+    one, row = model.contexts(p1, p2)
+    assert all(len(set(one[row == r].tolist())) == 1 for r in set(row.tolist())) and len(set(row.tolist())) > 1.5 * len(set(one.tolist()))
+    begin = np.append(np.zeros((model.rows[1], 1), np.int64), model.mixed[1:].reshape(-1, mixer.BUCKETS)[:, :-1], 1)
+    assert (np.diff(begin, axis=1) > 0).all()
+    cum = [c.reshape(-1, mixer.WIDE)[:, :-1].astype(float) / (1 << mixer.LEVEL) for c in model.cum]
+    w = model.weight[model.kind] / (1 << mixer.SHARE)
+    want = w[:, :1] * model.cum0[:-1] / (1 << mixer.LEVEL) + w[:, 1:2] * cum[0][model.parent] + w[:, 2:] * cum[1]
+    rest = (1 << mixer.SPAN) - mixer.BUCKETS
+    assert np.abs(begin - want * rest - np.arange(mixer.BUCKETS)).max() < 4
+    assert (w[np.unique(row), 1:] > 0.05).any(0).all()
+
+
+def test_lanes_end_in_few_words():
+    ids = np.random.default_rng(10).integers(0, 3, 100_000)
+    head, code = mixer.encode_block(ids)
+    assert np.array_equal(mixer.decode_block(head, code, len(ids), 3), ids)
+    assert 16 * len(code) < 1.03 * len(ids) * np.log2(3) + 32 * mixer.shape(len(ids))[0]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 40, 600).astype(np.uint64)
