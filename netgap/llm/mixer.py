@@ -295,7 +295,7 @@ def decode_block(head: bytes, code: np.ndarray, n: int, n_names: int) -> np.ndar
     take += 4
     row, two = np.full(lanes, model.base[0]), np.zeros(lanes, np.int64)
     base, split = model.base[1:], model.split[1:]
-    probe, met = np.empty(lanes, np.int64), np.empty(lanes, np.uint16)
+    met = np.empty(lanes, np.uint16)
     for a, b in segments(steps):
         if a:
             model.learn(_real(grid, *past, last))
@@ -306,16 +306,15 @@ def decode_block(head: bytes, code: np.ndarray, n: int, n_names: int) -> np.ndar
             span >>= U(SPAN + PLACE)
             v = np.minimum((value - low) // span, U((1 << (SPAN + PLACE)) - 1)).astype(np.uint32)
             aim = (v >> np.uint32(PLACE)).astype(np.uint16)
-            at, step = row << 8, BUCKETS // 2
-            while step:
-                np.add(at, step, out=probe[: len(at)])
-                np.putmask(at, np.take(model.mixed, probe[: len(at)], out=met[: len(at)], mode="clip") <= aim, probe[: len(at)])
-                step >>= 1
+            at, m = row << 8, met[: len(row)]
+            for bit in range(7, -1, -1):
+                np.take(model.mixed[1 << bit :], at, out=m, mode="clip")
+                at += (m <= aim).view(np.uint8) << np.uint8(bit)
             first = model.mixed[at]
             wide = (model.mixed[at + 1] - first).astype(np.uint32)
             first = first.astype(np.uint32) << np.uint32(PLACE)
             own = at & (BUCKETS - 1)
-            x = table[(own << PLACE) + (v - first) // wide]
+            x = table[(own << PLACE) + (v - first) // wide].astype(np.int64)
             low += span * (first + model.place[x] * wide)
             span *= wide * model.part[x]
             k, under = narrow(low, span)
