@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netgap.sources.shared import drop, written
+from netgap.sources.shared import drop, kept
 
 
 def _rank(name: str) -> F.Column:
@@ -18,25 +18,25 @@ def _rank(name: str) -> F.Column:
 
 def connected(pairs: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) of every node of ``pairs`` (a, b)."""
-    edges = written(pairs.select("a", "b").filter("a is not null and b is not null"), "edges")
+    edges = kept(pairs.select("a", "b").filter("a is not null and b is not null"), "edges")
     named = None  # node, top: where each node has come to
     while True:
         both = edges.select(F.col("a").alias("node"), _rank("b").alias("r")).union(edges.select("b", _rank("a")))
         near = both.groupBy("node").agg(F.min("r").alias("r"))
-        choice = written(near.select("node", F.least("r", _rank("node")).getField("v").alias("up")), "choice")
+        choice = kept(near.select("node", F.least("r", _rank("node")).getField("v").alias("up")), "choice")
         above = choice.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parent = written(choice.join(above, "up").select("node", "top"), "parent")
+        parent = kept(choice.join(above, "up").select("node", "top"), "parent")
         drop(choice)
         if named is None:
             named = parent
         else:
             old, last = named, parent.select(F.col("node").alias("top"), F.col("top").alias("up"))
-            named = written(named.join(last, "top", "left").select("node", F.coalesce("up", "top").alias("top")), "named")
+            named = kept(named.join(last, "top", "left").select("node", F.coalesce("up", "top").alias("top")), "named")
             drop(old)
         to = parent.select(F.col("node").alias("a"), F.col("top").alias("x"))
         other = parent.select(F.col("node").alias("b"), F.col("top").alias("y"))
         left = edges.join(to, "a").join(other, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        old, edges = edges, written(left.distinct(), "edges")
+        old, edges = edges, kept(left.distinct(), "edges")
         drop(old)
         if parent is not named:
             drop(parent)
@@ -44,6 +44,6 @@ def connected(pairs: DataFrame) -> DataFrame:
             break
     drop(edges)
     least = named.groupBy("top").agg(F.min("node").alias("label"))
-    out = written(named.join(least, "top").select("node", "label"), "labels")
+    out = kept(named.join(least, "top").select("node", "label"), "labels")
     drop(named)
     return out

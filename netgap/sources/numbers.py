@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netgap.sources.shared import written
+from netgap.sources.shared import kept
 
 
 def numbered(df: DataFrame, key: str, out: str, start: int = 1) -> DataFrame:
     """``df`` with consecutive numbers in the order of ``key``: range partitions, their sizes, a running number."""
-    placed = written(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "numbered")
+    placed = kept(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "numbered")
     sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}
     rows, before = [], start - 1
     for p in sorted(sizes):

@@ -51,6 +51,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df``, never broadcast for the size of its files: Parquet packs regular numbers a hundredfold, and the driver
+    would hold them unpacked."""
+    return df.hint("merge")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``written``, for tables that grow with the input: joins with it sort and merge."""
+    table = written(df, name)
+    out = merged(table)
+    out.written_to = table.written_to
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and nothing reads any more."""
     for t in tables:
