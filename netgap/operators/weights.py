@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from netgap.functions import geometry as G
 from netgap.operators.network import Network, box_join
-from netgap.sources.shared import written
+from netgap.sources.shared import kept
 
 
 def graph_weights(net: Network, places: DataFrame, columns: list[str], distance: float, kind: str = "point", geom: str = "geom") -> DataFrame:
     """id and one column per weight.  Each place is split over both ends of all edges less than ``distance`` away; a
     vertex on two near edges gets two shares; places without a near edge are lost.  ``kind``: point, polygon (rings) or
     multipolygon (array of polygons)."""
-    rows = written(places.select(F.col(geom).alias("_g"), *columns).withColumn("_place", F.monotonically_increasing_id()), "places")  # read twice, numbered once
+    rows = kept(places.select(F.col(geom).alias("_g"), *columns).withColumn("_place", F.monotonically_increasing_id()), "places")  # read twice, numbered once
     g = F.col("_g")
     outline = {"point": F.array(g), "polygon": g[0] if kind == "polygon" else None, "multipolygon": F.flatten(F.flatten(g)) if kind == "multipolygon" else None}[kind]
     e = net.edges.select("src", "dst", F.col("geom").alias("_e"))

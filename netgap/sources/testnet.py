@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netgap.functions import geometry as G
 from netgap.operators.network import Network
+from netgap.sources.shared import merged
 
 PITCH = 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return merged(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def network(spark: SparkSession, sf_dir: str, islands: bool = True) -> Network:
