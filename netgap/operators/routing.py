@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from netgap.functions import geometry as G
-from netgap.operators.distance import adjacency_of, net_distance
+from netgap.operators.distance import KERNEL_ARCS, MOST_RATIO, Graph, Search, net_distance
 from netgap.operators.links import Decay
 from netgap.operators.network import UNREACHABLE, Network, box_join, degree, extent
+from netgap.sources.shared import kept
 
 _BOX = lambda: F.struct(F.col("x").alias("min_x"), F.col("y").alias("min_y"), F.col("x").alias("max_x"), F.col("y").alias("max_y"))
 
@@ -25,6 +29,55 @@ def closest_edge(net: Network, points: DataFrame, max_dist: float) -> DataFrame:
     return best.select(*keys, "m.src", "m.dst", "m.dist", F.col("m.along").alias("from_start"), (F.col("m.len") - F.col("m.along")).alias("from_end"))
 
 
+def _shortest_path(net: Network, a: Row, b: Row) -> tuple[float, list[int], int]:
+    """Length between two places on different edges, and the vertices of the way, last first.
+
+    A way of length L only meets vertices whose distances in space from its two ends sum to at most L times the ratio of
+    space to length, so only these edges are collected; L is doubled until the way found is no longer.
+    """
+    search = Search(net, 0.0)
+    at = {r.id: (r.x, r.y) for r in net.vertices.filter(F.col("id").isin([a.src, a.dst, b.src, b.dst])).collect()}
+    ratio = search.ratio if search.ratio <= MOST_RATIO and len(at) == len({a.src, a.dst, b.src, b.dst}) else None
+    bound = 100.0
+    if ratio:
+        bound = max(bound, 2 * max(math.dist(at[u], at[v]) for u in (a.src, a.dst) for v in (b.src, b.dst)) / ratio)
+    while True:
+        edges = search.edges.select("u", "v", "w", "ux", "uy", "vx", "vy")
+        if ratio:
+            gap = lambda p, c: F.sqrt((F.col(f"{c}x") - F.lit(at[p][0])) ** 2 + (F.col(f"{c}y") - F.lit(at[p][1])) ** 2)
+            near = lambda c: reduce(Column.__or__, [gap(u, c) + gap(v, c) <= F.lit(bound * ratio * (1 + 1e-9)) for u in {a.src, a.dst} for v in {b.src, b.dst}])
+            edges = edges.filter(near("u") & near("v"))
+        rows = edges.select("u", "v", "w")
+        many = rows.count()
+        if 2 * many > KERNEL_ARCS:
+            raise ValueError("the graph is too large for one route; cut a tile first")
+        rows = rows.toArrow()
+        g = Graph(*(rows[c].to_numpy() for c in "uvw"), np.array([a.src, a.dst, b.src, b.dst]))
+        start, end = (g.index(np.array([p.src, p.dst])).tolist() for p in (a, b))
+        heap = [(a.from_start, start[0], -1), (a.from_end, start[1], -1)]
+        heapq.heapify(heap)
+        came: dict[int, tuple[float, int]] = {}
+        while heap:
+            d, u, before = heapq.heappop(heap)
+            if u in came:
+                continue
+            came[u] = (d, before)
+            for k in range(g.first[u], g.first[u + 1]):
+                v = int(g.to[k])
+                if v not in came:
+                    heapq.heappush(heap, (d + float(g.w[k]), v, u))
+        options = [(came[v][0] + off, v) for v, off in ((end[0], b.from_start), (end[1], b.from_end)) if v in came]
+        if options and (min(options)[0] <= bound or many == search.count):
+            total, last = min(options)
+            path = [last]
+            while came[path[-1]][1] >= 0:
+                path.append(came[path[-1]][1])
+            return total, [int(g.nodes[v]) for v in path], int(g.nodes[last])
+        if many == search.count:
+            raise ValueError("no route between the places")
+        bound *= 2
+
+
 def route(net: Network, origin: tuple[float, float], dest: tuple[float, float], max_snap_dist: float = 100) -> DataFrame:
     """One row: distance (snap legs left out) and geometry of the shortest route.
 
@@ -43,27 +96,7 @@ def route(net: Network, origin: tuple[float, float], dest: tuple[float, float],
         low, high = sorted((a.from_start, b.from_start))
         g = G.line_between(F.col("geom"), F.lit(low), F.lit(high)) if high > low else F.array(G.interpolate(F.col("geom"), F.lit(low)))
         return edge(a).select(F.lit(high - low).alias("distance"), (g if a.from_start <= b.from_start else F.reverse(g)).alias("geom"))
-    adjacency = adjacency_of(net.edges)
-    if adjacency is None:
-        raise ValueError("the graph is too large for one route; cut a tile first")
-    heap = [(a.from_start, a.src, None), (a.from_end, a.dst, None)]
-    heapq.heapify(heap)
-    came: dict[int, tuple[float, int | None]] = {}
-    while heap:
-        d, u, before = heapq.heappop(heap)
-        if u in came:
-            continue
-        came[u] = (d, before)
-        for v, w in adjacency.get(u, ()):
-            if v not in came:
-                heapq.heappush(heap, (d + w, v, u))
-    options = [(came[v][0] + off, v) for v, off in ((b.src, b.from_start), (b.dst, b.from_end)) if v in came]
-    if not options:
-        raise ValueError("no route between the places")
-    total, last = min(options)
-    path = [last]
-    while came[path[-1]][1] is not None:
-        path.append(came[path[-1]][1])
+    total, path, last = _shortest_path(net, a, b)
     path.reverse()
     steps = [(i, min(u, v), max(u, v), u > v) for i, (u, v) in enumerate(zip(path, path[1:], strict=False), 1)]
     rows = spark.createDataFrame(steps, "i int, src long, dst long, turned boolean").join(net.edges, ["src", "dst"])
@@ -87,7 +120,7 @@ def pixels(spark, min_x: float, min_y: float, max_x: float, max_y: float, resolu
     return grid.select("row", "col", (F.lit(float(min_x)) + F.col("col") * float(resolution)).alias("x"), (F.lit(float(max_y)) - F.col("row") * float(resolution)).alias("y"))
 
 
-def distance_surface(net: Network, dist: DataFrame, origin: tuple[float, float], maxdist: float = 5000, resolution: float = 25, max_snap_dist: float = 100) -> DataFrame:
+def distance_surface(net: Network, dist: DataFrame | Search, origin: tuple[float, float], maxdist: float = 5000, resolution: float = 25, max_snap_dist: float = 100) -> DataFrame:
     """row, col, x, y, value: whole metres from the origin to each pixel, both snap legs included; 65535 if unreached."""
     spark = net.edges.sparkSession
     x, y = map(float, origin)
@@ -97,6 +130,8 @@ def distance_surface(net: Network, dist: DataFrame, origin: tuple[float, float],
     grid = pixels(spark, x - maxdist, y - maxdist, x + maxdist, y + maxdist, resolution)
     near = closest_edge(net, grid.select("row", "col", "x", "y"), max_snap_dist)
     legs = [(start.src, start.from_start), (start.dst, start.from_end)]
+    if isinstance(dist, Search):
+        dist = kept(dist.table(net.vertices.filter(F.col("id").isin(start.src, start.dst))), "dist")
     from_origin = None
     for v, off in legs:
         part = dist.filter(F.col("origin") == v).select("dest", (F.col("d") + F.lit(float(off))).alias("d"))
@@ -110,7 +145,7 @@ def distance_surface(net: Network, dist: DataFrame, origin: tuple[float, float],
     return grid.join(best, ["row", "col"], "left").select("row", "col", "x", "y", F.coalesce("v", F.lit(float(UNREACHABLE))).alias("value"))
 
 
-def regional_access(net: Network, dist: DataFrame, link: dict, weights: DataFrame, decay: Decay, cutoff: float, resolution: float = 50, max_snap_dist: float = 100, compat: bool = False) -> DataFrame:
+def regional_access(net: Network, dist: DataFrame | Search, link: dict, weights: DataFrame, decay: Decay, cutoff: float, resolution: float = 50, max_snap_dist: float = 100, compat: bool = False) -> DataFrame:
     """row, col, x, y, value: the gain in decayed access of each pixel through one link, both ways summed.
 
     ``compat`` places the to-end by the from-end's offsets, as older results did.
@@ -118,7 +153,17 @@ def regional_access(net: Network, dist: DataFrame, link: dict, weights: DataFram
     turned = {("to" + k[2:] if k.startswith("fr_") else "fr" + k[2:] if k.startswith("to_") else k): v for k, v in link.items()}
     e = extent(net).first()
     grid = pixels(net.edges.sparkSession, e.min_x, e.min_y, e.max_x, e.max_y, resolution)
-    near = closest_edge(net, grid, max_snap_dist)
+    pixel = grid
+    if isinstance(dist, Search) and dist.bounded:
+        # what is over the cutoff from both ends counts for nothing, nor do ways that begin there
+        ends = net.vertices.filter(F.col("id").isin([link[k] for k in ("fr_src", "fr_tgt", "to_src", "to_tgt")])).collect()
+        within = lambda r: reduce(Column.__or__, [F.sqrt((F.col("x") - F.lit(p.x)) ** 2 + (F.col("y") - F.lit(p.y)) ** 2) <= F.lit(r) for p in ends])
+        reach = (cutoff + 1) * max(dist.ratio, 1.0)
+        pixel = grid.filter(within(reach))
+        dist = kept(dist.table(net.vertices.filter(within(reach + dist.gap))), "dist")
+    elif isinstance(dist, Search):
+        dist = kept(dist.table(), "dist")
+    near = kept(closest_edge(net, pixel, max_snap_dist), "near")
     parts = [_one_way(dist, x, near, weights, decay, cutoff, compat) for x in (link, turned)]
     total = parts[0].unionByName(parts[1]).groupBy("row", "col").agg(F.sum("value").alias("value"))
     return grid.join(total, ["row", "col"], "left").select("row", "col", "x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -148,7 +193,7 @@ def dead_ends(net: Network) -> DataFrame:
     return net.vertices.join(degree(net).filter("degree = 1").select("id"), "id", "left_semi").select("id", "x", "y")
 
 
-def disconnected_crossings(net: Network, dist: DataFrame, tolerance: float = 10) -> DataFrame:
+def disconnected_crossings(net: Network, dist: DataFrame | Search, tolerance: float = 10) -> DataFrame:
     """Points where two edges cross although the network between those places is longer than ``tolerance``."""
     e = net.edges
     a = e.select(F.col("src").alias("fr_src"), F.col("dst").alias("fr_tgt"), F.col("length_m").alias("la"), F.col("geom").alias("ga"))
