@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netgap.functions import geometry as G
 from netgap.operators import distance, links as L
 from netgap.operators.network import Network, extent
-from netgap.sources.shared import written
+from netgap.sources.shared import kept
 
 
 class Grid:
@@ -62,16 +62,16 @@ def identify_and_score(net: Network, rows: int, cols: int, buffer: float, decay:
     """
     L.check_bounds(cutoff_distance, min_net_distance, radius if deduplicate else 0)
     n = rows * cols
-    vertices, edges = (written(t, "tiles") for t in partition(net, rows, cols, buffer))
+    vertices, edges = (kept(t, "tiles") for t in partition(net, rows, cols, buffer))
     tile = F.col("tile_row") * cols + F.col("tile_col")
     name = lambda c: (F.col(c) * n + tile).alias(c)
     whole = Network(vertices.select(name("id"), "x", "y"), edges.select(name("src"), name("dst"), "length_m", "link_type", "geom", tile.alias("tile")))
-    dist = written(distance.distance_table(whole, cutoff_distance), "dist")
+    dist = distance.Search(whole, cutoff_distance)
     found = L.identify(whole, dist, max_link_distance, min_net_distance, on=("tile",))
     if deduplicate:
         found = L.deduplicate(found, whole, dist, radius).drop("ord")
     weigh = lambda w: vertices.join(w, "id").select(name("id"), "w")
-    scored = L.score(written(found, "links"), dist, weigh(origin_weights), weigh(dest_weights), decay, cutoff_distance)
+    scored = L.score(kept(found, "links"), dist, weigh(origin_weights), weigh(dest_weights), decay, cutoff_distance)
     plain = [F.expr(f"{c} div {n}").alias(c) if c.endswith(("_src", "_tgt")) else F.col(c) for c in (*L.LINK, "score")]
     placed = scored.select(*plain, F.expr(f"int((fr_src % {n}) div {cols})").alias("tile_row"), F.expr(f"int((fr_src % {n}) % {cols})").alias("tile_col"))
     return merge(net, Grid(net, rows, cols), placed)

@@ -10,7 +10,7 @@ from netgap.functions import geometry as G
 from netgap.operators import build, distance, links as L, network as N, routing, tiling, weights as W
 from netgap.plans.oracles import ORACLES  # noqa: F401
 from netgap.sources import osm, sinks, testnet
-from netgap.sources.shared import written
+from netgap.sources.shared import kept
 
 MAXDIST, MAX_LINK, MIN_NET, RADIUS, CUTOFF, BUFFER = 1500, 100, 1000, 100, 1000, 1100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,11 +24,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 net = testnet.network
 
 
-def _dist(n: N.Network) -> DataFrame:
-    return written(distance.distance_table(n, MAXDIST), "dist")
+def _dist(n: N.Network) -> distance.Search:
+    return distance.Search(n, MAXDIST)
 
 
-def _links(spark: SparkSession, d: str) -> tuple[N.Network, DataFrame, DataFrame]:
+def _links(spark: SparkSession, d: str) -> tuple[N.Network, distance.Search, DataFrame]:
     n = net(spark, d)
     dist = _dist(n)
     return n, dist, L.identify(n, dist, MAX_LINK, MIN_NET)
@@ -138,7 +138,7 @@ def net_distance(spark, d):
 @query
 def net_distance_exact(spark, d):
     n, _, found = _links(spark, d)
-    return distance.net_distance_exact(n, written(found, "links")).select(*L.LINK, F.round("net_exact", 6).alias("net_exact"))
+    return distance.net_distance_exact(n, kept(found, "links")).select(*L.LINK, F.round("net_exact", 6).alias("net_exact"))
 
 
 @query
@@ -171,7 +171,7 @@ def _weighted(spark: SparkSession, d: str, n: N.Network) -> tuple[DataFrame, Dat
 
 def _scored(spark: SparkSession, d: str, decay: L.Decay) -> DataFrame:
     n, dist, found = _links(spark, d)
-    found = written(found, "links")
+    found = kept(found, "links")
     ow, dw = _weighted(spark, d, n)
     return L.score(found, dist, ow, dw, decay, CUTOFF).withColumn("score", F.round("score", 6))
 
@@ -188,7 +188,7 @@ def links_score_linear(spark, d):
 
 @query
 def links_topk(spark, d):
-    return L.top(written(_scored(spark, d, L.step_decay(1000)), "scored"), 5)
+    return L.top(kept(_scored(spark, d, L.step_decay(1000)), "scored"), 5)
 
 
 @query
@@ -205,7 +205,7 @@ def tile_edges(spark, d):
 def tile_links_merged(spark, d):
     n = net(spark, d)
     ow, dw = _weighted(spark, d, n)
-    out = tiling.identify_and_score(n, 3, 3, BUFFER, L.step_decay(1000), CUTOFF, written(ow, "ow"), written(dw, "dw"), MAX_LINK, MIN_NET, RADIUS, deduplicate=False)
+    out = tiling.identify_and_score(n, 3, 3, BUFFER, L.step_decay(1000), CUTOFF, kept(ow, "ow"), kept(dw, "dw"), MAX_LINK, MIN_NET, RADIUS, deduplicate=False)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -265,14 +265,14 @@ def crossings(spark, d):
         return s.select("src", "dst", G.length(g).alias("length_m"), F.lit("bridge").alias("link_type"), g.alias("geom"))
 
     more = diagonal(21, "src < 10000000 and src % 20 < 19 and src % 3 = 0").unionByName(diagonal(19, "src < 10000000 and src % 20 > 0 and src % 4 = 0"))
-    whole = N.Network(v, written(n.edges.unionByName(more), "edges"))
+    whole = N.Network(v, kept(n.edges.unionByName(more), "edges"))
     return routing.disconnected_crossings(whole, _dist(whole))
 
 
 @query
 def realize_edges(spark, d):
     n, _, found = _links(spark, d)
-    return build.realize(n, written(found.filter("fr_src < to_src"), "links")).edges.select("src", "dst", "length_m", "link_type")
+    return build.realize(n, kept(found.filter("fr_src < to_src"), "links")).edges.select("src", "dst", "length_m", "link_type")
 
 
 @query
