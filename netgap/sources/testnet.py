@@ -34,7 +34,7 @@ def network(spark: SparkSession, sf_dir: str, islands: bool = True) -> Network:
         isl = _table(spark, sf_dir, "nation").select((10000000 + 2 * n).cast("long").alias("s"), (10000001 + 2 * n).cast("long").alias("t"), F.when(n % 2 == 1, -130.0).otherwise(-1000.0).alias("x"), (n * 160.0 + 40.0).alias("y"))
         vertices = vertices.union(isl.select("s", "x", "y")).union(isl.select("t", F.col("x") + 50.0, "y"))
         edges = edges.unionByName(isl.select(F.col("s").alias("src"), F.col("t").alias("dst"), F.lit(50.0).alias("length_m"), F.lit("i").alias("link_type"), G.line((F.col("x"), F.col("y")), (F.col("x") + 50.0, F.col("y"))).alias("geom")))
-    return Network(vertices, edges)
+    return Network(merged(vertices), merged(edges))  # a union does not pass on the hints of its parts
 
 
 def origins(spark: SparkSession, sf_dir: str) -> DataFrame:

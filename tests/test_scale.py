@@ -115,3 +115,15 @@ def test_realize_is_a_small_plan(spark):
     edges = build.realize(g, found).edges
     assert edges.filter("link_type = 'candidate'").count()
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+
+
+def test_network_tables_are_not_broadcast(spark):
+    """Nor are the unions that a network is made of: joins with them were broadcast one by one, all held by the driver."""
+    n = testnet.network(spark, SMALL)
+    for d in (n.vertices.join(n.edges.withColumnRenamed("src", "id"), "id"), n.edges.join(n.vertices.withColumnRenamed("id", "dst"), "dst", "left")):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_searched_once(spark):
+    g = grid(spark, 4, 0.5)
+    assert "MapInArrow" not in L.identify(g, distance.Search(g, 400), 70, 200)._jdf.queryExecution().optimizedPlan().toString()
