@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netgap.functions import batches
+
 LINE = "array<struct<x:double,y:double>>"
 
 
@@ -35,14 +37,18 @@ def distance(a: Column, b: Column) -> Column:
     return norm(a["x"] - b["x"], a["y"] - b["y"])
 
 
+def _pairs(g: Column, of: Callable[[Column, Column], Column]) -> Column:
+    return F.zip_with(F.slice(g, F.lit(1), F.greatest(F.size(g) - 1, F.lit(0))), F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0))), of)
+
+
 def segments(g: Column) -> Column:
     """(a, b, d, start): ends, length and distance along the line of each segment."""
-    pairs = F.zip_with(F.slice(g, F.lit(1), F.greatest(F.size(g) - 1, F.lit(0))), F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"), distance(a, b).alias("d")))
+    pairs = _pairs(g, lambda a, b: F.struct(a.alias("a"), b.alias("b"), distance(a, b).alias("d")))
     return let(pairs, lambda p: F.transform(p, lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["d"].alias("d"), F.aggregate(F.slice(p, F.lit(1), i), F.lit(0.0), lambda t, q: t + q["d"]).alias("start"))))
 
 
 def length(g: Column) -> Column:
-    return F.aggregate(segments(g), F.lit(0.0), lambda t, s: t + s["d"])
+    return F.aggregate(_pairs(g, distance), F.lit(0.0), lambda t, d: t + d)
 
 
 def reverse(g: Column) -> Column:
@@ -106,9 +112,7 @@ def line_between(g: Column, begin: Column, end: Column, close: float = 1.5e-8) -
 def break_long(df: DataFrame, geom: str, max_length: float, piece: str = "piece") -> DataFrame:
     """Explodes each line longer than ``max_length`` into floor(len / max) + 1 equal pieces (``piece`` counts from 0)."""
     out = df.withColumn("_len", length(F.col(geom))).withColumn("_n", F.when(F.col("_len") > max_length, F.floor(F.col("_len") / max_length) + 1).otherwise(1).cast("int"))
-    out = out.withColumn(piece, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    part = line_between(F.col(geom), F.col("_len") * F.col(piece) / F.col("_n"), F.col("_len") * (F.col(piece) + 1) / F.col("_n"))
-    return out.withColumn(geom, F.when(F.col("_n") == 1, F.col(geom)).otherwise(part)).drop("_len", "_n")
+    return batches.broken(out, geom, "_n", "_len", piece)
 
 
 def _on_segment(p: Column, s: Column, keep: Callable[[Column, Column], Column]) -> Column:

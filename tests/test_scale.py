@@ -109,6 +109,13 @@ def test_packed_tables_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+def test_network_tables_are_not_broadcast(spark):
+    """Nor are the unions that a network is made of: joins with them were broadcast one by one, all held by the driver."""
+    n = testnet.network(spark, SMALL)
+    for d in (n.vertices.join(n.edges.withColumnRenamed("src", "id"), "id"), n.edges.join(n.vertices.withColumnRenamed("id", "dst"), "dst", "left")):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_realize_is_a_small_plan(spark):
     g = grid(spark, 4, 0.5)
     found = L.identify(g, distance.Search(g, 400), 70, 200).filter("fr_src < to_src").cache()
@@ -117,13 +124,6 @@ def test_realize_is_a_small_plan(spark):
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
 
 
-def test_network_tables_are_not_broadcast(spark):
-    """Nor are the unions that a network is made of: joins with them were broadcast one by one, all held by the driver."""
-    n = testnet.network(spark, SMALL)
-    for d in (n.vertices.join(n.edges.withColumnRenamed("src", "id"), "id"), n.edges.join(n.vertices.withColumnRenamed("id", "dst"), "dst", "left")):
-        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
-
-
 def test_links_are_searched_once(spark):
     g = grid(spark, 4, 0.5)
     assert "MapInArrow" not in L.identify(g, distance.Search(g, 400), 70, 200)._jdf.queryExecution().optimizedPlan().toString()
@@ -175,3 +175,18 @@ def test_keys_over_batches(spark, size):
         assert rows_of(batches.by_key(d, ("k", "l"), ("v",), work, "k long, l long, v array<long>")) == rows_of(want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_lines_broken_in_batches(spark):
+    rng = random.Random(8)
+    line = lambda n: [(float(rng.randrange(4)) + rng.choice((0, 1e-9)), float(rng.randrange(4))) for _ in range(n)]
+    rows = [(i, "a", line(rng.randrange(0, 7))) for i in range(300)] + [(300, None, None)]
+    d = spark.createDataFrame(rows, f"i long, t string, geom {G.LINE}").repartition(3)
+    n = F.when(G.length(F.col("geom")) > 1.3, F.floor(G.length(F.col("geom")) / 1.3) + 1).otherwise(1).cast("int")
+    want = d.withColumn("n", n).withColumn("len", G.length(F.col("geom"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    part = G.line_between(F.col("geom"), F.col("len") * F.col("piece") / F.col("n"), F.col("len") * (F.col("piece") + 1) / F.col("n"))
+    want = want.withColumn("geom", F.when(F.col("n") == 1, F.col("geom")).otherwise(part)).drop("n", "len")
+    got = G.break_long(d, "geom", 1.3)
+    text = lambda df: sorted(map(repr, df.select("i", "piece", "t", "geom").collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert text(got) == text(want)
